@@ -57,8 +57,11 @@ def gap_clusters(values: DataFrame, min_size: int = 2) -> DataFrame:
     )
     # The gaps between equal numbers are zeros: they count in the mean and the deviation.
     stats = gaps.groupBy("key_name").agg(
-        F.sum("copies").alias("n"), F.sum("gap").alias("total"), F.sum(F.col("gap") * F.col("gap")).alias("squares"),
-        F.stddev_pop("gap").alias("spread"), F.avg("gap").alias("mean_gap"), F.count("gap").alias("real"),
+        F.sum("copies").alias("n"),
+        F.sum("gap").alias("total"),
+        F.stddev_pop("gap").alias("spread"),
+        F.avg("gap").alias("mean_gap"),
+        F.count("gap").alias("real"),
     )
     count = F.col("n") - 1
     mean = F.col("total") / count

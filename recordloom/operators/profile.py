@@ -120,6 +120,14 @@ def field_statistics(records: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
+def merge_displays(stats: DataFrame, mapping: DataFrame | None) -> DataFrame:
+    """Statistics under the display names of ``mapping(raw_field, display_name)``."""
+    if mapping is None:
+        return stats
+    names = mapping.select(F.col("raw_field").alias("field"), "display_name")
+    return stats.join(names, "field", "left").withColumn("field", F.coalesce("display_name", "field")).drop("display_name")
+
+
 def systematic_sample(records: DataFrame, k: int = 5) -> DataFrame:
     """P5: records ``i * (n // k)`` for i < k; all records if there are at most k."""
     totals = records.groupBy("dataset").agg(F.count("*").alias("_n"))
