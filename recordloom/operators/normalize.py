@@ -13,8 +13,12 @@ from recordloom.session import cut_lineage
 
 
 def pending_values(kv: DataFrame, same_as: DataFrame | None = None) -> DataFrame:
-    """Distinct values per key with their frequency, without those already normalized."""
-    values = kv.groupBy("key_name", "value").agg(F.count("*").alias("frequency"))
+    """Distinct values per key with their frequency, without those already normalized.
+
+    Rows may already be counted, in a column ``frequency``.
+    """
+    weight = F.sum("frequency") if "frequency" in kv.columns else F.count("*")
+    values = kv.groupBy("key_name", "value").agg(weight.alias("frequency"))
     if same_as is None:
         return values
     return values.join(same_as.select("key_name", "value"), ["key_name", "value"], "left_anti")

@@ -26,21 +26,26 @@ def _existing(df: DataFrame, path: str) -> DataFrame | None:
         raise
 
 
-def upsert(df: DataFrame, path: str, ids: str | list[str], partition: str = "dataset") -> DataFrame:
-    """Insert rows, replacing those with the same id.
+def upsert(
+    df: DataFrame, path: str, ids: str | list[str], partition: str = "dataset", version: str | None = None
+) -> DataFrame:
+    """Insert rows, replacing those with the same id, or only older ones if ``version`` is named.
 
     Only partitions the new rows touch are read and rewritten. The merged rows are
     checkpointed first, because a table cannot be overwritten while it is being read.
     Returns one row (success, failed).
     """
     keys = [ids] if isinstance(ids, str) else ids
-    fresh = df.dropDuplicates(keys)
+    fresh = df.dropDuplicates(keys) if version is None else latest_by_id(df, keys, version)
     stored = _existing(df, path)
     merged = fresh
     if stored is not None:
         touched = fresh.select(partition).distinct()
-        kept = stored.join(touched, partition, "left_semi").join(fresh.select(*keys), keys, "left_anti")
-        merged = kept.unionByName(fresh)
+        kept = stored.join(touched, partition, "left_semi")
+        if version is None:
+            merged = kept.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+        else:
+            merged = latest_by_id(kept.unionByName(fresh), keys, version)
     merged = cut_lineage(merged)
     (
         merged.write.mode("overwrite")
