@@ -1,8 +1,8 @@
 """Registered queries: every operator over the whole given tables, most with equivalent SQL."""
 
-from checks import extraction, profiling
+from checks import canonical, extraction, profiling
 
 ALL_QUERIES, ALL_SQL = {}, {}
-for module in (profiling, extraction):
+for module in (profiling, extraction, canonical):
     ALL_QUERIES.update(module.QUERIES)
     ALL_SQL.update(module.SQL)

@@ -190,11 +190,9 @@ def _by_cells(queries: DataFrame, corpus: DataFrame, groups: list[str], k: int,
         F.pmod(F.xxhash64("q_id"), "q_blocks").alias("q_block"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c_blocks") - 1)).alias("c_block"),
     )
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
-
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame(columns=names)
+            return pd.DataFrame()
         right = right.sort_values("c_id", kind="stable")
         q, c, s = _best(_matrix(left["q_vec"]), _matrix(right["c_vec"]), k)
         return pd.DataFrame({"q_id": left["q_id"].to_numpy()[q], "c_id": right["c_id"].to_numpy()[c], "score": s})
@@ -341,6 +339,8 @@ def radius_edges(
                 left.extend([names[at]] * int(close.sum()))
                 right.extend(names[i] for i in waiting[close])
                 waiting = waiting[~close]
+        if not left:
+            return pd.DataFrame()
         return pd.DataFrame({group: [pdf[group].iloc[0]] * len(left), "a": left, "b": right})
 
     kind = df.schema[group].dataType.simpleString()

@@ -98,8 +98,8 @@ def text_clusters(values: DataFrame, threshold: float, min_size: int = 2) -> Dat
     ``min_size`` 2 every neighbour pair is core, so clusters are connected components and
     spanning edges suffice.
     """
-    named = values.select("key_name", "value", token_sort("value").alias("form"))
-    table = cut_lineage(forms(values))
+    named = cut_lineage(values.select("key_name", "value", token_sort("value").alias("form")))
+    table = cut_lineage(forms(named))
     if min_size <= 2:
         parts = connected_components(spanning_edges(table, threshold), "key_name", "a", "b")
         joined = table.join(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 MAX_RANGES = 1024
 ROWS_PER_RANGE = 500_000
+INDEX_ROWS_PER_RANGE = 20_000
 
 # Strides of a binary search over fewer than MAX_RANGES cut points.
 _STRIDES = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
@@ -93,7 +94,7 @@ def sorted_position(df: DataFrame, groups: list[str], number: str, name: str) ->
 
 
 def global_index(
-    df: DataFrame, order_by: list[str], name: str, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, order_by: list[str], name: str, rows_per_range: int = INDEX_ROWS_PER_RANGE
 ) -> DataFrame:
     """0-based position of every row in the order of ``order_by`` (which must be unique).
 
