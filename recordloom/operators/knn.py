@@ -135,8 +135,9 @@ def _probes(queries: DataFrame, cells: DataFrame, groups: list[str], pivots: np.
     clamped at 0, so when theta exceeds sqrt(2) all non-positive cosines tie and every cell
     counts.
     """
+    # At most PIVOTS cells per group.
     table = cells.groupBy(*groups).agg(F.collect_list(F.struct("cell", "points", "near", "far")).alias("_cells"))
-    joined = queries.join(table, groups) if groups else queries.join(F.broadcast(table), F.lit(True))
+    joined = queries.join(table, groups) if groups else queries.withColumn("_cells", table.scalar())
     columns = ["q_id", *groups, "q_vec"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
