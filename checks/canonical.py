@@ -248,14 +248,19 @@ def dbscan_dense(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "connected_components",
-    "WITH RECURSIVE e AS (SELECT DISTINCT p_brand AS g, p_name AS a, p_type AS b FROM part WHERE p_size = 7),"
-    " n AS (SELECT g, a, b FROM e UNION SELECT g, b, a FROM e),"
-    " r AS (SELECT g, a AS node, a AS root FROM n UNION SELECT r.g, n.b, r.root FROM r JOIN n ON n.g = r.g AND n.a = r.node)"
-    " SELECT g, node, min(root) AS component FROM r GROUP BY g, node",
+    "WITH RECURSIVE o AS (SELECT o_orderstatus AS g, o_orderkey AS k, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS n, lead(o_orderstatus) OVER (ORDER BY o_orderkey) AS s FROM orders),"
+    " e AS (SELECT g, printf('%012d', k) AS a, printf('%012d', n) AS b FROM o WHERE n = k + 1 AND s = g),"
+    " r AS (SELECT g, a AS node, a AS root FROM e WHERE (g, a) NOT IN (SELECT g, b FROM e) UNION ALL SELECT r.g, e.b, r.root FROM r JOIN e ON e.g = r.g AND e.a = r.node)"
+    " SELECT g, node, root AS component FROM r",
 )
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part").filter("p_size = 7").select(F.col("p_brand").alias("g"), "p_name", "p_type").distinct()
-    return connected_components(part, "g", "p_name", "p_type")
+    """Runs of consecutive orders of one status: long and short chains in one graph."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("g"))
+    following = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), "g")
+    chained = orders.join(following, ["o_orderkey", "g"])
+    name = lambda c: F.format_string("%012d", c)
+    edges = chained.select("g", name(F.col("o_orderkey")).alias("a"), name(F.col("o_orderkey") + 1).alias("b"))
+    return connected_components(edges, "g", "a", "b")
 
 
 @query("representative", f"{_members_sql(0.7, 2)}{_FREQ_SQL} SELECT key_name, cluster, normalized_value FROM best")

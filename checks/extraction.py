@@ -361,10 +361,10 @@ def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "values_of_key",
-    f"{_CTES} SELECT {_node('key', 'key_name')} AS key, {_VAL} AS \"value\", {_DOC} AS document FROM v WHERE key_name = 'c_mktsegment'",
+    f"{_CTES} SELECT {_node('key', 'key_name')} AS key, {_VAL} AS \"value\", {_DOC} AS document FROM v",
 )
 def values_of_key(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.values_of_key(_graph(spark, sf).triples(), "c_mktsegment")
+    return graph.values_of_key(_graph(spark, sf).triples())
 
 
 @query(
@@ -417,7 +417,7 @@ _NEWEST = f"{_RELATIONS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY sr
 )
 def upsert_relations(spark: SparkSession, sf: str) -> DataFrame:
     rows = _order_relations(spark, sf)
-    merged = graph.upsert_relations(rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 2 = 1"))
+    merged = graph.upsert_relations(rows.filter("o_orderkey < 5000"), rows.filter("o_orderkey >= 5000"))
     return merged.select("rel_id", "relation_type", "score", "reason", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 

@@ -165,7 +165,7 @@ def score_numeric(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "nearest_numbers",
-    "WITH q AS (SELECT DISTINCT o_totalprice AS a FROM orders WHERE o_orderstatus = 'F'), s AS (SELECT DISTINCT o_totalprice AS b FROM orders WHERE o_orderstatus = 'P'),"
+    "WITH q AS (SELECT DISTINCT o_totalprice AS a FROM orders WHERE o_orderstatus = 'F'), s AS (SELECT DISTINCT o_totalprice AS b FROM orders WHERE o_orderstatus <> 'F'),"
     " u AS (SELECT b, row_number() OVER (ORDER BY b) AS pos FROM s), p AS (SELECT a, (SELECT count(*) FROM s WHERE b <= a) AS pos FROM q),"
     " c AS (SELECT a, b FROM p JOIN u ON u.pos BETWEEN p.pos - 2 AND p.pos + 3),"
     " r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY abs(a - b), b) AS rn FROM c) SELECT a AS number, b AS near FROM r WHERE rn <= 3",
@@ -173,7 +173,7 @@ def score_numeric(spark: SparkSession, sf: str) -> DataFrame:
 def nearest_numbers(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderstatus", F.col("o_totalprice").alias("number"), F.lit("all").alias("g"))
     found = nearest.nearest_numbers(
-        orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus = 'P'"), ["g"], 3, rows_per_range=2_000
+        orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus <> 'F'"), ["g"], 3, rows_per_range=2_000
     )
     return found.drop("g")
 
