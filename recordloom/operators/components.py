@@ -24,7 +24,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
         .filter("v > u")
         .select("g", F.col("v").alias("u"), F.col("m").alias("v"))
         .filter("u <> v")
-        .distinct()
     )
 
 

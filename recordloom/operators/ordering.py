@@ -99,7 +99,8 @@ def global_index(
     """0-based position of every row in the order of ``order_by`` (which must be unique).
 
     Large inputs are cut into key ranges at the keys of a bounded hash sample; the cut
-    points become literals of the plan, so the split is the same in every attempt.
+    points and the counts of the ranges become literals of the plan, so the split is the
+    same in every attempt and the index needs one shuffle.
     """
     order = [F.col(c) for c in order_by]
     total = df.count()
@@ -120,16 +121,20 @@ def global_index(
             for f in fields
         ]
     )
-    ranged = df.withColumn("_range", _range_of(key, cuts))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
+    at = _range_of(key, cuts)
+    # At most MAX_RANGES counts; reads the key columns only.
+    counted = df.groupBy(at.alias("_range")).agg(F.count("*").alias("n")).collect()
+    sizes = {row["_range"]: row["n"] for row in counted}
+    before, offsets = 0, []
+    for i in range(len(picked) + 1):
+        offsets.append(before)
+        before += sizes.get(i, 0)
     inside = Window.partitionBy("_range").orderBy(*order)
-    # At most MAX_RANGES rows, so the broadcast is bounded whatever the data size.
     return (
-        ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop("_range", "_before")
+        df.withColumn("_range", at)
+        .withColumn(
+            name,
+            F.get(F.array(*[F.lit(n).cast("bigint") for n in offsets]), F.col("_range")) + F.row_number().over(inside) - 1,
+        )
+        .drop("_range")
     )

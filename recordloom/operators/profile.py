@@ -29,6 +29,9 @@ CUT_MARKER = "\n...(중략)...\n"
 ADDRESS_KEYWORDS = ("시", "구", "동", "로", "길")
 AUTO_DESCRIPTION = "자동 생성된 필드 (타입: {})"
 
+# Stands for the fields of a record that has none.
+NO_FIELD = "\u0000"
+
 
 def long_text_settings(context: str) -> LongText:
     return LONG_TEXT.get(context, LONG_TEXT["default"])
@@ -50,26 +53,44 @@ def value_counts(records: DataFrame) -> DataFrame:
     """Occurrences and first position of every distinct field value; "" counts as null.
 
     The one wide shuffle of profiling: statistics, samples and lengths all derive from it,
-    and repeated values are combined before it.
+    and repeated values are combined before it. ``leading`` counts the rows that stand for
+    whole records (their first field, or NO_FIELD for a record without any), so the number of
+    records needs no second scan.
     """
+    rows = records.select(
+        F.coalesce("dataset", F.lit("")).alias("dataset"), "record_index", F.posexplode_outer(F.map_entries("raw")).alias("field_pos", "_e")
+    )
     return (
-        melt(records)
-        .withColumn("value", F.nullif("value", F.lit("")))
+        rows.select(
+            "dataset",
+            "record_index",
+            F.coalesce("field_pos", F.lit(0)).alias("field_pos"),
+            F.coalesce("_e.key", F.lit(NO_FIELD)).alias("field"),
+            F.nullif("_e.value", F.lit("")).alias("value"),
+        )
         .groupBy("dataset", "field", "value")
-        .agg(F.count("*").alias("occurrences"), F.min("record_index").alias("first_index"))
+        .agg(
+            F.count("*").alias("occurrences"),
+            F.min("record_index").alias("first_index"),
+            F.count_if(F.col("field_pos") == 0).alias("leading"),
+        )
     )
 
 
 def value_lengths(records: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Minimum, maximum and floor-average length of the non-empty values; zeros if none."""
     counts = value_counts(records) if counts is None else counts
-    return _lengths(counts).select("dataset", "field", "min_length", "max_length", "avg_length")
+    found = _lengths(counts).filter("named")
+    return found.select("dataset", "field", "min_length", "max_length", "avg_length")
 
 
 def _lengths(counts: DataFrame) -> DataFrame:
     size = F.length("value")
     present = F.sum(F.when(F.col("value").isNotNull(), F.col("occurrences")).otherwise(0))
     return counts.groupBy("dataset", "field").agg(
+        F.sum("leading").alias("leading"),
+        F.min("first_index").alias("first_index"),
+        F.bool_or(F.col("field") != NO_FIELD).alias("named"),
         F.count("value").alias("unique_count"),
         present.alias("present"),
         F.coalesce(F.min(size), F.lit(0)).alias("min_length"),
@@ -83,13 +104,14 @@ def _lengths(counts: DataFrame) -> DataFrame:
 def top_samples(records: DataFrame, k: int = 5, counts: DataFrame | None = None) -> DataFrame:
     """The k most frequent values per field; ties go to the value seen first."""
     counts = value_counts(records) if counts is None else counts
+    # Nulls are ranked last and dropped after the window: a filter before it would be pushed into
+    # the counting, and the counts could no longer be shared with the other statistics.
     order = Window.partitionBy("dataset", "field").orderBy(
-        F.desc("occurrences"), "first_index", "value"
+        F.col("value").isNull(), F.desc("occurrences"), "first_index", "value"
     )
     best = (
-        counts.filter("value is not null")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
+        counts.withColumn("rank", F.row_number().over(order))
+        .filter((F.col("rank") <= k) & F.col("value").isNotNull() & (F.col("leading") >= 0))
     )
     return best.groupBy("dataset", "field").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("samples")
@@ -99,11 +121,14 @@ def top_samples(records: DataFrame, k: int = 5, counts: DataFrame | None = None)
 def field_statistics(records: DataFrame, k: int = 5) -> DataFrame:
     """P2 to P4 in one table. A field missing from a record counts as null there."""
     counts = value_counts(records)
-    totals = records.groupBy("dataset").agg(F.count("*").alias("total_count"))
+    # One row per field. Both uses of the counts have to read the same shuffle, so they need the
+    # same columns (the comparison of first_index always holds) and no filter on a count's key.
+    fields = _lengths(counts).filter("first_index >= 0").withColumn(
+        "total_count", F.sum("leading").over(Window.partitionBy("dataset"))
+    )
     nulls = F.col("total_count") - F.col("present")
     return (
-        _lengths(counts)
-        .join(totals, "dataset")
+        fields.filter("named")
         .join(top_samples(records, k, counts), ["dataset", "field"], "left")
         .select(
             "dataset",
