@@ -6,9 +6,10 @@ Two filters then bring similar forms together, and both lose nothing:
 * Deletion variants, for short forms. Two strings have indel distance d exactly when deleting
   d characters in total makes them equal, so neighbours share a variant. The test is also
   sufficient: strings that share a variant of length l have LCS >= l.
-* Bigram prefixes, for the rest. Neighbours share a known minimum of bigrams, so they share
-  one among the rarest few of each (prefix filtering, as in Vernica, Carey and Li,
-  "Efficient Parallel Set-Similarity Joins Using MapReduce").
+* Token prefixes, for the rest. Neighbours share a known minimum of bigrams (of characters
+  where strings are too short, or the threshold too low, for bigrams), so they share one
+  among the rarest few of each (prefix filtering, as in Vernica, Carey and Li, "Efficient
+  Parallel Set-Similarity Joins Using MapReduce").
 
 Forms that meet at a signature are compared inside tasks. A hot signature is cut into blocks,
 and each task gets one pair of blocks, so no task holds an unbounded group.
@@ -29,14 +30,12 @@ from recordloom.functions.similarity import lcs_length, ratio, within
 from recordloom.functions.text import token_sort
 from recordloom.session import cut_lineage
 
-# Variants a form may have before the bigram filter takes over.
+# Variants a form may have before the token filter takes over.
 VARIANT_BUDGET = 600
-# Below this length the bigram bound can reach zero; variants are cheap there.
+# Up to this length variants are cheap at every threshold.
 SHORT_FORM = 6
 BLOCK_ROWS = 512
 
-_PIECES = "key_name string, sig string, form string, prefix array<string>, exact boolean"
-
 
 def forms(values: DataFrame) -> DataFrame:
     """(key_name, form, n, weight, first_value) from distinct (key_name, value)."""
@@ -70,24 +69,32 @@ def _variants(form: str, sizes: list[int]) -> set[str]:
     return found
 
 
-def _min_shared_bigrams(n: int, threshold: float) -> int:
-    """Bigrams a form of length ``n`` shares with any neighbour, whatever its length.
+def _min_shared(n: int, threshold: float, q: int) -> int:
+    """q-grams a form of length ``n`` shares with any neighbour, whatever its length.
 
-    With LCS = l, going from n to m characters deletes n - l (each breaks at most 2 bigrams)
-    and inserts m - l (each breaks at most 1). The bound is linear in m, so only the extreme
-    partner lengths count; it is lowered by one against rounding.
+    With LCS = l, going from n to m characters deletes n - l (each breaks at most q q-grams)
+    and inserts m - l (each breaks at most q - 1). The bound is linear in m, so only the
+    extreme partner lengths count.
     """
-    low = n * threshold / (2 - threshold)
-    high = n * (2 - threshold) / threshold
     bounds = []
-    for m in (low, high):
+    for m in (n * threshold / (2 - threshold), n * (2 - threshold) / threshold):
         common = threshold * (m + n) / 2
-        bounds.append((n - 1) - 2 * (n - common) - (m - common))
-    return math.floor(min(bounds) - 1e-6) - 1
+        bounds.append((n - q + 1) - q * (n - common) - (q - 1) * (m - common))
+    return math.ceil(min(bounds) - 1e-6)
+
+
+def bigrams_from(threshold: float) -> float:
+    """Smallest length from which neighbours surely share a bigram; infinite at low thresholds."""
+    if threshold <= 2 / 3 + 1e-9:
+        return math.inf
+    n = 1
+    while _min_shared(n, threshold, 2) < 1:
+        n += 1
+    return n
 
 
 def _length_plan(table: DataFrame, threshold: float, budget: int) -> DataFrame:
-    """Per (key, n): variant lengths to emit, or an empty list where bigrams are cheaper."""
+    """Per (key, n): variant lengths to emit, or an empty list where tokens are cheaper."""
 
     def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,42 +136,54 @@ def _emit_variants(planned: DataFrame) -> DataFrame:
     )
 
 
-def _emit_bigrams(table: DataFrame) -> DataFrame:
-    """Numbered bigrams, so that a repeated bigram counts as often as it occurs."""
+def _emit_tokens(table: DataFrame, threshold: float) -> DataFrame:
+    """Numbered q-grams, so that a repeated one counts as often as it occurs.
+
+    Pairs of forms that both reach ``bigrams_from`` meet by bigrams, all others by
+    characters; a form takes part in each space in which it can have a partner.
+    """
+    start = bigrams_from(threshold)
+    reach = threshold / (2 - threshold)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, grams, whole = [], [], []
+            keys, spaces, grams, whole = [], [], [], []
             for key, form in zip(batch["key_name"], batch["form"]):
-                seen: Counter[str] = Counter()
-                for i in range(len(form) - 1):
-                    gram = form[i : i + 2]
-                    seen[gram] += 1
-                    keys.append(key)
-                    grams.append(f"{gram}{seen[gram]}")
-                    whole.append(form)
-            yield pd.DataFrame({"key_name": keys, "gram": grams, "form": whole})
+                n = len(form)
+                wanted = [q for q, fits in ((1, n * reach - 1 < start), (2, n >= start)) if fits]
+                for q in wanted:
+                    seen: Counter[str] = Counter()
+                    for i in range(n - q + 1):
+                        gram = form[i : i + q]
+                        seen[gram] += 1
+                        keys.append(key)
+                        spaces.append(q)
+                        grams.append(f"{q}{gram}{seen[gram]}")
+                        whole.append(form)
+            yield pd.DataFrame({"key_name": keys, "space": spaces, "gram": grams, "form": whole})
 
-    return table.select("key_name", "form").mapInPandas(emit, "key_name string, gram string, form string")
+    return table.select("key_name", "form").mapInPandas(
+        emit, "key_name string, space int, gram string, form string"
+    )
 
 
 def _prefixes(table: DataFrame, threshold: float) -> DataFrame:
-    """(key_name, sig, form, prefix): the rarest bigrams of every form, rarest first."""
-    grams = _emit_bigrams(table)
+    """(key_name, sig, form, prefix): the rarest q-grams of every form, rarest first."""
+    grams = _emit_tokens(table, threshold)
     counts = grams.groupBy("key_name", "gram").agg(F.count("*").alias("holders"))
     # As many entries per form as it has characters.
     ranked = (
         grams.join(counts, ["key_name", "gram"])
-        .groupBy("key_name", "form")
+        .groupBy("key_name", "form", "space")
         .agg(F.array_sort(F.collect_list(F.struct("holders", "gram"))).alias("grams"))
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, sigs, whole, prefixes = [], [], [], []
-            for key, form, ordered in zip(batch["key_name"], batch["form"], batch["grams"]):
-                shared = max(1, _min_shared_bigrams(len(form), threshold))
-                keep = ordered[: max(1, len(ordered) - shared + 1)]
+            for key, form, q, ordered in zip(batch["key_name"], batch["form"], batch["space"], batch["grams"]):
+                shared = _min_shared(len(form), threshold, q)
+                keep = ordered[: len(ordered) - shared + 1]
                 prefix = [g["gram"] for g in keep]
                 for g in keep:
                     if g["holders"] > 1:
@@ -262,7 +281,7 @@ def _verified(threshold: float, spanning: bool):
         )
 
         def meets(x, y) -> bool:
-            # A pair is compared at its first shared bigram only, and once per block pair.
+            # A pair is compared at its first shared token only, and once per block pair.
             if cross and not spanning and x[1][0] == y[1][0]:
                 return False
             return not x[1][1] or _first_shared(x[1][1], y[1][2]) == sig
@@ -310,10 +329,10 @@ def _compare(pieces: DataFrame, threshold: float, spanning: bool, block_rows: in
 
 
 def _split_by_plan(table: DataFrame, threshold: float, budget: int) -> tuple[DataFrame, DataFrame]:
-    """Forms with their plan, once with variants and once as the bigram side.
+    """Forms with their plan, once for the variants and once for the token filter.
 
-    A pair with at least one planless form is the bigram filter's; the other form may have a
-    plan, so every form long enough to be its partner also goes to the bigram side.
+    A pair with at least one planless form is the token filter's; the other form may have a
+    plan, so every form long enough to be its partner also goes there.
     """
     plan = cut_lineage(_length_plan(table, threshold, budget))
     shape = table.join(plan, ["key_name", "n"])

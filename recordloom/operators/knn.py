@@ -26,6 +26,7 @@ from recordloom.functions.vectors import clamp01
 BROADCAST_QUERIES = 2048
 BROADCAST_BYTES = 64 << 20
 PIVOTS = 48
+ZERO_CELL = -1
 BLOCK_ROWS = 4096
 _DECIMALS = 12
 _SLACK = 1e-6
@@ -106,7 +107,7 @@ def _scan(queries: pd.DataFrame, corpus: DataFrame, groups: list[str], k: int, s
 
 
 def _place(df: DataFrame, prefix: str, pivots: np.ndarray) -> DataFrame:
-    """Unit vectors with their nearest pivot and the distance to it."""
+    """Unit vectors with their nearest pivot and the distance to it; zero vectors get an own cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -114,9 +115,9 @@ def _place(df: DataFrame, prefix: str, pivots: np.ndarray) -> DataFrame:
                 unit = _matrix(batch[f"{prefix}_vec"])
                 away = _distances(unit, pivots)
                 cell = away.argmin(axis=1)
-                yield batch.assign(
-                    **{f"{prefix}_vec": list(unit), "cell": cell.astype("int32"), "away": away[np.arange(len(unit)), cell]}
-                )
+                away = away[np.arange(len(unit)), cell]
+                cell[~unit.any(axis=1)] = ZERO_CELL
+                yield batch.assign(**{f"{prefix}_vec": list(unit), "cell": cell.astype("int32"), "away": away})
 
     return df.mapInPandas(run, f"{_types(df, *df.columns)}, cell int, away double")
 
@@ -133,7 +134,8 @@ def _probes(queries: DataFrame, cells: DataFrame, groups: list[str], pivots: np.
     than theta: walk the cells by their farthest possible point until k points are covered.
     A cell is skipped when even its nearest possible point lies beyond theta. Scores are
     clamped at 0, so when theta exceeds sqrt(2) all non-positive cosines tie and every cell
-    counts.
+    counts. Zero vectors score 0 against all, like a right angle; as queries they tie with
+    everything.
     """
     # At most PIVOTS cells per group.
     table = cells.groupBy(*groups).agg(F.collect_list(F.struct("cell", "points", "near", "far")).alias("_cells"))
@@ -147,18 +149,19 @@ def _probes(queries: DataFrame, cells: DataFrame, groups: list[str], pivots: np.
             unit = _matrix(batch["q_vec"])
             away = _distances(unit, pivots)
             chosen = []
-            for row, listed in zip(away, batch["_cells"]):
+            for row, zero, listed in zip(away, ~unit.any(axis=1), batch["_cells"]):
                 cell = np.array([c["cell"] for c in listed])
                 points = np.array([c["points"] for c in listed])
                 near = np.array([c["near"] for c in listed])
                 far = np.array([c["far"] for c in listed])
-                upper = row[cell] + far
+                right = cell == ZERO_CELL
+                upper = np.where(right, np.sqrt(2.0), row[cell] + far)
                 order = np.argsort(upper)
                 covered = np.searchsorted(np.cumsum(points[order]), k)
                 theta = upper[order][covered] if covered < len(order) else np.inf
-                if theta >= np.sqrt(2.0) - _SLACK:
+                if zero or theta >= np.sqrt(2.0) - _SLACK:
                     theta = np.inf
-                lower = np.maximum(row[cell] - far, near - row[cell])
+                lower = np.where(right, np.sqrt(2.0), np.maximum(row[cell] - far, near - row[cell]))
                 chosen.append(cell[lower <= theta + _SLACK].tolist())
             yield batch[columns].assign(q_vec=list(unit), cell=chosen)
 
