@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as str.strip() sees it: Unicode white space plus the four separators.
+# White space as str.strip() and str.split() see it, for trimming and for patterns.
+_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _WS = r"[\s\x1c-\x1f]"
 
 _DIGITS = r"\d+(?:_\d+)*"
@@ -22,8 +23,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space; Spark's ``trim`` removes spaces only."""
-    left = F.regexp_replace(_col(c), rf"(?U)^{_WS}+", "")
-    return F.regexp_replace(left, rf"(?U){_WS}+$", "")
+    return F.btrim(_col(c), F.lit(_SPACES))
 
 
 def is_blank(c: Column | str) -> Column:

@@ -76,7 +76,10 @@ def _pieces(value: Column, multi: Column) -> Column:
 
 def split_multi(kv: DataFrame, keys: Iterable[str]) -> DataFrame:
     """K5/K6: comma-split the values of ``keys``; keys left without a value vanish."""
-    listed = F.col("key_name").isin(*keys) if keys else F.lit(False)
+    keys = list(keys)
+    if not keys:
+        return kv.withColumn("value_pos", F.lit(0)).withColumn("is_repeat", F.lit(False))
+    listed = F.col("key_name").isin(*keys)
     keep = [c for c in kv.columns if c not in ("value", "value_pos", "is_repeat")]
     return (
         kv.withColumn("_parts", _pieces(F.col("value"), listed))
@@ -108,7 +111,7 @@ def extract(
     kv = with_document_id(drop_blank(melt(records))).withColumn("key_name", F.col("field"))
     if mapping is not None:
         kv = map_keys(kv, mapping, strict)
-    return split_multi(kv, list(multi_keys))
+    return split_multi(kv, multi_keys)
 
 
 def infer_value_type(

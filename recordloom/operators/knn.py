@@ -221,9 +221,10 @@ def knn(
     q = _usable(queries, query_id, groups, vector, "q")
     c = _usable(corpus, corpus_id, groups, vector, "c")
     schema = f"{_types(q, 'q_id')}, {_types(c, 'c_id')}, score double"
-    measured = q.select(F.size("q_vec").alias("n")).limit(broadcast_queries + 1).agg(F.count("*").alias("rows"), F.sum("n").alias("cells")).first()
-    if measured["rows"] <= broadcast_queries and 8 * (measured["cells"] or 0) <= BROADCAST_BYTES:
-        local = q.toPandas()
+    # At most one row more than the limit ever reaches the driver.
+    local = q.limit(broadcast_queries + 1).toPandas()
+    size = 8 * int(local["q_vec"].map(len).sum())
+    if len(local) <= broadcast_queries and size <= BROADCAST_BYTES:
         found = _scan(local, c, groups, k, schema) if len(local) else corpus.sparkSession.createDataFrame([], schema)
     else:
         found = _by_cells(q, c, groups, k, schema, block_rows)

@@ -71,7 +71,7 @@ def gap_clusters(values: DataFrame, min_size: int = 2) -> DataFrame:
     them. Returns (key_name, value, cluster) with ``cluster`` counted from 0 before small
     clusters are dropped.
     """
-    points = values.select("key_name", "value", parse_number("value").alias("number"))
+    points = cut_lineage(values.select("key_name", "value", parse_number("value").alias("number")))
     distinct = points.groupBy("key_name", "number").agg(F.count("*").alias("copies"))
     ranged = cut_lineage(with_ranges(distinct, ["key_name"], "number"))
     edges = ranged.groupBy("key_name", "_range").agg(F.max("number").alias("_last"))

@@ -118,7 +118,7 @@ def discover_relations(
     allowed = cut_lineage(allowed) if gated else None
 
     text = asked.filter("key_type <> 'numeric_date'")
-    value_vectors = embed_distinct(graph.values.filter("key_type <> 'numeric_date'"), "value_content", encoder)
+    value_vectors = cut_lineage(embed_distinct(graph.values.filter("key_type <> 'numeric_date'"), "value_content", encoder))
     source = ["src_dataset", "key_name", "source_value"]
     of_text = (
         text.select(F.col("doc_id").alias("src_doc"), F.col("dataset").alias("src_dataset"), "key_name", "key_type",
