@@ -151,11 +151,11 @@ def gap_clusters(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "cluster_members",
     "SELECT p_type AS key_name, p_name AS value, p_brand AS cluster FROM (SELECT DISTINCT p_type, p_name, p_brand FROM part)"
-    " QUALIFY count(*) OVER (PARTITION BY p_type, p_brand) >= 12",
+    " QUALIFY count(*) OVER (PARTITION BY p_type, p_brand) >= 3",
 )
 def cluster_members(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select(F.col("p_type").alias("key_name"), F.col("p_name").alias("value"), F.col("p_brand").alias("cluster"))
-    return normalize.cluster_members(rows.distinct(), 12)
+    return normalize.cluster_members(rows.distinct(), 3)
 
 
 # LCS as a recursive table: one row of the dynamic programme per step.

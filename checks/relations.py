@@ -63,10 +63,12 @@ def document_key_values(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "source_profile",
     f"WITH {_TURNS} SELECT doc_id, dataset, key_name, 'semantic' AS key_type, string_agg(value_content, '|' ORDER BY value_pos) AS \"values\","
-    " coalesce(string_agg(CAST(CAST(numeric_value AS INTEGER) AS VARCHAR), '|' ORDER BY value_pos), '') AS numeric_values FROM turns GROUP BY doc_id, dataset, key_name",
+    " coalesce(string_agg(CAST(CAST(numeric_value AS INTEGER) AS VARCHAR), '|' ORDER BY value_pos), '') AS numeric_values FROM"
+    " (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY key_name, value_pos) <= 500) GROUP BY doc_id, dataset, key_name",
 )
 def source_profile(spark: SparkSession, sf: str) -> DataFrame:
-    rows = relate.source_profile(_turns(spark, sf))
+    turns = _turns(spark, sf)
+    rows = relate.source_profile(relate.document_key_values(turns, turns.select("doc_id").distinct()))
     return rows.withColumn("values", F.array_join("values", "|")).withColumn(
         "numeric_values", F.array_join(F.transform("numeric_values", lambda x: x.cast("int").cast("string")), "|")
     )

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.similarity import lcs_length, ratio, within
 from recordloom.functions.text import token_sort
-from recordloom.session import cut_lineage
+from recordloom.session import cut_lineage, spread
 
 # Variants a form may have before the token filter takes over.
 VARIANT_BUDGET = 600
@@ -131,7 +131,7 @@ def _emit_variants(planned: DataFrame) -> DataFrame:
                     keys, sigs, whole = [], [], []
             yield pd.DataFrame({"key_name": keys, "sig": sigs, "form": whole})
 
-    return planned.select("key_name", "form", "sizes").mapInPandas(
+    return spread(planned.select("key_name", "form", "sizes"), "form").mapInPandas(
         emit, "key_name string, sig string, form string"
     )
 
@@ -162,7 +162,7 @@ def _emit_tokens(table: DataFrame, threshold: float) -> DataFrame:
                         whole.append(form)
             yield pd.DataFrame({"key_name": keys, "space": spaces, "gram": grams, "form": whole})
 
-    return table.select("key_name", "form").mapInPandas(
+    return spread(table.select("key_name", "form"), "form").mapInPandas(
         emit, "key_name string, space int, gram string, form string"
     )
 
@@ -322,8 +322,8 @@ def _verified(threshold: float, spanning: bool):
 
 def _compare(pieces: DataFrame, threshold: float, spanning: bool, block_rows: int) -> DataFrame:
     keys = ["key_name", "sig", "low", "high"]
-    spread = _block_pairs(pieces, block_rows).repartition(*keys).sortWithinPartitions(*keys)
-    return spread.mapInPandas(
+    blocks = spread(_block_pairs(pieces, block_rows), *keys).sortWithinPartitions(*keys)
+    return blocks.mapInPandas(
         _verified(threshold, spanning), "key_name string, a string, b string, similarity double"
     )
 

@@ -41,3 +41,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="recordloom-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partition into the session's number of shuffle partitions.
+
+    For rows that are small now but costly later: adaptive execution sizes partitions by
+    bytes and would leave the work to a few tasks.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *columns)

