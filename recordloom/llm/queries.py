@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontaminate, line_templates, near_dup, quality_rules, sharding, token_counts, url_filter
+from recordloom.llm import (
+    decontaminate,
+    line_templates,
+    near_dup,
+    quality_rules,
+    sampled_pieces,
+    sharding,
+    suffix_tree_lm,
+    token_counts,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -48,6 +58,14 @@ def op5_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return sampled_pieces.encode_samples(_table(spark, sf, "documents"), k=2)
+
+
+def op8_suffix_tree_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_tree_lm.score_texts(_table(spark, sf, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -60,7 +78,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality_rules, op3_simhash_near_dup, op4_line_templates, op5_byte_shards,
-        op9_decontamination, op10_url_filter,
+        op7_sampled_pieces, op8_suffix_tree_lm, op9_decontamination, op10_url_filter,
     )
 }
 
