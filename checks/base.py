@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.operators.extract import extract
+from recordloom.session import shared_folder
 from recordloom.sources.readers import records_from_table
 
 # Key and columns of the tables used as record datasets; "d" decimal text, "t" date text.
@@ -44,12 +43,7 @@ def key_values(spark: SparkSession, sf: str, *names: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for a query that goes through files: in the shared checkpoint folder if set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="recordloom-scratch-")
-    return f"{shared}/{uuid.uuid4().hex}"
+    return shared_folder(spark)
 
 
 def text_sql(column: str, kind: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,21 +26,26 @@ def local_session(cores: int | str = "*", app: str = "recordloom", **conf) -> Sp
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably, so that a lost executor costs no long recomputation.
+def _shared(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="recordloom-shared-")
+    return shared
 
-    The directory is the session's ``spark.checkpoint.dir``. Only a local master may
-    fall back to a temporary folder; on a cluster a missing setting is an error.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the folder that all executors share, for a table that several jobs read."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` reliably, so that a lost executor costs no long recomputation."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="recordloom-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
