@@ -81,7 +81,17 @@ def build_tables(items: list[tuple], window: int) -> tuple[dict[bytes, int], lis
     return numbers, [WuManber(patterns, length) for length, patterns in sorted(by_length.items())]
 
 
-def _find(docs: DataFrame, items: list[tuple], window: int, keep_spans: bool) -> DataFrame:
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int):
+    """The items as lists whose texts have about ``block_chars`` characters at most."""
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = -(-2 * size // block_chars) if size > block_chars else 1
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    for b in range(blocks):
+        yield [tuple(r) for r in items.filter(block == b).collect()]
+
+
+def _find(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
     tables = docs.sparkSession.sparkContext.broadcast(items)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
@@ -130,15 +140,9 @@ def contamination(
     searched by itself and the spans of a document meet by its id and text hash.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).filter("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * size // block_chars)) if size > block_chars else 1
-    if blocks == 1:
-        found = _find(rows, [tuple(r) for r in items.collect()], window, True)
-    else:
-        block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-        parts = [_find(rows, [tuple(r) for r in items.filter(block == b).collect()], window, True) for b in range(blocks)]
-        found = parts[0]
+    parts = [_find(rows, block, window) for block in _blocks(benchmark, item_id, item_text, block_chars)]
+    blocks, found = len(parts), parts[0]
+    if blocks > 1:
         for part in parts[1:]:
             found = found.unionByName(part)
         found = _merge_blocks(found, blocks)
@@ -182,6 +186,19 @@ def _merge_blocks(found: DataFrame, blocks: int) -> DataFrame:
     return merged.select("id", "text_hash", "n_words", joined.alias("spans"), "items")
 
 
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    block_chars: int = 8_000_000,
+) -> DataFrame:
+    """The rows of ``docs`` (all columns) in which no window of an item occurs. Narrow: one pass per block of items."""
+    names = {c: f"_col{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    for block in _blocks(benchmark, item_id, item_text, block_chars):
+        rows = _find(rows.withColumn("text", F.col(names[text])), block, window).filter(F.size("spans") == 0)
+        rows = rows.select(*names.values())
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def digest(items: list[str]) -> str:
     """SHA-256 of the sorted ids joined by commas."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

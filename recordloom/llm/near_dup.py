@@ -35,8 +35,8 @@ def majority_bits(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, bits): the SimHash of every document, as a signed long with the 64 bits."""
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    """(id, body, bits): the SimHash of every document, as a signed long with the 64 bits; body is the text's hash."""
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
 
     def task():
         import xxhash
@@ -57,11 +57,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_column: s
             return value - (1 << 64) if value >> 63 else value
 
         def handle(columns):
-            yield {"id": columns["id"], "bits": [one(t.as_py()) for t in columns["text"]]}
+            yield {"id": columns["id"], "body": columns["body"], "bits": [one(t.as_py()) for t in columns["text"]]}
 
         return handle
 
-    return map_batches(rows, f"id {rows.schema['id'].dataType.simpleString()}, bits long", task)
+    return map_batches(rows, f"id {rows.schema['id'].dataType.simpleString()}, body long, bits long", task)
 
 
 def segment_counts(bits: Column) -> list[Column]:
@@ -112,24 +112,44 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(id, bits, component_id): one row per document with the smallest id reachable over links.
-
-    Equal fingerprints are one node, whatever the number of copies; only ids and fingerprints
-    (16 bytes a document) are shuffled.
-    """
+def _components(docs: DataFrame, id_column: str, text: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all documents, and (bits, root, component_id) of the different ones."""
     prints = cut_lineage(fingerprints(docs, id_column=id_column, text=text, **options))
     nodes = cut_lineage(prints.groupBy("bits").agg(F.min("id").alias("least")))
     links = connected_components(close_pairs(nodes.select("bits")).withColumn("g", F.lit(0)), "g", "a", "b")
-    rooted = nodes.join(links.select(F.col("node").alias("bits"), "component"), "bits", "left").withColumn(
-        "component", F.coalesce("component", "bits")
+    rooted = nodes.join(links.select(F.col("node").alias("bits"), F.col("component").alias("root")), "bits", "left").withColumn(
+        "root", F.coalesce("root", "bits")
     )
     # Roots first get their least id, then hand it to their members.
-    roots = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(roots, "component").select("bits", "component_id")
+    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, rooted.join(roots, "root").select("bits", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(id, bits, component_id): one row per document with the smallest id reachable over links.
+
+    Equal fingerprints are one node, whatever the number of copies; only ids, text hashes and
+    fingerprints (24 bytes a document) are shuffled.
+    """
+    prints, labels = _components(docs, id_column, text, **options)
     return prints.join(labels, "bits").select(F.col("id").alias(id_column), "bits", "component_id")
 
 
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` (all columns) with one row of each component: that of the smallest id (nulls last), then of the smallest text hash."""
+    prints, labels = _components(docs, id_column, text, **options)
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "body")).alias("least")
+    first = prints.join(labels.select("bits", "root"), "bits").groupBy("root").agg(least).select("least.id", "least.body")
+    names = {c: f"_col{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("_body", F.xxhash64(names[text]))
+    kept = rows.join(first, rows[names[id_column]].eqNullSafe(first["id"]) & (rows["_body"] == first["body"]), "left_semi")
+    # Rows of one id and text are the same document: one of them stays.
+    repeated = prints.groupBy("id", "body").count().filter("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([names[id_column], "_body"])
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def fingerprint_text(bits: Column) -> Column:
     """16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(bits), 16, "0"))

@@ -243,7 +243,10 @@ def filter_quality(
     """
     p = "__quality_"
     rows = docs.select(F.col(id_column).alias("_id"), stratum_of(stratum).alias("stratum"), F.col(text).alias("_text"))
-    cutoffs = certified(add_counts(rows, F.col("_text")).drop("_text"), labels, id_column, label, **options)
+    counted = cut_lineage(add_counts(rows, F.col("_text")).drop("_text"))
+    cutoffs = certified(counted, labels, id_column, label, **options)
     judged = add_counts(docs, F.col(text), p).withColumn(f"{p}stratum", stratum_of(stratum))
     kept = ~base_failed(p) & ~reject_above(cutoffs, F.col(f"{p}stratum"), signals(p))
-    return judged.filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # A filter on plain columns would be pushed below the counting and repeat all of it in itself.
+    judged = judged.withColumn(f"{p}row", F.monotonically_increasing_id())
+    return judged.filter(kept & (F.col(f"{p}row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import (
+    cotraining,
     decontaminate,
     line_templates,
     near_dup,
@@ -58,6 +59,11 @@ def op5_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_cotraining(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    return cotraining.classify(docs, cotraining.fit_views(docs, _table(spark, sf, "labels")))
+
+
 def op7_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return sampled_pieces.encode_samples(_table(spark, sf, "documents"), k=2)
 
@@ -78,7 +84,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality_rules, op3_simhash_near_dup, op4_line_templates, op5_byte_shards,
-        op7_sampled_pieces, op8_suffix_tree_lm, op9_decontamination, op10_url_filter,
+        op6_cotraining, op7_sampled_pieces, op8_suffix_tree_lm, op9_decontamination, op10_url_filter,
     )
 }
 

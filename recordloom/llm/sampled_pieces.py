@@ -416,6 +416,8 @@ def encode_samples(
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id_column), F.lit(seed)).alias("key"))
+    kind = rows.schema["id"].dataType.simpleString()
+    arrow_type = _samples_type()
 
     def task():
         vocabulary = Vocabulary(pieces.value, alpha)
@@ -434,7 +436,7 @@ def encode_samples(
                 ["ids", "log_prob", "inclusion"],
             )
             outer = np.concatenate([[0], np.cumsum([len(samples) for samples in found])]).astype(np.int32)
-            return {"id": ids, "samples": pa.ListArray.from_arrays(pa.array(outer), structs).cast(_samples_type())}
+            return {"id": ids, "samples": pa.ListArray.from_arrays(pa.array(outer), structs).cast(arrow_type)}
 
         def handle(columns):
             texts = columns["text"]
@@ -453,7 +455,6 @@ def encode_samples(
 
         return handle
 
-    kind = rows.schema["id"].dataType.simpleString()
     return map_batches(rows, f"id {kind}, samples {SAMPLES}", task).withColumnRenamed("id", id_column)
 
 
