@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.session import shared_folder
+
 # The bytes that separate words, and the same set for Java patterns.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x09-\x0D ]"
@@ -52,6 +54,16 @@ def map_batches(df: DataFrame, schema: str, task: Callable[[], Callable[[dict[st
     return df.mapInArrow(run, schema)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: compressed, and read by column, unlike a checkpoint.
+
+    The folder stays until its owner clears it.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_bytes(path: str) -> bytes:
     """A small file of the driver, such as a vocabulary; its content is sent to the tasks."""
     with open(path, "rb") as file:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import words_of
+from recordloom.llm.common import stored, words_of
 from recordloom.session import cut_lineage
 
 VARIABLE = "<*>"
@@ -74,7 +74,7 @@ def recurring_lines(
     A template of fewer than ``short_tokens`` tokens needs ``short_min_docs`` documents, any
     other ``min_docs``. Hashes and positions are shuffled, never lines.
     """
-    lines = cut_lineage(parsed_lines(docs, id_column, text, depth))
+    lines = stored(parsed_lines(docs, id_column, text, depth))
     shared = leaf_templates(lines, similarity).withColumn("shared", F.lit(True))
     keyed = lines.select("id", "body", "pos", "n", "leaf", "form").join(shared, ["leaf", "form"], "left").select(
         "id", "body", "pos", "n", "leaf", F.when(F.col("shared"), F.lit(0).cast("long")).otherwise(F.col("form")).alias("form"),
