@@ -43,8 +43,7 @@ def map_batches(df: DataFrame, schema: str, task: Callable[[], Callable[[dict[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle = task()
-        for batch in batches:
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        for columns in _slices(batches):
             for out in handle(columns):
                 yield pa.RecordBatch.from_arrays(
                     [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) for f, x in ((f, out[f.name]) for f in target)],
@@ -54,6 +53,18 @@ def map_batches(df: DataFrame, schema: str, task: Callable[[], Callable[[dict[st
     return df.mapInArrow(run, schema)
 
 
+# Arrow bytes that a function gets at once (or one row), so that Python objects stay bounded.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
+        for at in range(0, max(1, batch.num_rows), rows):
+            part = batch.slice(at, rows)
+            yield {name: part.column(i) for i, name in enumerate(part.schema.names)}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: compressed, and read by column, unlike a checkpoint.
 
