@@ -48,21 +48,40 @@ def load_pieces(model: str = MODEL) -> list[tuple[str, float, str]]:
     return rows
 
 
-def hashed(*parts) -> np.ndarray:
-    """Uniform 64-bit numbers from integers: each part is mixed in by a splitmix64 step."""
-    with np.errstate(over="ignore"):
-        state = np.uint64(0)
-        for part in parts:
-            z = state + np.asarray(part).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            state = z ^ (z >> np.uint64(31))
+_GAMMA = 0x9E3779B97F4A7C15
+_WORD = (1 << 64) - 1
+
+
+def row_key(*parts: int) -> int:
+    """One number from several: each is mixed in by a splitmix64 step."""
+    state = 0
+    for part in parts:
+        z = (state + part + _GAMMA) & _WORD
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & _WORD
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & _WORD
+        state = z ^ (z >> 31)
     return state
 
 
-def uniform(bits) -> np.ndarray:
+def hashed(keys, places) -> np.ndarray:
+    """The numbers at some places of the splitmix64 streams that start at the keys (unsigned 64-bit)."""
+    with np.errstate(over="ignore"):
+        z = keys + (places + 1).astype(np.uint64) * np.uint64(_GAMMA)
+        z ^= z >> np.uint64(30)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(27)
+        z *= np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return z
+
+
+def uniform(bits: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1)."""
-    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
+
+
+def chance_of(bits: int) -> float:
+    return ((bits >> 11) + 0.5) / (1 << 53)
 
 
 class Vocabulary:
@@ -104,8 +123,25 @@ class Vocabulary:
         self.rare_nodes = np.array([n for _, n in rare] or [0], dtype=np.int32)
         pairs = {(a, b) for t in texts.values() for a, b in zip(t, t[1:])}
         self.pairs = np.array(sorted((ord(a) << 21) | ord(b) for a, b in pairs) or [-1], dtype=np.int64)
+        self.dense_pairs = np.zeros((_DENSE, _DENSE), dtype=bool)
+        for a, b in pairs:
+            if ord(a) < _DENSE and ord(b) < _DENSE:
+                self.dense_pairs[ord(a), ord(b)] = True
         self.spelled = {i: t.encode() for i, t in texts.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
 
+    def joins(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether some piece has the two characters side by side."""
+        low = (first < _DENSE) & (second < _DENSE)
+        out = self.dense_pairs[np.where(low, first, 0), np.where(low, second, 0)]
+        keys = (first[~low] << 21) | second[~low]
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        out[~low] = self.pairs[at] == keys
+        return out
+
+    def weights(self, pieces: np.ndarray) -> np.ndarray:
+        """Weights of piece ids; numbers from ``size`` on are characters spelled in bytes."""
+        return np.where(pieces < self.size, self.weight[np.minimum(pieces, self.size - 1)], self.byte_weight)
+
     def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Child of each node, 0 if there is none."""
         low = codes < _DENSE
@@ -127,8 +163,8 @@ class Vocabulary:
 class Lattices:
     """Edges of many units in one table: position, reach, piece, and the chance to take it.
 
-    ``reach[p]`` to ``reach[p + 1]`` are the edges of position p, the likeliest first; ``upto``
-    is their running sum. Positions of a unit are consecutive, with one closing position.
+    ``reach[p]`` to ``reach[p + 1]`` are the edges of position p; ``upto`` is the running sum of
+    their chances. Positions of a unit are consecutive, with one closing position.
     """
 
     def __init__(self, vocabulary: Vocabulary, units: list[str]):
@@ -141,15 +177,13 @@ class Lattices:
         stop = np.repeat(self.end, lengths + 1)  # of the unit that holds a position
         inside = np.flatnonzero(np.arange(n) < stop)
         at, node = inside, np.zeros(len(inside), dtype=np.int32)
-        found_at, found_len, found_id = [], [], []
+        found = []
         single = np.zeros(n, dtype=bool)
         for length in range(1, vocabulary.longest + 1):
             node = vocabulary.step(node, codes[at + length - 1])
             ids = vocabulary.ends[node]
-            hit = (node > 0) & (ids >= 0)
-            found_at.append(at[hit])
-            found_len.append(np.full(int(hit.sum()), length, dtype=np.int32))
-            found_id.append(ids[hit])
+            hit = ids >= 0
+            found.append((length, at[hit], ids[hit]))
             if length == 1:
                 single[at[hit]] = True
             alive = (node > 0) & (at + length < stop[at])
@@ -157,35 +191,39 @@ class Lattices:
             if not len(at):
                 break
         spelled = inside[~single[inside]]
-        found_at.append(spelled)
-        found_len.append(np.ones(len(spelled), dtype=np.int32))
-        found_id.append((vocabulary.size + codes[spelled]).astype(np.int32))
-        at, length, piece = np.concatenate(found_at), np.concatenate(found_len), np.concatenate(found_id)
-        weight = np.where(piece < vocabulary.size, vocabulary.weight[np.minimum(piece, vocabulary.size - 1)], vocabulary.byte_weight)
+        found.append((1, spelled, (vocabulary.size + codes[spelled]).astype(np.int32)))
+        # Each position gets its edges in one stretch, the longest (mostly the likeliest) first.
+        degree = np.zeros(n, dtype=np.int64)
+        for _, at, _ in found:
+            degree[at] += 1
+        self.reach = np.concatenate([[0], np.cumsum(degree)])
+        free = self.reach[1:].copy()
+        self.length, self.piece = np.empty(self.reach[-1], np.int32), np.empty(self.reach[-1], np.int32)
+        for length, at, ids in found:
+            free[at] -= 1
+            self.length[free[at]], self.piece[free[at]] = length, ids
+        weight = vocabulary.weights(self.piece)
         # Backward sums, for all units at once, from the last character to the first.
-        distance = stop[at] - at
-        order = np.lexsort((at, distance))
-        at, length, piece, weight, distance = at[order], length[order], piece[order], weight[order], distance[order]
         rest = np.zeros(n)
-        total = np.empty(len(at))
-        bounds = np.flatnonzero(np.diff(distance, prepend=-1))
-        for lo, hi in zip(bounds, np.append(bounds[1:], len(at))):
-            value = weight[lo:hi] + rest[at[lo:hi] + length[lo:hi]]
-            total[lo:hi] = value
-            first = np.flatnonzero(np.diff(at[lo:hi], prepend=-1))
+        self.log_chance, self.upto = np.empty(len(weight)), np.empty(len(weight))
+        distance = (stop - np.arange(n))[inside]
+        order = inside[np.argsort(distance, kind="stable")]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(distance)[1:])]) if len(inside) else [0]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            where = order[lo:hi]
+            size = degree[where]
+            first = np.cumsum(size) - size
+            edge = np.repeat(self.reach[where] - first, size) + np.arange(first[-1] + size[-1])
+            value = weight[edge] + rest[np.repeat(where, size) + self.length[edge]]
             top = np.maximum.reduceat(value, first)
-            size = np.diff(np.append(first, hi - lo))
-            rest[at[lo:hi][first]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), first))
-        log_chance = total - rest[at]
-        order = np.lexsort((-log_chance, at))
-        at, self.length, self.piece, self.log_chance = at[order], length[order], piece[order], log_chance[order]
-        self.reach = np.searchsorted(at, np.arange(n + 1))
-        chance = np.exp(self.log_chance)
-        running = np.cumsum(chance)
-        before = np.concatenate([[0.0], running])[self.reach[:-1]]
-        self.upto = running - before[at]
-        last = self.reach[1:][self.reach[1:] > self.reach[:-1]] - 1
-        self.upto[last] = 2.0  # rounding never leads past the last edge
+            value = np.exp(value - np.repeat(top, size))
+            total = np.add.reduceat(value, first)
+            rest[where] = top + np.log(total)
+            value /= np.repeat(total, size)
+            running = np.cumsum(value)
+            self.upto[edge] = running - np.repeat(running[first] - value[first], size)
+            self.log_chance[edge] = np.log(np.maximum(value, 1e-300))
+            self.upto[edge[first + size - 1]] = 2.0  # rounding never leads past the last edge
 
     def draw(self, units: np.ndarray, seeds: np.ndarray, places: np.ndarray):
         """A path through each unit: (tokens of a unit, all pieces in order, log probabilities).
@@ -199,7 +237,7 @@ class Lattices:
         position, end = self.begin[units], self.end[units]
         offset = places - position
         while len(who):
-            u = uniform(hashed(seeds[who], position + offset[who]))
+            u = uniform(hashed(seeds, position + offset))
             edge = self.reach[position]
             open_ = np.flatnonzero(u > self.upto[edge])
             while len(open_):
@@ -209,8 +247,8 @@ class Lattices:
             logs[who] += self.log_chance[edge]
             count[who] += 1
             position = position + self.length[edge]
-            left = position < end[who]
-            who, position = who[left], position[left]
+            left = position < end
+            who, position, end, seeds, offset = who[left], position[left], end[left], seeds[left], offset[left]
         first = np.concatenate([[0], np.cumsum(count)])
         pieces = np.empty(first[-1], dtype=np.int32)
         for i, (who, taken) in enumerate(steps):
@@ -265,14 +303,23 @@ class Lattices:
         return known
 
 
-def units_of(text: str, vocabulary: Vocabulary) -> list[str]:
-    """A blank is put before the text; units are cut where no piece joins two characters."""
-    codes = np.frombuffer((" " + text).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
-    keys = (codes[:-1] << 21) | codes[1:]
-    at = np.minimum(np.searchsorted(vocabulary.pairs, keys), len(vocabulary.pairs) - 1)
-    cuts = np.flatnonzero(vocabulary.pairs[at] != keys) + 1
-    whole = " " + text
-    return [whole[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(whole)])]
+def units_of(texts: list[str], vocabulary: Vocabulary) -> tuple[list[str], np.ndarray]:
+    """Units of all texts in a row, and how many each text has (an empty text none).
+
+    A blank is put before each text; units are cut where no piece joins two characters.
+    """
+    whole = "".join([" " + t for t in texts if t])
+    codes = np.frombuffer(whole.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
+    lengths = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
+    begins = np.cumsum(lengths) - lengths
+    cut = np.ones(len(codes) + 1, dtype=bool)
+    if len(codes):
+        cut[1:-1] = ~vocabulary.joins(codes[:-1], codes[1:])
+        cut[begins[lengths > 0]] = True
+    at = np.flatnonzero(cut) if len(codes) else np.empty(0, np.int64)
+    counts = np.searchsorted(at, begins + lengths) - np.searchsorted(at, begins)
+    at = at.tolist()
+    return [whole[a:b] for a, b in zip(at, at[1:])], counts
 
 
 def truncated_gumbel(location, bound, u):
@@ -289,38 +336,46 @@ class Search:
         self.seed, self.k = seed, k
         self.queue: list = []
         self.samples: list[dict] = []
-        self.next: tuple | None = (float(-np.log(-np.log(uniform(hashed(seed, 7))))), 0, -1, (), ())
+        self.next: tuple | None = (-math.log(-math.log(chance_of(row_key(seed, 7)))), 0, -1, (), ())
 
     def split(self, region, sample, lattices, units) -> None:
         """Queue what the region holds beside the sample just drawn from it."""
         bound, start, _, excluded, chances = region
-        logs = sample["unit_logs"]
-        prefix = np.concatenate([[0.0], np.cumsum(logs)])[:-1]
-        with np.errstate(divide="ignore"):
-            location = prefix + np.log(-np.expm1(np.minimum(logs, 0.0)))
-        # At the unit where the region begins, earlier choices stay excluded too.
-        gone = excluded + (sample["paths"](start),)
-        shares = chances + (math.exp(logs[start]),)
-        left = max(0.0, 1.0 - sum(shares))
-        if lattices.paths(int(units[start]), len(gone)) <= len(gone):
-            location[start] = -np.inf
-        else:
-            location[start] = prefix[start] + math.log(max(left, 1e-300))
         number = len(self.samples) - 1
-        with np.errstate(over="ignore"):
-            u = uniform(hashed(self.seed, 11, number, np.arange(start, len(logs))))
-        peaks = truncated_gumbel(location[start:], bound, u)
+        gone = excluded + (sample["paths"](start),)
+        prefix = sample["prefix"]
+        key = np.uint64(row_key(self.seed, 11, number))
         wanted = self.k + 1
-        best = np.argpartition(-peaks, wanted)[:wanted] if len(peaks) > wanted else np.arange(len(peaks))
-        for i in best.tolist():
-            if peaks[i] == -np.inf:
+        # The noise of a 53-bit number is below 38: units that far behind can't be among the best.
+        floor, stop = -math.inf, len(prefix) - 1
+        best, peaks = np.empty(0, np.int64), np.empty(0)
+        at = start
+        while at < stop and prefix[at] + 38.0 > floor:
+            to = min(stop, at + 192)
+            logs = sample["unit_logs"][at:to]
+            with np.errstate(divide="ignore"):
+                location = prefix[at:to] + np.log(-np.expm1(np.minimum(logs, 0.0)))
+            if at == start:  # where the region begins, earlier choices stay excluded too
+                shares = chances + (math.exp(logs[0]),)
+                left = max(0.0, 1.0 - sum(shares))
+                # Little mass may be none, whatever the rounding: then paths are counted.
+                full = left < 1e-9 and lattices.paths(int(units[start]), len(gone)) <= len(gone)
+                location[0] = -np.inf if full else prefix[start] + math.log(max(left, 1e-300))
+            found = truncated_gumbel(location, bound, uniform(hashed(key, np.arange(at, to))))
+            best, peaks = np.concatenate([best, np.arange(at - start, to - start)]), np.concatenate([peaks, found])
+            if len(peaks) > wanted:
+                kept = np.argpartition(-peaks, wanted)[:wanted]
+                best, peaks = best[kept], peaks[kept]
+                floor = peaks.min()
+            at = to
+        for i, peak in zip(best.tolist(), peaks.tolist()):
+            if peak == -math.inf:
                 continue
             at = start + i
-            out = (gone, shares) if i == 0 else ((sample["paths"](at),), (math.exp(logs[at]),))
-            # Rounding may leave mass where the unit has a single path.
-            if i and lattices.paths(int(units[at]), 1) <= 1:
+            out = (gone, shares) if i == 0 else ((sample["paths"](at),), (math.exp(sample["unit_logs"][at]),))
+            if i and sample["unit_logs"][at] > -1e-9 and lattices.paths(int(units[at]), 1) <= 1:
                 continue
-            heapq.heappush(self.queue, (-float(peaks[i]), at, number, *out))
+            heapq.heappush(self.queue, (-peak, at, number, *out))
 
     def advance(self) -> None:
         self.next = None
@@ -331,10 +386,12 @@ class Search:
 
 def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int) -> list[list[dict]]:
     """Samples (ids, log_prob, inclusion) of every text, best first."""
-    numbers: dict[str, int] = {}
-    rows = [np.array([numbers.setdefault(u, len(numbers)) for u in units_of(t, vocabulary)] if t else [], dtype=np.int64) for t in texts]
-    if not numbers:
+    units, counts = units_of(texts, vocabulary)
+    if not units:
         return [[{"ids": np.empty(0, np.int32), "log_prob": 0.0, "inclusion": 1.0}] for _ in texts]
+    numbers = {u: i for i, u in enumerate(dict.fromkeys(units))}
+    every = np.fromiter(map(numbers.__getitem__, units), np.int64, len(units))
+    rows = np.split(every, np.cumsum(counts)[:-1])
     lattices = Lattices(vocabulary, list(numbers))
     sizes = lattices.end - lattices.begin
     searches = [Search(seed, k) if len(units) else None for seed, units in zip(seeds, rows)]
@@ -347,7 +404,7 @@ def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k:
         froms = [searches[i].next[1] + (searches[i].next[2] >= 0) for i in active]
         units = np.concatenate([rows[i][f:] for i, f in zip(active, froms)])
         places = np.concatenate([starts[i][f:] for i, f in zip(active, froms)])
-        keys = hashed(np.array([seeds[i] for i in active], dtype=np.int64), 3, number)
+        keys = np.array([row_key(seeds[i], 3, number) for i in active], dtype=np.uint64)
         lengths = np.array([len(rows[i]) - f for i, f in zip(active, froms)])
         count, pieces, logs = lattices.draw(units, np.repeat(keys, lengths), places)
         unit_at = np.concatenate([[0], np.cumsum(lengths)])
@@ -359,7 +416,7 @@ def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k:
             parts = (count[lo:hi], pieces[piece_at[lo] : piece_at[hi]], logs[lo:hi])
             if parent >= 0:
                 old = search.samples[parent]
-                stream = (float(uniform(hashed(seeds[i], 5, number, step))) for step in range(1 << 30))
+                stream = (chance_of(row_key(seeds[i], 5, number, step)) for step in range(1 << 30))
                 path, log = lattices.draw_other(int(rows[i][start]), list(excluded), list(chances), stream)
                 kept = int(old["first"][start])
                 parts = (
@@ -368,7 +425,8 @@ def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k:
                     np.concatenate([old["unit_logs"][:start], [log], parts[2]]),
                 )
             first = np.concatenate([[0], np.cumsum(parts[0])])
-            sample = {"count": parts[0], "ids": parts[1], "unit_logs": parts[2], "first": first, "peak": peak, "log_prob": float(parts[2].sum())}
+            prefix = np.concatenate([[0.0], np.cumsum(parts[2])])
+            sample = {"count": parts[0], "ids": parts[1], "unit_logs": parts[2], "first": first, "prefix": prefix, "peak": peak, "log_prob": float(prefix[-1])}
             sample["paths"] = lambda at, s=sample: tuple(s["ids"][s["first"][at] : s["first"][at + 1]].tolist())
             search.samples.append(sample)
             search.split(region, sample, lattices, rows[i])
