@@ -185,6 +185,25 @@ def extract_with_overrides(spark: SparkSession, sf: str) -> DataFrame:
     return extract.extract_with_overrides(kv, found).select("doc_id", "key_name", "value", "value_pos")
 
 
+@query(
+    "extract_without_keys",
+    f"WITH {kv_sql('customer')}, r AS (SELECT printf('customer_%04d', row_number() OVER (ORDER BY c_custkey) - 1) AS doc_id, c_mktsegment, c_name FROM customer)"
+    " SELECT doc_id, key_name, value, CAST(0 AS INTEGER) AS value_pos FROM kv WHERE record_index % 2 = 0"
+    " UNION ALL SELECT doc_id, 'segment', c_mktsegment, 0 FROM r UNION ALL SELECT doc_id, 'segment', c_name, 1 FROM r",
+)
+def extract_without_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold no key-values get the extracted ones too, under their display name."""
+    rows = records(spark, sf, "customer")
+    raw = F.col("raw")
+    found = rows.select(
+        extract.document_id("source_file", "record_index").alias("doc_id"), F.lit("c_mktsegment").alias("field"),
+        F.array(raw["c_mktsegment"], raw["c_name"]).alias("values"),
+    )
+    mapping = spark.createDataFrame([("c_mktsegment", "segment")], "raw_field string, display_name string")
+    kv = extract.extract(rows).filter("record_index % 2 = 0")
+    return extract.extract_with_overrides(kv, found, rows, mapping).select("doc_id", "key_name", "value", "value_pos")
+
+
 # --- graph -----------------------------------------------------------------------------
 
 _GRAPH = ("customer", "supplier", "part")
@@ -305,7 +324,18 @@ _FIRST = (
 )
 def key_registry(spark: SparkSession, sf: str) -> DataFrame:
     keys = graph.key_registry(key_values(spark, sf, *_GRAPH))
-    return keys.withColumn("samples", F.array_join("sample_values", "|")).drop("sample_values")
+    return keys.withColumn("samples", F.array_join("sample_values", "|")).drop("sample_values", "value_count", "phone_count", "quantity_count")
+
+
+@query(
+    "key_registry_two_files",
+    f"WITH {kv_sql('customer', 'supplier')}, k AS (SELECT regexp_replace(key_name, '^[cs]_', '') AS key_name, key_name AS field, dataset AS source_file, record_index, value FROM kv)"
+    " SELECT key_name, field AS original_key_name, record_index, value AS samples FROM k QUALIFY row_number() OVER (PARTITION BY key_name ORDER BY source_file, record_index) = 1",
+)
+def key_registry_two_files(spark: SparkSession, sf: str) -> DataFrame:
+    kv = key_values(spark, sf, "customer", "supplier").withColumn("dataset", F.lit("people"))
+    keys = graph.key_registry(kv.withColumn("key_name", F.regexp_replace("key_name", "^[cs]_", "")))
+    return keys.select("key_name", "original_key_name", "record_index", F.array_join("sample_values", "|").alias("samples"))
 
 
 _TYPE_CASE = (

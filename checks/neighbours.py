@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.base import records, table
+from checks.base import table
 from recordloom.functions import binarize, cosine, ngram_vector
 from recordloom.operators import knn
-from recordloom.operators.profile import truncate_auto
 from recordloom.plans.workflow import embed_distinct
 
 QUERIES, SQL = {}, {}
@@ -44,12 +43,6 @@ def embed_once(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("texts"), F.max(F.size("embedding")).alias("size"))
 
 
-@query("embed_truncated")
-def embed_truncated(spark: SparkSession, sf: str) -> DataFrame:
-    rows = truncate_auto(records(spark, sf, "documents"), "key_value_extract")
-    return rows.select("record_index", F.array_max(ngram_vector(F.col("raw")["text"])).alias("largest"))
-
-
 _BITS = "array_to_string(list_transform(embedding, lambda x: CASE WHEN x {op} 0 THEN '1' ELSE '0' END), '')"
 
 
@@ -157,6 +150,13 @@ def knn_by_cells(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(found)
 
 
-@query("knn_approx")
+# Recall of the approximate search: 90 % of the exact neighbours, and k of them for every query.
+@query("knn_approx", "SELECT count(*) AS queries, true AS complete, true AS enough FROM embeddings")
 def knn_approx(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(knn.knn_approx(_vectors(spark, sf, "query_id"), _vectors(spark, sf, "id"), 5))
+    asked, corpus = _vectors(spark, sf, "query_id"), _vectors(spark, sf, "id")
+    found = knn.knn_approx(asked, corpus, 5)
+    exact = knn.knn(asked, corpus, 5).select("query_id", "id", F.lit(1).alias("hit"))
+    per_query = found.join(exact, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    return per_query.agg(
+        F.count("*").alias("queries"), (F.min("n") == 5).alias("complete"), (F.sum("hits") >= 0.9 * 5 * F.count("*")).alias("enough")
+    )

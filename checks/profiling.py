@@ -222,6 +222,31 @@ def systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
     return profile.systematic_sample(records(spark, sf, *PROFILED, "region"), 7).select("dataset", "record_index")
 
 
+@query(
+    "sample_two_files",
+    "WITH p AS (SELECT 'customer' AS source_file, row_number() OVER (ORDER BY c_custkey) - 1 AS record_index FROM customer"
+    " UNION ALL SELECT 'supplier', row_number() OVER (ORDER BY s_suppkey) - 1 FROM supplier),"
+    " n AS (SELECT *, row_number() OVER (ORDER BY source_file, record_index) - 1 AS pos, count(*) OVER () AS n FROM p)"
+    " SELECT source_file, record_index FROM n WHERE n <= 7 OR (pos % (n // 7) = 0 AND pos < (n // 7) * 7)",
+)
+def sample_two_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = records(spark, sf, "customer", "supplier").withColumn("dataset", F.lit("people"))
+    return profile.systematic_sample(rows, 7).select("source_file", "record_index")
+
+
+@query(
+    "merged_fields",
+    f"WITH {melted_sql('customer', 'supplier')}, m AS (SELECT dataset, record_index, CASE WHEN field IN ('c_name', 'c_mktsegment') THEN 'label' ELSE field END AS field,"
+    " nullif(value, '') AS v FROM melted), t AS (SELECT dataset, count(DISTINCT record_index) AS total_count FROM m GROUP BY dataset)"
+    " SELECT dataset, field, total_count, count(DISTINCT v) AS unique_count, greatest(total_count - count(v), 0) AS null_count"
+    " FROM m JOIN t USING (dataset) GROUP BY dataset, field, total_count",
+)
+def merged_fields(spark: SparkSession, sf: str) -> DataFrame:
+    mapping = spark.createDataFrame([("c_name", "label"), ("c_mktsegment", "label")], "raw_field string, display_name string")
+    stats = profile.field_statistics(records(spark, sf, "customer", "supplier"), mapping=mapping)
+    return stats.select("dataset", "field", "total_count", "unique_count", "null_count")
+
+
 _TYPED = ("customer", "part", "orders", "documents", "pages")
 _TYPE_CASE = (
     "CASE WHEN len(samples) = 0 THEN 'text' WHEN regexp_matches(samples[1], '^https?://') THEN 'url'"

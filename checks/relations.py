@@ -85,8 +85,8 @@ _CLASSES = (
     f"WITH {kv_sql(*_TRADE)}, st AS (SELECT dataset, key_name, count(*) AS present, count(DISTINCT value) AS uniq, bool_and(regexp_matches(value, '^[+-]?[0-9.,]+$')) AS num FROM kv GROUP BY ALL),"
     " cl AS (SELECT dataset, key_name, CASE WHEN present > 1 AND uniq >= present * 0.95 THEN 'identity'"
     " WHEN num AND NOT regexp_matches(key_name, 'nation|region') THEN 'numeric' WHEN regexp_matches(key_name, 'nation|region') THEN 'location' ELSE 'categorical' END AS feature_class FROM st)"
-    " SELECT doc_id, key_name, feature_class, CASE feature_class WHEN 'location' THEN 0.95 WHEN 'categorical' THEN 0.85 ELSE 0.80 END AS importance"
-    " FROM kv JOIN cl USING (dataset, key_name) WHERE feature_class <> 'identity'",
+    " SELECT doc_id, key_name, feature_class, CASE feature_class WHEN 'location' THEN 0.95 WHEN 'categorical' THEN 0.85 WHEN 'identity' THEN 0.30 ELSE 0.80 END AS importance"
+    " FROM kv JOIN cl USING (dataset, key_name)",
 )
 def important_keys(spark: SparkSession, sf: str) -> DataFrame:
     graph = _trade(spark, sf)

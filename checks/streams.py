@@ -98,6 +98,14 @@ def stream_values(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/values").groupBy("key_name").agg(F.count("*").alias("n"), F.count("numeric_value").alias("numbers"))
 
 
+@query("stream_values_first", f"WITH {_KV_SQL} SELECT key_name, count(*) AS n, count(try_cast(v AS DOUBLE)) AS numbers FROM kv WHERE v IS NOT NULL GROUP BY key_name")
+def stream_values_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that come before any key is registered are kept and typed."""
+    out = scratch(spark)
+    run(ingest.stream_values(_event_kv(spark, sf), f"{out}/keys", f"{out}/values", f"{out}/state"))
+    return spark.read.parquet(f"{out}/values").groupBy("key_name").agg(F.count("*").alias("n"), F.count("numeric_value").alias("numbers"))
+
+
 @query(
     "stream_normalize",
     "WITH v AS (SELECT DISTINCT \"value\" AS x, CAST(CAST(\"value\" AS DECIMAL(18,2)) AS VARCHAR) AS v FROM events WHERE \"value\" IS NOT NULL),"
@@ -126,4 +134,4 @@ def stream_relations(spark: SparkSession, sf: str) -> DataFrame:
         F.timestamp_micros(at).alias("created_at"),
     )
     run(ingest.stream_relations(rows, f"{out}/relations", f"{out}/state"))
-    return spark.read.parquet(f"{out}/relations").select("rel_id", "score")
+    return ingest.current_relations(spark, f"{out}/relations").select("rel_id", "score")

@@ -36,14 +36,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(
-    edges: DataFrame, group: str, a: str, b: str, max_rounds: int = 50
+    edges: DataFrame, group: str, a: str, b: str
 ) -> DataFrame:
     """(group, node, component) with the smallest node as component id; isolated nodes are absent.
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in
     MapReduce and Beyond"), which need O(log^2 n) rounds. Joins carry the hot centres, so
     adaptive skew handling can split them; no neighbour list is ever collected. Each round
-    is checkpointed. Raises instead of returning partial labels.
+    is checkpointed; rounds go on until nothing changes.
     """
     current = cut_lineage(
         edges.select(F.col(group).alias("g"), F.col(a).alias("u"), F.col(b).alias("v"))
@@ -52,7 +52,7 @@ def connected_components(
         .distinct()
     )
     fingerprint = None
-    for _ in range(max_rounds):
+    while True:
         current = cut_lineage(_small_star(_large_star(current)))
         row = current.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("g", "u", "v").cast("decimal(38,0)")).alias("h")
@@ -62,7 +62,6 @@ def connected_components(
             roots = current.select("g", F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return members.unionByName(roots).withColumnRenamed("g", group)
         fingerprint = (row["n"], row["h"])
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def dbscan(pairs: DataFrame, nodes: DataFrame, min_samples: int) -> DataFrame:

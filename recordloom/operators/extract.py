@@ -164,25 +164,39 @@ def batch_summary(counts: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def extract_with_overrides(kv: DataFrame, extracted: DataFrame) -> DataFrame:
+def extract_with_overrides(
+    kv: DataFrame, extracted: DataFrame, records: DataFrame | None = None, mapping: DataFrame | None = None, strict: bool = False
+) -> DataFrame:
     """Add values found by an external extractor, ``extracted(doc_id, field, values)``.
 
     They replace what the same document holds under that key, as a later extraction would.
+    With ``records`` a document needs no key-values of its own; ``mapping`` renames the fields
+    as K1 and K2 do (strict drops unmapped ones; of a document's fields of one name the last
+    in order wins).
     """
-    found = skip_empty_lists(extracted)
+    found = skip_empty_lists(extracted).withColumn("original", F.col("field"))
+    if mapping is not None:
+        names = mapping.select(F.col("raw_field").alias("original"), "display_name")
+        last = Window.partitionBy("doc_id", "field").orderBy(F.desc("original"))
+        found = (
+            found.join(names, "original", "inner" if strict else "left")
+            .withColumn("field", F.coalesce("display_name", "field")).drop("display_name")
+            .withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank")
+        )
     kept = kv.join(
         found.select("doc_id", F.col("field").alias("key_name")).distinct(), ["doc_id", "key_name"], "left_anti"
     )
-    documents = kv.filter("value_pos = 0").groupBy("doc_id").agg(
-        F.first("dataset").alias("dataset"),
-        F.first("source_file").alias("source_file"),
-        F.first("record_index").alias("record_index"),
-    )
+    if records is None:
+        place = F.min(F.struct("dataset", "source_file", "record_index")).alias("_p")
+        documents = kv.filter("value_pos = 0").groupBy("doc_id").agg(place).select("doc_id", "_p.*")
+    else:
+        documents = records.select(document_id("source_file", "record_index").alias("doc_id"), *_RECORD)
     new = (
         found.join(documents, "doc_id")
         .select("*", F.posexplode("values").alias("value_pos", "value"))
         .withColumn("is_repeat", F.array_position("values", F.col("value")) <= F.col("value_pos"))
         .withColumn("key_name", F.col("field"))
+        .withColumn("field", F.col("original"))
         .withColumn("field_pos", F.lit(None).cast("int"))
         .drop("values")
     )

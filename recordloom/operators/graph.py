@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.text import iri_encode, safe_double
 from recordloom.operators.extract import document_id, infer_value_type
+from recordloom.operators.normalize import parse_number
 from recordloom.sources.tables import latest_by_id
 
 NAMESPACE = "http://example.org/kv#"
@@ -26,22 +27,35 @@ def _union(*parts: DataFrame) -> DataFrame:
 
 
 def key_registry(kv: DataFrame) -> DataFrame:
-    """One row per key; its first occurrence gives the original name and up to 5 samples.
+    """One row per key; its first record gives the original name and up to 5 samples.
 
-    First positions are found with a plain hash aggregate, then only the rows at those
-    positions are read again; the pool of one key is never gathered.
+    The first record is that of the smallest (dataset, source_file, record_index). Counts of
+    all, phone-like and number- or date-like values cover every value of the key and combine
+    before the shuffle. Only the rows of the first records are read again; the pool of one key
+    is never gathered.
     """
-    by_dataset = kv.groupBy("key_name", "dataset").agg(F.min("record_index").alias("record_index"))
-    first = by_dataset.groupBy("key_name").agg(
-        F.min(F.struct("dataset", "record_index")).alias("_f")
-    ).select("key_name", "_f.dataset", "_f.record_index")
-    rows = kv.filter(F.col("value_pos") < _MAX_SAMPLES).join(first, ["key_name", "dataset", "record_index"], "left_semi")
+    value = F.col("value")
+    phone = value.rlike(r"^\(?\d[\d\s()]*[-\s)][\d\-\s()]*$") & ~value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & (F.length(value) >= 9)
+    quantity = parse_number(value).isNotNull() | value.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}")
+    first = kv.groupBy("key_name", "dataset", "source_file").agg(
+        F.min("record_index").alias("record_index"), F.count("value").alias("n"),
+        F.count_if(phone).alias("phones"), F.count_if(quantity).alias("quantities"),
+    ).groupBy("key_name").agg(
+        F.min(F.struct("dataset", "source_file", "record_index")).alias("_f"), F.sum("n").alias("value_count"),
+        F.sum("phones").alias("phone_count"), F.sum("quantities").alias("quantity_count"),
+    )
+    counts = first.select("key_name", "value_count", "phone_count", "quantity_count")
+    first = first.select("key_name", "_f.dataset", "_f.source_file", "_f.record_index")
+    rows = kv.filter(F.col("value_pos") < _MAX_SAMPLES).join(first, ["key_name", "dataset", "source_file", "record_index"], "left_semi")
     return rows.groupBy("key_name").agg(
         F.min("field").alias("original_key_name"),
         F.min("dataset").alias("dataset"),
         F.min("record_index").alias("record_index"),
         F.transform(F.array_sort(F.collect_list(F.struct("value_pos", "value"))), lambda s: s["value"]).alias("sample_values"),
-    ).select(F.sha2("key_name", 256).alias("key_id"), "key_name", "original_key_name", "dataset", "record_index", "sample_values")
+    ).join(counts, "key_name").select(
+        F.sha2("key_name", 256).alias("key_id"), "key_name", "original_key_name", "dataset", "record_index", "sample_values",
+        "value_count", "phone_count", "quantity_count",
+    )
 
 
 def value_id(doc_id: Column | str, key_name: Column | str, value: Column | str) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.operators.components import connected_components
-from recordloom.operators.normalize import parse_number
 from recordloom.operators.knn import radius_edges
 from recordloom.session import cut_lineage
 
@@ -17,16 +16,16 @@ OTHER = "기타"
 MAX_RULES_IN_ROW = 256
 
 
-def classify_keys(keys: DataFrame, taxonomy: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
-    """key_type and confidence from the sample values of ``key_registry``.
+def classify_keys(keys: DataFrame, taxonomy: DataFrame | None = None, overrides: DataFrame | None = None, share: float = 0.9) -> DataFrame:
+    """key_type and confidence from the counts of ``key_registry``, which cover all values.
 
-    Phone numbers are semantic, numbers and ISO dates numeric_date, keys with a taxonomy
-    proper_noun, all else semantic. ``overrides(key_name, field_type, confidence)`` wins.
+    Keys of phone numbers (at least ``share`` of the values) are semantic, those of numbers and
+    ISO dates numeric_date, keys with a taxonomy proper_noun, all else semantic.
+    ``overrides(key_name, field_type, confidence)`` wins.
     """
-    samples = F.col("sample_values")
-    phone = F.forall(samples, lambda s: s.rlike(r"^\(?\d[\d\s()]*[-\s)][\d\-\s()]*$") & ~s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$") & (F.length(s) >= 9))
-    quantity = F.forall(samples, lambda s: parse_number(s).isNotNull() | s.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}"))
-    some = F.size(samples) > 0
+    some = F.col("value_count") > 0
+    phone = F.col("phone_count") >= F.col("value_count") * share
+    quantity = F.col("quantity_count") >= F.col("value_count") * share
     listed = F.lit(False)
     if taxonomy is not None:
         names = taxonomy.select("key_name").distinct().withColumn("_listed", F.lit(True))
@@ -142,18 +141,16 @@ def cluster_labels(labels: DataFrame, max_distance: float = 0.6) -> DataFrame:
     return members.select("key_name", F.coalesce("component", "label").alias("label")).distinct()
 
 
-def build_taxonomy(labels: DataFrame, vectors: DataFrame, sample: int = 50, most: int = 5) -> DataFrame:
-    """Distinct labels of the first ``sample`` values per key; clustered if more than ``most``.
+def build_taxonomy(labels: DataFrame, vectors: DataFrame, sample: int | None = None, most: int = 0) -> DataFrame:
+    """The distinct labels of each key, clustered if there are more than ``most``.
 
-    ``labels(key_name, value, label)``, ``vectors(label, embedding)``.
+    ``labels(key_name, value, label)``, ``vectors(label, embedding)``. ``sample`` limits them to
+    those of a key's first values.
     """
-    first = Window.partitionBy("key_name").orderBy("value")
-    sampled = (
-        labels.withColumn("_rank", F.row_number().over(first))
-        .filter(F.col("_rank") <= sample)
-        .select("key_name", "label")
-        .distinct()
-    )
+    if sample is not None:
+        first = Window.partitionBy("key_name").orderBy("value")
+        labels = labels.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= sample)
+    sampled = labels.select("key_name", "label").distinct()
     counts = sampled.groupBy("key_name").agg(F.count("*").alias("_n"))
     sized = cut_lineage(sampled.join(counts, "key_name"))
     few = sized.filter(F.col("_n") <= most).select("key_name", "label")

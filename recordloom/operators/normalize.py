@@ -42,25 +42,11 @@ def numeric_keys(values: DataFrame) -> DataFrame:
     )
 
 
-# Keys whose values are longer than this on average are prose, not spellings of a name.
-LONG_TEXT = 500
-
-
-def key_plan(values: DataFrame, min_size: int = 2, long_text: int | None = LONG_TEXT) -> DataFrame:
-    """(key_name, method): how each key is clustered ("gap", "text") or why it is skipped.
-
-    Skipped are keys with fewer than ``min_size`` values and, unless ``long_text`` is None,
-    text keys whose values are longer than that on average.
-    """
-    lengths = values.groupBy("key_name").agg(F.avg(F.length("value")).alias("_length"))
-    prose = F.lit(False) if long_text is None else F.col("_length") > long_text
-    return numeric_keys(values).join(lengths, "key_name").select(
+def key_plan(values: DataFrame, min_size: int = 2) -> DataFrame:
+    """(key_name, method): how each key is clustered ("gap", "text"); fewer than ``min_size`` values can't form a cluster."""
+    return numeric_keys(values).select(
         "key_name",
-        F.when(F.col("value_count") < min_size, "skipped: few values")
-        .when(F.col("is_numeric"), "gap")
-        .when(prose, "skipped: long text")
-        .otherwise("text")
-        .alias("method"),
+        F.when(F.col("value_count") < min_size, "skipped: few values").when(F.col("is_numeric"), "gap").otherwise("text").alias("method"),
     )
 
 
@@ -194,11 +180,10 @@ def normalize_all(
     min_size: int = 2,
     done: DataFrame | None = None,
     overrides: DataFrame | None = None,
-    long_text: int | None = LONG_TEXT,
 ) -> DataFrame:
     """``same_as`` links of all keys in one job; ``key_plan`` tells which keys take part."""
     values = cut_lineage(pending_values(kv, done))
-    plan = cut_lineage(key_plan(values, min_size, long_text))
+    plan = cut_lineage(key_plan(values, min_size))
     numeric = values.join(plan.filter("method = 'gap'"), "key_name", "left_semi")
     text = values.join(plan.filter("method = 'text'"), "key_name", "left_semi")
     members = (

@@ -49,9 +49,12 @@ def field_union(records: DataFrame) -> DataFrame:
     return records.select("dataset", F.explode(F.map_keys("raw")).alias("field")).distinct()
 
 
-def value_counts(records: DataFrame) -> DataFrame:
+def value_counts(records: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Occurrences and first position of every distinct field value; "" counts as null.
 
+    With ``mapping(raw_field, display_name)`` fields count under their display names, those of
+    one name together.
+
     The one wide shuffle of profiling: statistics, samples and lengths all derive from it,
     and repeated values are combined before it. ``leading`` counts the rows that stand for
     whole records (their first field, or NO_FIELD for a record without any), so the number of
@@ -60,15 +63,18 @@ def value_counts(records: DataFrame) -> DataFrame:
     rows = records.select(
         F.coalesce("dataset", F.lit("")).alias("dataset"), "record_index", F.posexplode_outer(F.map_entries("raw")).alias("field_pos", "_e")
     )
+    rows = rows.select(
+        "dataset",
+        "record_index",
+        F.coalesce("field_pos", F.lit(0)).alias("field_pos"),
+        F.coalesce("_e.key", F.lit(NO_FIELD)).alias("field"),
+        F.nullif("_e.value", F.lit("")).alias("value"),
+    )
+    if mapping is not None:
+        names = mapping.select(F.col("raw_field").alias("field"), "display_name")
+        rows = rows.join(names, "field", "left").withColumn("field", F.coalesce("display_name", "field")).drop("display_name")
     return (
-        rows.select(
-            "dataset",
-            "record_index",
-            F.coalesce("field_pos", F.lit(0)).alias("field_pos"),
-            F.coalesce("_e.key", F.lit(NO_FIELD)).alias("field"),
-            F.nullif("_e.value", F.lit("")).alias("value"),
-        )
-        .groupBy("dataset", "field", "value")
+        rows.groupBy("dataset", "field", "value")
         .agg(
             F.count("*").alias("occurrences"),
             F.min("record_index").alias("first_index"),
@@ -118,15 +124,19 @@ def top_samples(records: DataFrame, k: int = 5, counts: DataFrame | None = None)
     )
 
 
-def field_statistics(records: DataFrame, k: int = 5) -> DataFrame:
-    """P2 to P4 in one table. A field missing from a record counts as null there."""
-    counts = value_counts(records)
+def field_statistics(records: DataFrame, k: int = 5, mapping: DataFrame | None = None) -> DataFrame:
+    """P2 to P4 in one table. A field missing from a record counts as null there.
+
+    ``mapping`` gives display names; fields of one name share their statistics, and a record
+    that fills several of them has no null to spare (never less than 0 in all).
+    """
+    counts = value_counts(records, mapping)
     # One row per field. Both uses of the counts have to read the same shuffle, so they need the
     # same columns (the comparison of first_index always holds) and no filter on a count's key.
     fields = _lengths(counts).filter("first_index >= 0").withColumn(
         "total_count", F.sum("leading").over(Window.partitionBy("dataset"))
     )
-    nulls = F.col("total_count") - F.col("present")
+    nulls = F.greatest(F.col("total_count") - F.col("present"), F.lit(0))
     return (
         fields.filter("named")
         .join(top_samples(records, k, counts), ["dataset", "field"], "left")
@@ -145,22 +155,21 @@ def field_statistics(records: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def merge_displays(stats: DataFrame, mapping: DataFrame | None) -> DataFrame:
-    """Statistics under the display names of ``mapping(raw_field, display_name)``."""
-    if mapping is None:
-        return stats
-    names = mapping.select(F.col("raw_field").alias("field"), "display_name")
-    return stats.join(names, "field", "left").withColumn("field", F.coalesce("display_name", "field")).drop("display_name")
-
-
 def systematic_sample(records: DataFrame, k: int = 5) -> DataFrame:
-    """P5: records ``i * (n // k)`` for i < k; all records if there are at most k."""
-    totals = records.groupBy("dataset").agg(F.count("*").alias("_n"))
-    step = F.expr(f"_n div {k}")
-    keep = (F.col("_n") <= k) | (
-        (F.col("record_index") % step == 0) & (F.col("record_index") < step * k)
+    """P5: records ``i * (n // k)`` of a dataset for i < k; all records if there are at most k.
+
+    Records are numbered over the files of a dataset in their order; within a file the index
+    counts from 0. The window runs over one row per file.
+    """
+    files = records.groupBy("dataset", "source_file").agg(F.count("*").alias("_rows"))
+    whole = Window.partitionBy("dataset")
+    earlier = whole.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(
+        "dataset", "source_file", F.sum("_rows").over(whole).alias("_n"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
     )
-    return records.join(totals, "dataset").filter(keep).drop("_n")
+    step, position = F.expr(f"_n div {k}"), F.col("_before") + F.col("record_index")
+    keep = (F.col("_n") <= k) | ((position % step == 0) & (position < step * k))
+    return records.join(files, ["dataset", "source_file"]).filter(keep).select(*records.columns)
 
 
 def infer_data_type(

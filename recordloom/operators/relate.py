@@ -16,7 +16,6 @@ from recordloom.operators.nearest import nearest_numbers, score_numeric
 # Fan-outs, weights, thresholds, relation types and feature classes.
 KEY_SEARCH_K = 5
 VALUE_SEARCH_K = 20
-VALUES_PER_DOCUMENT = 500
 SAME_AS_THRESHOLD = 0.9
 WEIGHT_KEYS, WEIGHT_VALUES, WEIGHT_STRUCTURE, WEIGHT_DOCUMENT = 0.40, 0.30, 0.20, 0.10
 PROPER_NOUN_BOOST = 1.5
@@ -29,12 +28,14 @@ LOCATION_KEYWORDS = ("지역", "소재지", "주소", "시군", "location", "reg
 _SEP = "\u0001"
 
 
-def document_key_values(values: DataFrame, docs: DataFrame, size: int = VALUES_PER_DOCUMENT) -> DataFrame:
-    """Value rows of the given documents, at most ``size`` per document."""
+def document_key_values(values: DataFrame, docs: DataFrame, size: int | None = None) -> DataFrame:
+    """Value rows of the given documents, at most ``size`` per document if given."""
+    rows = values.join(docs.select("doc_id"), "doc_id", "left_semi")
+    if size is None:
+        return rows
     order = Window.partitionBy("doc_id").orderBy("key_name", "value_pos")
     return (
-        values.join(docs.select("doc_id"), "doc_id", "left_semi")
-        .withColumn("_rank", F.row_number().over(order))
+        rows.withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= size)
         .drop("_rank")
     )
@@ -77,7 +78,7 @@ def feature_class(stats: DataFrame, location_keywords: tuple[str, ...] = LOCATIO
 
 
 def important_keys(
-    rows: DataFrame, classes: DataFrame, overrides: DataFrame | None = None, min_importance: float = 0.5
+    rows: DataFrame, classes: DataFrame, overrides: DataFrame | None = None, min_importance: float = 0.0
 ) -> DataFrame:
     """(doc_id, key_name, feature_class, importance, reason) of the documents' keys.
 

@@ -15,7 +15,7 @@ def key_value_search(
     filters: DataFrame,
     links: DataFrame | None = None,
     use_normalized: bool = True,
-    limit: int | None = 10,
+    limit: int | None = None,
 ) -> DataFrame:
     """Documents that satisfy every filter ``(key_name, operator, value)``.
 
@@ -72,17 +72,15 @@ def key_value_search(
     return matched if limit is None else matched.orderBy("doc_id").limit(limit)
 
 
-def feature_counts(values: DataFrame, size: int = 500) -> DataFrame:
-    """Per dataset its ``size`` most frequent key names and values with their counts."""
+def feature_counts(values: DataFrame, size: int | None = 500) -> DataFrame:
+    """Per dataset its ``size`` most frequent key names and values (None: all) with their counts."""
 
     def best(column: str, tag: str) -> DataFrame:
         counts = values.groupBy("dataset", F.col(column).alias("name")).agg(F.count("*").alias("occurrences"))
-        order = Window.partitionBy("dataset").orderBy(F.desc("occurrences"), "name")
-        return (
-            counts.withColumn("_rank", F.row_number().over(order))
-            .filter(F.col("_rank") <= size)
-            .select("dataset", F.concat(F.lit(f"{tag}:"), "name").alias("feature"), "occurrences")
-        )
+        if size is not None:
+            order = Window.partitionBy("dataset").orderBy(F.desc("occurrences"), "name")
+            counts = counts.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size)
+        return counts.select("dataset", F.concat(F.lit(f"{tag}:"), "name").alias("feature"), "occurrences")
 
     return best("key_name", "key").unionByName(best("value_content", "value"))
 

@@ -14,7 +14,7 @@ from recordloom.operators.extract import batch_summary, build_counts, extract
 from recordloom.operators.graph import document_index, graph_triples, key_registry, value_index
 from recordloom.operators.label import classify_keys
 from recordloom.operators.normalize import has_normalized_value, normalize_all, normalized_values
-from recordloom.operators.profile import field_statistics, merge_displays, truncate_auto
+from recordloom.operators.profile import field_statistics
 from recordloom.session import cut_lineage
 
 
@@ -61,7 +61,7 @@ def build_graph(
         documents=document_index(records, domain, centrality),
         keys=keys,
         values=value_index(kv, keys),
-        statistics=merge_displays(field_statistics(records), mapping),
+        statistics=field_statistics(records, mapping=mapping),
         summary=batch_summary(build_counts(kv), records),
         centrality=centrality or domain,
     )
@@ -87,8 +87,8 @@ def embed_distinct(texts: DataFrame, column: str, encoder=ngram_vector) -> DataF
 
 
 def document_vectors(records: DataFrame, encoder=ngram_vector) -> DataFrame:
-    """(doc_id, embedding) of the documents' content, long values shortened first."""
-    documents = document_index(truncate_auto(records, "key_value_extract"), "")
+    """(doc_id, embedding) of the documents' whole content."""
+    documents = document_index(records, "")
     return documents.select("doc_id", encoder("content").alias("embedding"))
 
 

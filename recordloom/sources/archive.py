@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,9 @@ def storage_key(table: Column, file_name: Column, at: Column) -> Column:
 def archive_raw(spark: SparkSession, path: str, out: str, dataset: str, at: Column | None = None) -> DataFrame:
     """Copy files under ``path`` into the archive, partitioned by table and day.
 
-    Returns the archived rows without their content.
+    Returns the rows of these files without their content.
     """
-    at = F.current_timestamp() if at is None else at
+    at = F.lit(datetime.now(timezone.utc)) if at is None else at
     files = (
         spark.read.format("binaryFile")
         .load(path)
@@ -37,7 +39,7 @@ def archive_raw(spark: SparkSession, path: str, out: str, dataset: str, at: Colu
         .withColumn("day", F.dayofmonth("archived_at"))
     )
     files.write.mode("append").partitionBy("table", "year", "month", "day").parquet(out)
-    return spark.read.parquet(out).drop("content")
+    return files.drop("content")
 
 
 def load_raw(spark: SparkSession, out: str, key: str) -> DataFrame:

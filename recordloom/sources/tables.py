@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -10,10 +10,10 @@ from recordloom.functions.text import escape_literal
 from recordloom.session import cut_lineage
 
 
-def latest_by_id(rows: DataFrame, ids: str | list[str], version: str) -> DataFrame:
-    """The row with the highest ``version`` per id."""
+def latest_by_id(rows: DataFrame, ids: str | list[str], version: str | Column) -> DataFrame:
+    """The row with the highest ``version`` per id; among equals always the same one, by its content."""
     keys = [ids] if isinstance(ids, str) else ids
-    newest = Window.partitionBy(*keys).orderBy(F.desc(version))
+    newest = Window.partitionBy(*keys).orderBy(F.desc(version), F.to_json(F.struct("*")))
     return rows.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
@@ -36,7 +36,7 @@ def upsert(
     Returns one row (success, failed).
     """
     keys = [ids] if isinstance(ids, str) else ids
-    fresh = df.dropDuplicates(keys) if version is None else latest_by_id(df, keys, version)
+    fresh = cut_lineage(latest_by_id(df, keys, F.lit(0) if version is None else version))
     stored = _existing(df, path)
     merged = fresh
     if stored is not None:

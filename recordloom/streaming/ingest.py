@@ -19,10 +19,7 @@ from recordloom.operators.label import classify_keys
 from recordloom.operators.normalize import normalize_all
 from recordloom.session import cut_lineage
 from recordloom.sources.readers import as_text, dataset_name, parse_json_object
-from recordloom.sources.tables import upsert
-
-RELATION_BUCKETS = 16
-
+from recordloom.sources.tables import latest_by_id
 
 def records_from_stream(rows: DataFrame, dataset: str, index: str, columns: list[str] | None = None) -> DataFrame:
     """Records from a stream of rows; ``index`` is a unique integer column of the source."""
@@ -101,11 +98,20 @@ def stream_keys(
     return _each(kv, checkpoint, body)
 
 
-def stream_values(kv: DataFrame, keys_path: str, path: str, checkpoint: str) -> DataStreamWriter:
-    """Value rows of each batch, typed by the keys known so far."""
+def stream_values(
+    kv: DataFrame, keys_path: str, path: str, checkpoint: str, taxonomy: DataFrame | None = None, overrides: DataFrame | None = None
+) -> DataStreamWriter:
+    """Value rows of each batch. Keys not registered yet are classified from the batch, as T3 will do, so no value is lost."""
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(value_index(batch, batch.sparkSession.read.parquet(keys_path)), path, batch_id)
+        known = stored(batch.sparkSession, keys_path)
+        if known is None:
+            keys = classify_keys(key_registry(batch), taxonomy, overrides)
+        else:
+            fresh = batch.join(known.select("key_name"), "key_name", "left_anti")
+            columns = ["key_name", "key_id", "key_type"]
+            keys = known.select(*columns).unionByName(classify_keys(key_registry(fresh), taxonomy, overrides).select(*columns))
+        _write_batch(value_index(batch, keys), path, batch_id)
 
     return _each(kv, checkpoint, body)
 
@@ -138,11 +144,23 @@ def stream_normalize(
 
 
 def stream_relations(relations: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """T5: keep one relation per document pair, the newest, in hash buckets."""
+    """T5: append the relations of each batch, the newest of each document pair; ``current_relations`` reads them.
+
+    A batch costs its own rows, however many are stored.
+    """
 
-    def body(batch: DataFrame, _: int) -> None:
+    def body(batch: DataFrame, batch_id: int) -> None:
         named = batch.select(relation_id("src_doc", "dst_doc").alias("rel_id"), "*")
-        bucketed = named.withColumn("bucket", F.pmod(F.xxhash64("rel_id"), F.lit(RELATION_BUCKETS)).cast("int"))
-        upsert(bucketed, path, "rel_id", partition="bucket", version="created_at")
+        _write_batch(latest_by_id(named, "rel_id", "created_at"), path, batch_id)
 
     return _each(relations, checkpoint, body)
+
+
+def current_relations(spark: SparkSession, path: str) -> DataFrame:
+    """T5: one relation per document pair, the newest of all batches."""
+    return latest_by_id(spark.read.parquet(path), "rel_id", "created_at").drop("batch_id")
+
+
+def compact_relations(spark: SparkSession, path: str, out: str) -> None:
+    """Write the current relations to a new table, to be read in place of the batches up to now."""
+    current_relations(spark, path).write.parquet(out)

@@ -101,13 +101,27 @@ def test_triples_follow_set_semantics(records):
     assert hidden.filter(F.col("p").endswith("documentId")).count() == 0
 
 
-def test_first_record_decides_a_key(records):
+def test_first_record_gives_the_samples_all_values_the_type(records):
     kv = extract.extract(records([{"k": "2020-01-01"}, {"k": "text"}]))
     key = label.classify_keys(graph.key_registry(kv)).first()
-    assert (key.key_type, key.sample_values) == ("numeric_date", ["2020-01-01"])
+    assert (key.key_type, key.sample_values) == ("semantic", ["2020-01-01"])
+    assert label.classify_keys(graph.key_registry(kv), share=0.5).first().key_type == "numeric_date"
 
 
 def test_phone_is_semantic(records):
     kv = extract.extract(records([{"p": "031-123-4567", "n": "123456789"}]))
     types = {r.key_name: r.key_type for r in label.classify_keys(graph.key_registry(kv)).collect()}
     assert types == {"p": "semantic", "n": "numeric_date"}
+
+
+def test_registry_of_many_files_samples_one_record(spark):
+    rows = [("d", f"f{i:02}.json", 0, {"a": str(i)}) for i in range(40)]
+    frame = spark.createDataFrame(rows, "dataset string, source_file string, record_index bigint, raw map<string,string>")
+    key = graph.key_registry(extract.extract(frame)).first()
+    assert key.sample_values == ["0"] and key.value_count == key.quantity_count == 40
+
+
+def test_key_type_rests_on_all_values(records):
+    rows = [{"a": "1", "b": "x"}] + [{"a": f"word {i}", "b": str(i)} for i in range(30)]
+    types = {r.key_name: r.key_type for r in label.classify_keys(graph.key_registry(extract.extract(records(rows)))).collect()}
+    assert types == {"a": "semantic", "b": "numeric_date"}

@@ -162,3 +162,26 @@ def test_keyword_rules_in_order(spark):
     assert {r.value for r in labels.filter("label = '기타'").collect()} == {"a", "ab"}
     checked = label.validate_labels(values.selectExpr("key_name", "value", "'first' as label"), taxonomy)
     assert {r.label for r in checked.collect()} == {label.OTHER}
+
+
+def test_vectors_of_other_lengths_never_meet(spark):
+    rows = [(f"a{i}", [float(i), 1.0]) for i in range(6)] + [(f"b{i}", [1.0, float(i), 2.0]) for i in range(6)] + [("none", None), ("void", [])]
+    asked = spark.createDataFrame(rows, "query_id string, embedding array<double>")
+    corpus = asked.withColumnRenamed("query_id", "id")
+    plans = [knn.knn(asked, corpus, 3, broadcast_queries=n).collect() for n in (0, 100)]
+    assert sorted(map(tuple, plans[0])) == sorted(map(tuple, plans[1]))
+    assert len(plans[0]) == 36 and all(r.query_id[0] == r.id[0] for r in plans[0])
+
+
+def test_approximate_search_is_exact_over_all_cells(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(200)] + [(200, [0.0] * 4)]
+    asked = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    corpus = asked.withColumnRenamed("query_id", "id")
+    exact = {(r.query_id, r.id) for r in knn.knn(asked, corpus, 4).collect()}
+    assert {(r.query_id, r.id) for r in knn.knn_approx(asked, corpus, 4, share=1.0).collect()} == exact
+    found = knn.knn_approx(asked, corpus, 4, share=0.05).groupBy("query_id").count().collect()
+    assert len(found) == 201 and all(r["count"] == 4 for r in found)
+    assert knn.knn_approx(asked, corpus.limit(0), 4).count() == 0

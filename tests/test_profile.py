@@ -91,3 +91,17 @@ def test_schema_report(records, spark):
     )
     named = analyze_schema(records([{"a": "1"}]), given).first()
     assert (named.domain, named.centrality_name, named.confidence) == ("people", "persons", 1.0)
+
+
+def test_sample_counts_over_files(spark):
+    rows = [("d", f"f{i:02}.json", 0, {"a": str(i)}) for i in range(40)]
+    frame = spark.createDataFrame(rows, "dataset string, source_file string, record_index bigint, raw map<string,string>")
+    picked = profile.systematic_sample(frame, 5).collect()
+    assert sorted(r.raw["a"] for r in picked) == ["0", "16", "24", "32", "8"]
+
+
+def test_fields_of_one_name_share_statistics(spark, records):
+    mapping = spark.createDataFrame([("a", "n"), ("b", "n")], "raw_field string, display_name string")
+    stats = by_field(profile.field_statistics(records([{"a": "x", "b": "y"}, {"a": "x"}, {"c": "z"}]), mapping=mapping))
+    assert set(stats) == {"n", "c"}
+    assert (stats["n"].total_count, stats["n"].unique_count, stats["n"].null_count, stats["n"].samples) == (3, 2, 0, ["x", "y"])
