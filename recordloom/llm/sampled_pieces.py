@@ -97,6 +97,10 @@ class Vocabulary:
         least = min((s for _, s, kind in pieces if kind == "piece" and s > -1e6), default=0.0)
         self.weight = np.array([alpha * max(s, least) for _, s, _ in pieces])
         self.byte_weight = alpha * least
+        self.weight[list(self.byte_ids.values())] = self.byte_weight
+        # What a character outside the vocabulary is called in a lattice: its byte piece if it has
+        # one byte, else a number from ``size`` on.
+        self.one_byte = np.array([self.byte_ids.get(b, self.size + b) for b in range(128)], dtype=np.int32)
         nodes: list[dict[str, int]] = [{}]
         ends = [-1]
         for i, text in texts.items():
@@ -138,6 +142,9 @@ class Vocabulary:
         out[~low] = self.pairs[at] == keys
         return out
 
+    def spelling(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes < 128, self.one_byte[np.minimum(codes, 127)], self.size + codes).astype(np.int32)
+
     def weights(self, pieces: np.ndarray) -> np.ndarray:
         """Weights of piece ids; numbers from ``size`` on are characters spelled in bytes."""
         return np.where(pieces < self.size, self.weight[np.minimum(pieces, self.size - 1)], self.byte_weight)
@@ -191,7 +198,7 @@ class Lattices:
             if not len(at):
                 break
         spelled = inside[~single[inside]]
-        found.append((1, spelled, (vocabulary.size + codes[spelled]).astype(np.int32)))
+        found.append((1, spelled, vocabulary.spelling(codes[spelled])))
         # Each position gets its edges in one stretch, the longest (mostly the likeliest) first.
         degree = np.zeros(n, dtype=np.int64)
         for _, at, _ in found:
