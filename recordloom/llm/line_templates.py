@@ -51,8 +51,10 @@ def leaf_templates(lines: DataFrame, similarity: float) -> DataFrame:
     before the shuffle, so a leaf with a third of all lines is no single task's burden.
     """
     forms = lines.groupBy("leaf", "form").agg(F.first("marks").alias("marks"))
-    mixed = forms.groupBy("leaf").agg(F.count("*").alias("forms")).filter("forms > 1").select("leaf")
-    forms = cut_lineage(forms.join(mixed, "leaf"))
+    # The leaves are told by their narrow keys; marks stay where the grouping has put them.
+    keys = lines.select("leaf", "form").distinct()
+    mixed = keys.groupBy("leaf").agg(F.count("*").alias("forms")).filter("forms > 1").select("leaf")
+    forms = cut_lineage(forms.join(keys.join(mixed, "leaf"), ["leaf", "form"]))
     at = forms.select("leaf", "form", F.size("marks").alias("n"), F.posexplode("marks").alias("pos", "mark"))
     counts = at.groupBy("leaf", "pos", "mark").agg(F.count("*").alias("seen"))
     constant = counts.groupBy("leaf", "pos").agg(F.max(F.struct("seen", "mark")).alias("top"), F.sum("seen").alias("forms"))
