@@ -21,7 +21,7 @@ TABLES = {
         "o_orderkey",
         {"o_orderkey": "", "o_custkey": "", "o_orderstatus": "", "o_totalprice": "d", "o_orderdate": "t", "o_orderpriority": ""},
     ),
-    "documents": ("doc_id", {"doc_id": "", "text": "", "lang": "", "source": ""}),
+    "documents": ("doc_id", {"doc_id": "", "text": "", "lang": "", "source": "", "n_chars": ""}),
     "pages": ("page_id", {"page_id": "", "url": "", "html": ""}),
 }
 

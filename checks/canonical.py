@@ -127,10 +127,9 @@ def numeric_keys(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.numeric_keys(normalize.pending_values(key_values(spark, sf, "customer", "part", "orders")))
 
 
-_GAP_KEYS = ("c_acctbal", "s_acctbal", "o_totalprice", "p_size", "c_nationkey", "c_custkey")
-_GAP_LIST = ", ".join(f"'{k}'" for k in _GAP_KEYS)
 _GAPS_SQL = (
-    f"WITH {kv_sql('customer', 'supplier', 'orders', 'part')}, v AS (SELECT DISTINCT key_name, value, CAST(value AS DOUBLE) AS number FROM kv WHERE key_name IN ({_GAP_LIST})),"
+    f"WITH {kv_sql('customer', 'supplier', 'orders', 'part')}, nk AS (SELECT key_name FROM kv GROUP BY key_name HAVING bool_and(try_cast(replace(value, ',', '') AS DOUBLE) IS NOT NULL)),"
+    " v AS (SELECT DISTINCT key_name, value, try_cast(value AS DOUBLE) AS number FROM kv JOIN nk USING (key_name)),"
     " g AS (SELECT *, number - lag(number) OVER (PARTITION BY key_name ORDER BY number, value) AS gap FROM v),"
     " s AS (SELECT key_name, avg(gap) + 2 * stddev_pop(gap) AS lim FROM g GROUP BY key_name),"
     " c AS (SELECT g.key_name, value, CAST(sum(CASE WHEN gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY g.key_name ORDER BY number, value) AS BIGINT) AS cluster FROM g JOIN s USING (key_name)),"
@@ -139,8 +138,8 @@ _GAPS_SQL = (
 
 
 def _gap_values(spark: SparkSession, sf: str) -> DataFrame:
-    kv = key_values(spark, sf, "customer", "supplier", "orders", "part")
-    return normalize.pending_values(kv.filter(F.col("key_name").isin(*_GAP_KEYS)))
+    values = normalize.pending_values(key_values(spark, sf, "customer", "supplier", "orders", "part"))
+    return values.join(normalize.numeric_keys(values).filter("is_numeric"), "key_name", "left_semi")
 
 
 @query("gap_clusters", f"{_GAPS_SQL} SELECT key_name, value, cluster FROM kept")

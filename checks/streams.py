@@ -108,14 +108,16 @@ def stream_values_first(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_normalize",
-    "WITH v AS (SELECT DISTINCT \"value\" AS x, CAST(CAST(\"value\" AS DECIMAL(18,2)) AS VARCHAR) AS v FROM events WHERE \"value\" IS NOT NULL),"
-    " g AS (SELECT *, x - lag(x) OVER (ORDER BY x) AS gap FROM v), s AS (SELECT avg(gap) + 2 * stddev_pop(gap) AS lim FROM g),"
-    " c AS (SELECT v, sum(CASE WHEN gap > lim THEN 1 ELSE 0 END) OVER (ORDER BY x) AS cl FROM g, s)"
-    " SELECT 'value' AS key_name, v AS \"value\" FROM c QUALIFY count(*) OVER (PARTITION BY cl) >= 2",
+    # Event types are too unlike each other to form a cluster.
+    f"WITH {_KV_SQL}, v AS (SELECT DISTINCT key_name, v, try_cast(v AS DOUBLE) AS x FROM kv WHERE v IS NOT NULL AND key_name <> 'event_type'),"
+    " g AS (SELECT *, x - lag(x) OVER (PARTITION BY key_name ORDER BY x) AS gap FROM v),"
+    " s AS (SELECT key_name, avg(gap) + 2 * stddev_pop(gap) AS lim FROM g GROUP BY key_name),"
+    " c AS (SELECT g.key_name, v, sum(CASE WHEN gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY g.key_name ORDER BY x) AS cl FROM g JOIN s USING (key_name))"
+    " SELECT key_name, v AS \"value\" FROM c QUALIFY count(*) OVER (PARTITION BY key_name, cl) >= 2",
 )
 def stream_normalize(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch(spark)
-    kv = _event_kv(spark, sf).filter("key_name = 'value'").select("key_name", "value")
+    kv = _event_kv(spark, sf).select("key_name", "value")
     run(ingest.stream_normalize(kv, f"{out}/seen", f"{out}/links", f"{out}/state"))
     return spark.read.parquet(f"{out}/links").select("key_name", "value")
 
