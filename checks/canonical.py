@@ -104,6 +104,49 @@ def cluster_labels(spark: SparkSession, sf: str) -> DataFrame:
     return label.cluster_labels(labels.select("key_name", "label").distinct().join(vectors, "label"))
 
 
+_NEAR_LABELS = (
+    "WITH RECURSIVE e AS (SELECT 'class ' || label AS key_name, 'v' || vec_id AS label, embedding FROM embeddings),"
+    " p AS (SELECT a.key_name, a.label AS a, b.label AS b FROM e a JOIN e b ON a.key_name = b.key_name AND a.label <> b.label"
+    " WHERE sqrt(greatest(0, 2 - 2 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) <= 1.12),"
+    " r AS (SELECT key_name, label, label AS root FROM e UNION SELECT r.key_name, p.b, r.root FROM r JOIN p ON p.key_name = r.key_name AND p.a = r.label)"
+    " SELECT DISTINCT key_name, label FROM (SELECT key_name, min(root) AS label FROM r GROUP BY key_name, r.label)"
+)
+
+
+def _vector_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(
+        F.concat(F.lit("class "), F.col("label")).alias("key_name"), F.concat(F.lit("v"), F.col("vec_id")).alias("label"), "embedding"
+    )
+
+
+@query("cluster_label_vectors", _NEAR_LABELS)
+def cluster_label_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return label.cluster_labels(_vector_labels(spark, sf), 1.12)
+
+
+@query("build_taxonomy_vectors", _NEAR_LABELS)
+def build_taxonomy_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _vector_labels(spark, sf)
+    labels = rows.select("key_name", F.col("label").alias("value"), "label")
+    return label.build_taxonomy(labels, rows.select("label", "embedding"), max_distance=1.12)
+
+
+@query(
+    "label_values",
+    f"{_LABELS_SQL} SELECT v.key_name, v.value, coalesce(label, '기타') AS label FROM v LEFT JOIN labels USING (key_name, value)"
+    " WHERE v.key_name IN (SELECT key_name FROM taxonomy) AND v.key_name <> 'p_brand'"
+    " UNION ALL SELECT 'p_brand', value, CASE WHEN value > 'Brand#3' THEN 'high' ELSE 'low' END FROM v WHERE key_name = 'p_brand'",
+)
+def label_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain: taxonomies, keyword rules, given labels, validation."""
+    kv = key_values(spark, sf, "part", "orders")
+    brand = F.when(F.col("value") > "Brand#3", "high").otherwise("low")
+    given = kv.filter("key_name = 'p_brand'").select("key_name", "value", brand.alias("label")).distinct()
+    vectors = given.select("label").distinct().withColumn("embedding", F.when(F.col("label") == "high", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    rules, standard = _rules(spark)
+    return label.label_values(kv, rules, standard, given, vectors)
+
+
 # --- normalization -----------------------------------------------------------------------
 
 

@@ -336,6 +336,14 @@ def _digest(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("raw")["doc_id"].cast("bigint").alias("doc_id"), F.length(text).alias("n"), F.md5(text).alias("digest"))
 
 
-@query("analyze_schema")
+@query(
+    "analyze_schema",
+    f"WITH {_COUNTS}{_SAMPLES}, t AS (SELECT dataset, field, {_TYPE_SQL} AS data_type FROM samples),"
+    " n AS (SELECT dataset, count(DISTINCT record_index) AS analyzed_count FROM melted GROUP BY dataset)"
+    " SELECT dataset, dataset AS \"domain\", dataset AS centrality_name, CAST(0 AS DOUBLE) AS confidence, '' AS notes, analyzed_count, field,"
+    " replace(field, '_', ' ') AS display_name, '자동 생성된 필드 (타입: ' || data_type || ')' AS description, data_type FROM t JOIN n USING (dataset)",
+)
 def schema_report(spark: SparkSession, sf: str) -> DataFrame:
-    return analyze_schema(records(spark, sf, *PROFILED))
+    report = analyze_schema(records(spark, sf, *PROFILED))
+    named = ["dataset", "domain", "centrality_name", "confidence", "notes", "analyzed_count"]
+    return report.select(*named, F.explode("fields").alias("field", "f")).select(*named, "field", "f.display_name", "f.description", "f.data_type")

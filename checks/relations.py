@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.base import key_values, kv_sql, records, table, values_sql
 from checks.neighbours import _cos
 from recordloom.operators import nearest, relate, search
+from recordloom.operators.extract import document_id
 from recordloom.operators.profile import field_statistics
 from recordloom.plans import workflow
 
@@ -342,6 +343,38 @@ def run_workflow(spark: SparkSession, sf: str) -> DataFrame:
     return graph.summary.select("dataset", "total_records", "total_keys", "total_values", clusters.alias("clusters"))
 
 
+_RENAMED = "SELECT doc_id, CASE WHEN key_name = 'n_name' THEN 'country' ELSE replace(key_name, '_', ' ') END AS key_name, value FROM kv"
+
+
+@query(
+    "run_all",
+    f"WITH {kv_sql('nation', 'region')}, k AS ({_RENAMED}), x AS (SELECT doc_id, 'motto', 'we are ' || lower(value) FROM kv WHERE key_name = 'n_name')"
+    " SELECT doc_id, key_name, value, CASE WHEN key_name = 'country' AND contains(value, 'A') THEN 'with a' WHEN key_name = 'country' THEN '기타' END AS label FROM"
+    " (SELECT * FROM k UNION ALL SELECT * FROM x)",
+)
+def run_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Schema, mapping with metadata, extracted values, graph and labels; relations keep one row per pair."""
+    rows = records(spark, sf, "nation", "region")
+    metadata = spark.createDataFrame(
+        [("nation", "m", "country", "n_name", "text", "", [])],
+        "dataset string, name string, display_name string, source_field string, data_type string, description string, examples array<string>",
+    )
+    motto = F.concat(F.lit("we are "), F.lower(F.col("raw")["n_name"]))
+    extracted = rows.filter("dataset = 'nation'").select(
+        document_id("source_file", "record_index").alias("doc_id"), F.lit("motto").alias("field"), F.array(motto).alias("values")
+    )
+    rules = spark.createDataFrame([(0, "A", "with a")], "rule_pos int, keyword string, label string")
+    standard = spark.createDataFrame([("country", "with a")], "key_name string, label string")
+    sources = rows.filter("dataset = 'region'").select(document_id("source_file", "record_index").alias("doc_id"))
+    done = workflow.run_all(rows, "geo", metadata, extracted, rules, standard, sources=sources, dataset_relations=_relations(spark))
+    pairs = done.relations.groupBy("src_doc", "dst_doc").count().filter("count > 1 or src_doc = dst_doc")
+    values = done.graph.values.select("doc_id", "key_name", F.col("value_content").alias("value"))
+    # A repeated pair would show as a row of its own.
+    return values.join(done.labels, ["key_name", "value"], "left").unionByName(
+        pairs.select(F.col("src_doc").alias("doc_id"), F.col("dst_doc").alias("key_name"), F.lit(None).cast("string").alias("value"), F.lit("repeated").alias("label"))
+    )
+
+
 # --- search ------------------------------------------------------------------------------
 
 _FILTERS = [

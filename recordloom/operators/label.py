@@ -141,7 +141,9 @@ def cluster_labels(labels: DataFrame, max_distance: float = 0.6) -> DataFrame:
     return members.select("key_name", F.coalesce("component", "label").alias("label")).distinct()
 
 
-def build_taxonomy(labels: DataFrame, vectors: DataFrame, sample: int | None = None, most: int = 0) -> DataFrame:
+def build_taxonomy(
+    labels: DataFrame, vectors: DataFrame, sample: int | None = None, most: int = 0, max_distance: float = 0.6
+) -> DataFrame:
     """The distinct labels of each key, clustered if there are more than ``most``.
 
     ``labels(key_name, value, label)``, ``vectors(label, embedding)``. ``sample`` limits them to
@@ -155,7 +157,7 @@ def build_taxonomy(labels: DataFrame, vectors: DataFrame, sample: int | None = N
     sized = cut_lineage(sampled.join(counts, "key_name"))
     few = sized.filter(F.col("_n") <= most).select("key_name", "label")
     many = sized.filter(F.col("_n") > most).join(vectors, "label").select("key_name", "label", "embedding")
-    return few.unionByName(cluster_labels(many))
+    return few.unionByName(cluster_labels(many, max_distance))
 
 
 def taxonomy_of(keys: DataFrame, standard: DataFrame, built: DataFrame | None = None) -> DataFrame:
@@ -168,3 +170,19 @@ def taxonomy_of(keys: DataFrame, standard: DataFrame, built: DataFrame | None =
     return chosen.unionByName(
         rest.join(built.select("key_name", "label"), "key_name").withColumn("source", F.lit("built"))
     )
+
+
+def label_values(
+    kv: DataFrame, rules: DataFrame, standard: DataFrame, given: DataFrame | None = None, vectors: DataFrame | None = None
+) -> DataFrame:
+    """C2 to C7 in a row: a valid label for every value of the keys that have a taxonomy.
+
+    ``given(key_name, value, label)`` are labels from elsewhere. With ``vectors(label,
+    embedding)`` they also build the taxonomy of keys without a standard one. Returns
+    (key_name, value, label).
+    """
+    built = None if given is None or vectors is None else build_taxonomy(given, vectors)
+    taxonomy = cut_lineage(taxonomy_of(kv, standard, built))
+    values = kv.join(taxonomy.select("key_name"), "key_name", "left_semi")
+    found = label_fallback(values, label_by_keyword(values, rules, taxonomy), given)
+    return validate_labels(found, taxonomy)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.vectors import ngram_vector
 from recordloom.operators import relate
-from recordloom.operators.extract import batch_summary, build_counts, extract
-from recordloom.operators.graph import document_index, graph_triples, key_registry, value_index
-from recordloom.operators.label import classify_keys
+from recordloom.operators.extract import batch_summary, build_counts, extract, extract_with_overrides, merge_mappings
+from recordloom.operators.graph import document_index, graph_triples, key_registry, relation_triples, upsert_relations, value_index
+from recordloom.operators.label import classify_keys, label_values
 from recordloom.operators.normalize import has_normalized_value, normalize_all, normalized_values
 from recordloom.operators.profile import field_statistics
+from recordloom.plans.schema import analyze_schema
 from recordloom.session import cut_lineage
 
 
@@ -53,9 +54,15 @@ def build_graph(
     multi_keys: Iterable[str] = (),
     taxonomy: DataFrame | None = None,
     key_overrides: DataFrame | None = None,
+    extracted: DataFrame | None = None,
 ) -> Graph:
-    """Profile records, extract key-values, and build node tables."""
+    """Profile records, extract key-values, and build node tables.
+
+    ``extracted(doc_id, field, values)`` are values that an external extractor found in the records.
+    """
     kv = extract(records, mapping, multi_keys=multi_keys)
+    if extracted is not None:
+        kv = cut_lineage(extract_with_overrides(kv, extracted, records, mapping))
     keys = classify_keys(key_registry(kv), taxonomy, key_overrides).withColumn("domain", F.lit(domain))
     return Graph(
         documents=document_index(records, domain, centrality),
@@ -145,3 +152,68 @@ def discover_relations(
         pairs = relate.document_semantic(pairs, vectors)
     scored = relate.relation_type(relate.final_score(pairs))
     return relate.candidate_rows(relate.top_candidates(scored, k))
+
+
+@dataclass
+class Result:
+    """What ``run_all`` makes; relations and their triples only if sources were given."""
+
+    report: DataFrame
+    mapping: DataFrame
+    graph: Graph
+    normalized: Normalized
+    labels: DataFrame | None
+    relations: DataFrame | None
+
+    def relation_triples(self) -> DataFrame:
+        return relation_triples(self.relations)
+
+
+def field_mapping(report: DataFrame) -> DataFrame:
+    """K3 over the schema report: (raw_field, display_name) of all fields and extractable metadata."""
+    fields = report.select(F.explode("fields").alias("raw_field", "f")).select("raw_field", "f.display_name").distinct()
+    metadata = report.select(F.explode("metadata").alias("name", "m")).select(F.col("m.source_field").alias("raw_field"), "m.display_name")
+    return merge_mappings(fields, metadata.filter("raw_field is not null and display_name is not null").distinct())
+
+
+def relation_rows(candidates: DataFrame, method: str, created_at) -> DataFrame:
+    """Candidates as relations to store: the reason names the matched keys."""
+    return candidates.select(
+        "src_doc", F.col("doc_id").alias("dst_doc"), "relation_type", "score", F.lit(method).alias("method"),
+        F.array_join("matched_keys", ", ").alias("reason"), created_at.alias("created_at"),
+    )
+
+
+def run_all(
+    records: DataFrame,
+    domain: str,
+    metadata: DataFrame | None = None,
+    extracted: DataFrame | None = None,
+    rules: DataFrame | None = None,
+    standard: DataFrame | None = None,
+    given_labels: DataFrame | None = None,
+    label_vectors: DataFrame | None = None,
+    sources: DataFrame | None = None,
+    dataset_relations: DataFrame | None = None,
+    stored_relations: DataFrame | None = None,
+    created_at=None,
+    threshold: float = 0.85,
+    min_size: int = 2,
+) -> Result:
+    """R23 with all of its steps: schema report, mapping, extraction, graph, canonical values,
+    labels (if ``rules`` and a ``standard`` taxonomy are given), and relations of the documents
+    in ``sources(doc_id)``, merged into those stored before.
+    """
+    report = cut_lineage(analyze_schema(records, metadata=metadata))
+    mapping = cut_lineage(field_mapping(report))
+    graph = build_graph(records, domain, mapping=mapping, taxonomy=standard, extracted=extracted).materialize()
+    normalized = normalize_graph(graph, threshold, min_size)
+    labels = relations = None
+    if rules is not None and standard is not None:
+        values = graph.values.select("key_name", F.col("value_content").alias("value"))
+        labels = label_values(values, rules, standard, given_labels, label_vectors)
+    if sources is not None:
+        found = discover_relations(graph, sources, dataset_relations, document_vectors(records))
+        at = F.current_timestamp() if created_at is None else created_at
+        relations = upsert_relations(stored_relations, relation_rows(found, "discovery", at))
+    return Result(report, mapping, graph, normalized, labels, relations)
