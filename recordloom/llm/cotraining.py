@@ -162,16 +162,17 @@ def fit_views(
             data = [(t or "").encode("utf-8", "replace") for t in columns["text"].to_pylist()]
             yield {
                 "id": columns["id"].cast("string"), "good": columns["good"],
-                "words": [sorted(content_words(d)) for d in data], "shares": [content_shares(d) for d in data],
+                "words": [b" ".join(sorted(content_words(d))) for d in data], "shares": [content_shares(d) for d in data],
                 "meta": [metadata(d, s, g) for d, s, g in zip(data, columns["source"].to_pylist(), columns["lang"].to_pylist())],
             }
 
         return handle
 
-    table = map_batches(rows, "id string, good boolean, words array<binary>, shares array<double>, meta array<double>", task)
-    kept = {r["id"]: r for r in table.toLocalIterator()}  # rows of one id count once
+    table = map_batches(rows, "id string, good boolean, words binary, shares array<double>, meta array<double>", task)
+    # Rows of one id count once. The words of a document stay one string until they are looked up.
+    kept = {r["id"]: (r["good"], bytes(r["words"]), np.array(r["shares"]), np.array(r["meta"])) for r in table.toLocalIterator()}
     sample = [kept[i] for i in sorted(kept)]
-    good = np.array([-1 if r["good"] is None else int(r["good"]) for r in sample])
+    good = np.array([-1 if r[0] is None else int(r[0]) for r in sample])
     n_good, n_bad = int((good == 1).sum()), int((good == 0).sum())
     counts = labels.select((F.coalesce("quality", F.lit(0)) >= 1).alias("q"), (F.coalesce("toxic", F.lit(0)) >= 1).alias("t"))
     share = counts.agg(F.avg((F.col("q") & ~F.col("t")).cast("double"))).first()[0]
@@ -183,10 +184,10 @@ def fit_views(
     for kind in (0, 1):
         rank[good == kind] = np.arange((good == kind).sum())
     learn, held, pool = (good >= 0) & (rank % 3 != 2), (good >= 0) & (rank % 3 == 2), good < 0
-    vocabulary = _vocabulary([(r["words"], g) for r, g, x in zip(sample, good, learn) if x], min_docs, max_words)
-    present = [np.array(sorted(vocabulary[bytes(w)] for w in r["words"] if bytes(w) in vocabulary), dtype=np.int64) for r in sample]
+    vocabulary = _vocabulary([(r[1], g) for r, g, x in zip(sample, good, learn) if x], min_docs, max_words)
+    present = [np.array(sorted(vocabulary[w] for w in r[1].split() if w in vocabulary), dtype=np.int64) for r in sample]
     nothing = [np.empty(0, np.int64)] * len(sample)
-    shares, metas = np.array([r["shares"] for r in sample]), np.array([r["meta"] for r in sample])
+    shares, metas = np.array([r[2] for r in sample]), np.array([r[3] for r in sample])
     views = [(View(vocabulary, shares.shape[1]), shares, present), (View({}, metas.shape[1]), metas, nothing)]
     lent: list[dict[int, int]] = [{}, {}]  # pseudo-labels for each view, given by the other
     for turn in range(rounds + 1):
@@ -217,10 +218,10 @@ def fit_views(
     return model
 
 
-def _vocabulary(rows: list[tuple[list, int]], min_docs: int, max_words: int) -> dict[bytes, int]:
+def _vocabulary(rows: list[tuple[bytes, int]], min_docs: int, max_words: int) -> dict[bytes, int]:
     """The words that tell the classes apart best, among those of enough documents."""
     size = Counter(g for _, g in rows)
-    found = {g: Counter(bytes(w) for words, own in rows if own == g for w in words) for g in (0, 1)}
+    found = {g: Counter(w for words, own in rows if own == g for w in words.split()) for g in (0, 1)}
     ranked = []
     for word in found[0].keys() | found[1].keys():
         a, b = found[0][word], found[1][word]
