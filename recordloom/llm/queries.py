@@ -33,11 +33,7 @@ MASKS = (
 
 def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of every document before and after its personal data is masked."""
-    trees = token_counts.build_trees(_table(spark, sf, "documents"))
-    edited = token_counts.apply_edits(token_counts.masking_edits(trees, MASKS))
-    return edited.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), "n_tokens_before", "n_edits", "n_tokens", "encoded_chars"
-    )
+    return token_counts.masked_counts(_table(spark, sf, "documents"), MASKS)
 
 
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:

@@ -33,7 +33,7 @@ EDITS = "array<struct<start:long,stop:long,replacement:string>>"
 class LeafCounter:
     """Splits text and counts tokens of pre-tokens, remembering those seen (bounded)."""
 
-    def __init__(self, ranks: dict[bytes, int], splitter: str = SPLITTER, remember: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], splitter: str = SPLITTER, remember: int = 200_000):
         import regex
         import tiktoken
 
@@ -182,21 +182,9 @@ def apply_edits(
     def task():
         counter = LeafCounter(ranks.value, splitter)
 
-        def one(text, lengths, counts, edits):
-            if not edits:
-                n = sum(counts)
-                return text, lengths, counts, n, n, 0, 0
-            tree = TokenTree(text, lengths, counts, counter)
-            before = tree.tokens[1]
-            for e in edits:
-                if e is not None and e["start"] is not None:
-                    tree.edit(e["start"], e["start"] if e["stop"] is None else e["stop"], e["replacement"] or "")
-            return (tree.text, *tree.leaf_arrays(), before, tree.tokens[1], len(edits), tree.encoded)
-
         def handle(columns):
-            names = ("text", "leaf_chars", "leaf_tokens", "n_tokens_before", "n_tokens", "n_edits", "encoded_chars")
-            found = [one(*(x.as_py() for x in row)) for row in zip(*(columns[c] for c in ("text", "leaf_chars", "leaf_tokens", "edits")))]
-            yield {"id": columns["id"]} | {n: [f[i] for f in found] for i, n in enumerate(names)}
+            found = [edited(*(x.as_py() for x in row), counter) for row in zip(*(columns[c] for c in ("text", "leaf_chars", "leaf_tokens", "edits")))]
+            yield {"id": columns["id"]} | {n: [f[i] for f in found] for i, n in enumerate(_EDITED)}
 
         return handle
 
@@ -205,6 +193,54 @@ def apply_edits(
     return map_batches(rows, schema, task).withColumnRenamed("id", id_column)
 
 
+_EDITED = ("text", "leaf_chars", "leaf_tokens", "n_tokens_before", "n_tokens", "n_edits", "encoded_chars")
+
+
+def edited(text: str, lengths: list[int], counts: list[int], edits: list[dict] | None, counter: LeafCounter) -> tuple:
+    """The columns of ``_EDITED`` for one tree and its edits."""
+    if not edits:
+        n = sum(counts)
+        return text, lengths, counts, n, n, 0, 0
+    tree = TokenTree(text, lengths, counts, counter)
+    before = tree.tokens[1]
+    for e in edits:
+        if e is not None and e["start"] is not None:
+            tree.edit(e["start"], e["start"] if e["stop"] is None else e["stop"], e["replacement"] or "")
+    return (tree.text, *tree.leaf_arrays(), before, tree.tokens[1], len(edits), tree.encoded)
+
+
+def masked_counts(
+    docs: DataFrame, patterns: tuple[tuple[str, str], ...], id_column: str = "doc_id", text: str = "text",
+    vocabulary: str = VOCABULARY, splitter: str = SPLITTER,
+) -> DataFrame:
+    """(id, n_chars, n_tokens_before, n_tokens, n_edits, encoded_chars): trees built, masked and dropped in one pass.
+
+    The same as ``build_trees``, ``masking_edits`` and ``apply_edits`` in a row, where the trees
+    need not be kept: one Python worker per task in place of three.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def task():
+        counter = LeafCounter(ranks.value, splitter)
+        spans = _mask_spans(patterns)
+
+        def one(text):
+            new, _, _, *numbers = edited(text, *counter.leaves(text), spans(text), counter)
+            return len(new), *numbers
+
+        def handle(columns):
+            found = [one(t.as_py()) for t in columns["text"]]
+            names = ("n_chars", *_EDITED[3:])
+            yield {"id": columns["id"]} | {n: [f[i] for f in found] for i, n in enumerate(names)}
+
+        return handle
+
+    schema = f"id {kind}, n_chars long, n_tokens_before long, n_tokens long, n_edits long, encoded_chars long"
+    return map_batches(rows, schema, task).withColumnRenamed("id", id_column)
+
+
 def attach_edits(trees: DataFrame, edits: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Add the ``edits(id, seq, start, stop, replacement)`` of a table to their trees, in order of ``seq``."""
     lists = (
@@ -224,18 +260,7 @@ def masking_edits(rows: DataFrame, patterns: tuple[tuple[str, str], ...], column
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", edits {EDITS}"
 
     def task():
-        import re
-
-        compiled = [(re.compile(p), r) for p, r in patterns]
-
-        def spans(text):
-            found = sorted((m.start(), i, m.end()) for i, (p, _) in enumerate(compiled) for m in p.finditer(text or "") if m.end() > m.start())
-            kept, end = [], 0
-            for start, i, stop in found:
-                if start >= end:
-                    kept.append({"start": start, "stop": stop, "replacement": compiled[i][1]})
-                    end = stop
-            return kept[::-1]
+        spans = _mask_spans(patterns)
 
         def handle(columns):
             yield columns | {"edits": [spans(t.as_py()) for t in columns[column]]}
@@ -243,3 +268,21 @@ def masking_edits(rows: DataFrame, patterns: tuple[tuple[str, str], ...], column
         return handle
 
     return map_batches(inner, schema, task)
+
+
+def _mask_spans(patterns: tuple[tuple[str, str], ...]):
+    """A function from a text to its masking edits, last first."""
+    import re
+
+    compiled = [(re.compile(p), r) for p, r in patterns]
+
+    def spans(text):
+        found = sorted((m.start(), i, m.end()) for i, (p, _) in enumerate(compiled) for m in p.finditer(text or "") if m.end() > m.start())
+        kept, end = [], 0
+        for start, i, stop in found:
+            if start >= end:
+                kept.append({"start": start, "stop": stop, "replacement": compiled[i][1]})
+                end = stop
+        return kept[::-1]
+
+    return spans

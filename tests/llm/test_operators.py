@@ -124,6 +124,11 @@ def test_edits_of_odd_rows(spark, odd, none, counter):
     joined = token_counts.apply_edits(token_counts.attach_edits(trees, listed)).collect()
     assert len(joined) == odd.count() and sum(r["text"].startswith("An line") for r in joined) == 2
     assert token_counts.apply_edits(token_counts.masking_edits(token_counts.build_trees(none), ())).count() == 0
+    patterns = ((r"[0-9]+", "<N>"), (r"\s+", " "))
+    whole = [(r["doc_id"], len(r["text"]), r["n_tokens_before"], r["n_tokens"], r["n_edits"], r["encoded_chars"]) for r in rows]
+    at_once = token_counts.masked_counts(odd, patterns).select("doc_id", "n_chars", "n_tokens_before", "n_tokens", "n_edits", "encoded_chars")
+    assert sorted(map(str, map(tuple, at_once.collect()))) == sorted(map(str, whole))
+    assert token_counts.masked_counts(none, patterns).count() == 0
 
 
 def test_query_counts_all_documents(spark, docs, counter):
