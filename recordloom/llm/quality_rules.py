@@ -162,14 +162,13 @@ def choose_cutoffs(calibration: DataFrame, alpha: float = 0.05, delta: float = 0
         F.filter("bins", lambda b: b["above"] > F.col("at")), F.lit(0).cast("long"), lambda s, b: s + b[what]
     )
     tested = tests.join(counted, ["stratum", "signal"]).select("stratum", "signal", "n", "cutoff", over("good").alias("k"), over("bad").alias("gain"))
-    m = tested.agg(F.count("*").alias("m")).withColumn("one", F.lit(1))
+    m = tested.agg(F.count("*")).scalar()
     rate = alpha / len(GRIDS)
     tail = F.when(F.col("k") <= F.col("n") * rate, binomial_tail(F.col("n"), F.col("k"), rate)).otherwise(F.lit(1.0))
     best = Window.partitionBy("stratum", "signal").orderBy(F.desc("value"), F.desc("cutoff"))
     return (
-        tested.withColumn("one", F.lit(1)).join(m, "one")
-        .withColumn("tail", tail)
-        .filter(F.col("tail") * F.col("m") <= delta)
+        tested.withColumn("tail", tail)
+        .filter(F.col("tail") * m <= delta)
         .withColumn("value", F.col("gain") - cost * F.col("k"))
         .filter("value > 0")
         .withColumn("rank", F.row_number().over(best))
