@@ -6,6 +6,9 @@ distance d lie within d on the grid. Two grid points within 2 share a grid point
 away from both: each fingerprint is sent to its own cell and the cells next to it, and pairs
 that meet in a cell are verified bit by bit.
 
+``keep_one`` goes by the Jaccard similarity of five-word shingles instead. Texts of similarity 0.8
+are up to 11 bits apart, too far for the grid, so it finds candidates by bands of minimum hashes.
+
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other;
 documents with a null id take part and get the smallest id of their component (null if it has
 none); repeated rows are answered alike; extra columns are ignored.
@@ -17,11 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import lower_words, map_batches
+from recordloom.llm.common import lower_words, map_batches, stored
 from recordloom.operators.components import connected_components
 from recordloom.session import cut_lineage
 
 SEGMENT_BITS = 4
+# Bands of minimum hashes, by which keep_one finds candidates.
+BANDS, BAND_ROWS = 24, 5
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -135,11 +140,121 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return prints.join(labels, "bits").select(F.col("id").alias(id_column), "bits", "component_id")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` (all columns) with one row of each component: that of the smallest id (nulls last), then of the smallest text hash."""
-    prints, labels = _components(docs, id_column, text, **options)
-    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "body")).alias("least")
-    first = prints.join(labels.select("bits", "root"), "bits").groupBy("root").agg(least).select("least.id", "least.body")
+def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of the different shingles; a text of fewer words is one shingle, one without words has none."""
+    import xxhash
+
+    words = lower_words(text)
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    runs = map(b" ".join, zip(*[words[i:] for i in range(shingle)])) if len(words) > shingle else [b" ".join(words)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, seed) for r in runs], dtype=np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One number per band, equal for two sets if all BAND_ROWS minima of the band are; in blocks of bounded memory."""
+    if not len(shingles):
+        return np.empty(0, dtype=np.int64)
+    draws = np.random.RandomState(20).randint(0, 1 << 32, (4, BANDS * BAND_ROWS), dtype=np.uint64)
+    flips, factors = draws[0] << np.uint64(32) | draws[1], draws[2] << np.uint64(32) | draws[3] | np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, ((shingles[at : at + 2048, None] ^ flips) * factors).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def _signatures(docs: DataFrame, shingle: int, id_column: str, text: str) -> DataFrame:
+    """(id, body, node, n, buckets): texts of equal shingle sets are one node; n is the size of the set."""
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+
+    def task():
+        import xxhash
+
+        def handle(columns):
+            sets = [shingle_set(t.as_py(), shingle) for t in columns["text"]]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            yield {"id": columns["id"], "body": columns["body"], "node": nodes, "n": [len(s) for s in sets], "buckets": [band_keys(s) for s in sets]}
+
+        return handle
+
+    return map_batches(rows, f"id {rows.schema['id'].dataType.simpleString()}, body long, node long, n int, buckets array<long>", task)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose shingle sets have at least the Jaccard similarity; ``texts(node, text)`` has each node once."""
+    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
+    )
+
+    def task():
+        def close(one, other):
+            one, other = shingle_set(one.as_py(), shingle), shingle_set(other.as_py(), shingle)
+            both = len(np.intersect1d(one, other, assume_unique=True))
+            return both >= similarity * (len(one) + len(other) - both) - 1e-9
+
+        def handle(columns):
+            yield {"a": columns["a"], "b": columns["b"], "close": [close(x, y) for x, y in zip(columns["text_a"], columns["text_b"])]}
+
+        return handle
+
+    return map_batches(rows, "a long, b long, close boolean", task).filter("close").select("a", "b")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return connected_components(links.withColumn("g", F.lit(0)), "g", "a", "b").select("node", F.col("component").alias("root"))
+
+
+def _similar_components(docs: DataFrame, id_column: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all documents, and (least, root) of their different shingle sets.
+
+    Candidates share a band of minimum hashes. The members of a bucket are first verified against
+    one of them, another one per band. Only members that no chain of links has joined by then are
+    verified pair by pair: those outside the largest component of their bucket against all others.
+    """
+    prints = cut_lineage(_signatures(docs, shingle, id_column, text))
+    nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "body")).alias("least")))
+    placed = prints.select("node", "n", F.explode("buckets").alias("bucket")).distinct()
+    centre = F.min(F.struct(F.xxhash64("bucket", "node").alias("at"), "node", "n")).alias("centre")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), centre).filter("size > 1").select("bucket", "centre")
+    crowds = cut_lineage(placed.join(shared, "bucket").select("bucket", "node", "n", F.col("centre.node").alias("other"), F.col("centre.n").alias("m")))
+
+    alike = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    ordered = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+    tried = cut_lineage(crowds.filter("node <> other").filter(alike).select(*ordered).distinct())
+    wanted = crowds.select("node").distinct().join(nodes, "node").select("node", "least.id", "least.body")
+    rows = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["body"])).select("node", "text").dropDuplicates(["node"])
+    texts = stored(texts)
+    links = cut_lineage(_similar(tried, texts, shingle, similarity))
+    roots = _roots(links)
+
+    rooted = cut_lineage(crowds.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    main = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root"))["root"].alias("main")).filter("parts > 1")
+    mixed = rooted.join(main, "bucket")
+    left = mixed.filter("root <> main")
+    right = mixed.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    apart = left.join(right, "bucket").filter("root <> other_root AND (other_root = main OR node < other)").filter(alike)
+    more = _similar(apart.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), texts, shingle, similarity)
+    more = cut_lineage(more)
+    if not more.isEmpty():
+        roots = _roots(links.unionByName(more))
+    return prints, nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` (all columns) with one row of each group of similar texts: that of the smallest id (nulls last), then of the smallest text hash.
+
+    Linked are texts whose sets of ``shingle`` words have a Jaccard ``similarity`` of at least that
+    value; groups are what links connect. Two linked texts share a band with a chance of 0.9999 at 0.8
+    and more above, so bands suit a similarity of 0.8 or higher.
+    """
+    prints, labels = _similar_components(docs, id_column, text, shingle, similarity)
+    first = labels.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.body")
     names = {c: f"_col{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("_body", F.xxhash64(names[text]))
     kept = rows.join(first, rows[names[id_column]].eqNullSafe(first["id"]) & (rows["_body"] == first["body"]), "left_semi")

@@ -253,6 +253,42 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near_dup.near_duplicates(none).count() == near_dup.keep_one(none).count() == 0
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_keep_one_finds_edited_copies(spark):
+    """Copies with edited words, most of them more than 2 bits apart, and one crowd in chains of edits."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 400)}"
+    found = [[word() for _ in range(rng.randint(60, 300))] for _ in range(20)]
+    for base in list(found):
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(1, 1 + len(base) // 30)):
+                copy[rng.randrange(len(copy))] = word()
+            found.append(copy)
+    crowd = [[word() for _ in range(200)]]
+    for _ in range(60):
+        copy = list(crowd[rng.randrange(len(crowd))])
+        for _ in range(3):
+            copy[rng.randrange(200)] = word()
+        crowd.append(copy)
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(found + crowd)]
+    sets = [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    want = {i for i, r in enumerate(root) if r == i}
+    assert len(want) < len({r for r in plain_components([plain_print(r[1]) for r in rows])})
+    assert {r["doc_id"] for r in near_dup.keep_one(table(spark, rows)).collect()} == want
+
+
 # 4 line templates
 
 
