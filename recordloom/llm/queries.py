@@ -61,7 +61,7 @@ def op6_cotraining(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_sampled_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return sampled_pieces.encode_samples(_table(spark, sf, "documents"), k=2)
+    return sampled_pieces.encode_samples(_table(spark, sf, "documents"), k=4)
 
 
 def op8_suffix_tree_lm(spark: SparkSession, sf: str) -> DataFrame:

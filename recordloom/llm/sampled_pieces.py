@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -467,7 +468,7 @@ def spell_bytes(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
-SAMPLES = "array<struct<ids:array<int>,log_prob:double,inclusion:double>>"
+SAMPLES = "array<struct<ids:array<int>,log_prob:double,inclusion:double,text_crc32:bigint,round_trip:boolean>>"
 
 
 def encode_samples(
@@ -476,7 +477,9 @@ def encode_samples(
     """(id, samples): up to ``k`` distinct segmentations per text, drawn without replacement.
 
     ``samples`` holds piece ids, log probability, and the inclusion score: the chance of the
-    sample to be among the k, given the threshold that the search met. Narrow: no row moves;
+    sample to be among the k, given the threshold that the search met. Every sample is decoded
+    again: ``text_crc32`` is that of the decoded text, ``round_trip`` tells whether it equals the
+    input (a null text counts as empty). Narrow: no row moves;
     a task works through its rows in chunks of bounded characters (or one text).
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
@@ -490,6 +493,8 @@ def encode_samples(
         def emit(ids, texts, keys):
             found = sample_chunk(vocabulary, texts, keys, k)
             flat = [s for samples in found for s in samples]
+            decoded = [vocabulary.decode(s["ids"].tolist()) for s in flat]
+            given = [t for t, samples in zip(texts, found) for _ in samples]
             inner = np.concatenate([[0], np.cumsum([len(s["ids"]) for s in flat])]).astype(np.int32)
             values = np.concatenate([s["ids"] for s in flat]).astype(np.int32) if flat else np.empty(0, np.int32)
             structs = pa.StructArray.from_arrays(
@@ -497,8 +502,10 @@ def encode_samples(
                     pa.ListArray.from_arrays(pa.array(inner), pa.array(values)),
                     pa.array([s["log_prob"] for s in flat], pa.float64()),
                     pa.array([s["inclusion"] for s in flat], pa.float64()),
+                    pa.array([zlib.crc32(t.encode("utf-8", "replace")) for t in decoded], pa.int64()),
+                    pa.array([t == g for t, g in zip(decoded, given)], pa.bool_()),
                 ],
-                ["ids", "log_prob", "inclusion"],
+                ["ids", "log_prob", "inclusion", "text_crc32", "round_trip"],
             )
             outer = np.concatenate([[0], np.cumsum([len(samples) for samples in found])]).astype(np.int32)
             return {"id": ids, "samples": pa.ListArray.from_arrays(pa.array(outer), structs).cast(arrow_type)}

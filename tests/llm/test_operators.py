@@ -441,6 +441,15 @@ def test_round_trip_and_row_keys(spark, odd, none):
     assert sampled_pieces.encode_samples(none).count() == sampled_pieces.decode_pieces(flat.limit(0)).count() == 0
 
 
+def test_encoding_queries_decode_every_sample(spark, docs, odd):
+    for rows, got in ((docs, queries.op7_sampled_pieces(spark, DATA)), (odd, corpus_pipeline.encode(spark, odd, DATA))):
+        got = got.collect()
+        want = {(r["doc_id"], zlib.crc32((r["text"] or "").encode())) for r in rows.collect()}
+        assert {(r["doc_id"], s["text_crc32"]) for r in got for s in r["samples"]} == want
+        assert all(s["round_trip"] for r in got for s in r["samples"])
+        assert max(len(r["samples"]) for r in got) == 4
+
+
 # 8 language model
 
 
