@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from recordloom.llm import (
     cotraining,
     decontaminate,
+    graph_search,
     line_templates,
     near_dup,
+    prefix_trie,
     quality_rules,
     sampled_pieces,
     sharding,
     suffix_tree_lm,
     token_counts,
+    turn_repair,
     url_filter,
 )
 
@@ -76,11 +79,28 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf, "pages")).drop("url", "soft_weight")
 
 
+def op11_graph_search(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_search.nearest_neighbours(_table(spark, sf, "embeddings"), k=20, every=20)
+
+
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The trie of rebuilt conversations: each begins like the first of its family of five."""
+    turns, convs = prefix_trie.rebuilt_turns(prefix_trie.ordered_turns(_table(spark, sf, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs)
+
+
+def op13_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations after damage by hash, repaired."""
+    conversations = _table(spark, sf, "conversations")
+    return turn_repair.repair(turn_repair.damaged(conversations), conversations.select("conv_id"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_quality_rules, op3_simhash_near_dup, op4_line_templates, op5_byte_shards,
         op6_cotraining, op7_sampled_pieces, op8_suffix_tree_lm, op9_decontamination, op10_url_filter,
+        op11_graph_search, op12_prefix_trie, op13_turn_repair,
     )
 }
 
@@ -189,9 +209,69 @@ SELECT page_id, host, path, (SELECT rhost || rpath FROM r WHERE (host = rhost OR
   n_strict, n_soft FROM m"""
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: bytes are xored in, each followed by eight shifts (-1)."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda b: [CAST(ord(b) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c // 2, (c % 2) * 3988292384) END))"
+
+
+_TURN_KEY = "left(sha256(CAST(strlen({r}) AS VARCHAR) || ':' || {r} || {t}), 32)"
+
+_TRIE = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, {_TURN_KEY.format(r='r', t='x')} AS k, turn, strlen(x) AS b FROM t),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(b ORDER BY turn NULLS FIRST, k) AS bs FROM k GROUP BY conv_id),
+h AS (SELECT own.*, {_crc32_sql('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM own),
+re AS (SELECT h.conv_id, list_concat(coalesce(f.ks[1:h.h], []), h.ks[h.h + 1:]) AS ks, list_concat(coalesce(f.bs[1:h.h], []), h.bs[h.h + 1:]) AS bs
+  FROM h LEFT JOIN own f ON f.conv_id = h.conv_id - h.conv_id % 5),
+mem AS (SELECT conv_id, d, array_to_string(ks[1:d], '') AS name, array_to_string(ks[1:d - 1], '') AS parent, coalesce(bs[d], 0) AS b, len(ks) = d AS is_end
+  FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM re)),
+node AS (SELECT d, name, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(b) AS b,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256 FROM mem GROUP BY d, name),
+kid AS (SELECT parent AS name, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+val AS (SELECT node.*, coalesce(kid.n, 0) AS n_children FROM node LEFT JOIN kid ON node.name = kid.name AND node.d = kid.d),
+up AS (SELECT left(name, 32 * a) AS name, a AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum((n_convs - 1) * b) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM val) GROUP BY ALL)
+SELECT val.conv_id, val.d AS depth, p.conv_id AS parent_conv_id, val.n_convs, val.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, val.ends_sha256
+FROM val JOIN up ON up.name = val.name AND up.d = val.d LEFT JOIN node p ON val.d > 0 AND p.name = val.parent AND p.d = val.d - 1"""
+
+
+_SPACES = r"[\x09-\x0D ]"
+
+_REPAIR = rf"""
+WITH RECURSIVE c AS (SELECT *, {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE coalesce(role, ' ') END AS r,
+  CASE f WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS x, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN_KEY.format(r='r', t='x')}, copy) AS i FROM d),
+w AS (SELECT *, left(r, 1) AS q, lead(left(r, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS q2, row_number() OVER (PARTITION BY conv_id, r, x ORDER BY i) AS nth,
+  regexp_replace(x, '{_SPACES}+$', '') AS y FROM o),
+row_ AS (SELECT *, CASE WHEN y = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(y, '[.!?]$') THEN 't' ELSE '' END AS fault FROM w),
+ins(s, t, n, pieces) AS (VALUES (0, 0, 0, CAST([] AS VARCHAR[])), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []), (0, 2, 1, ['user:']), (1, 2, 1, ['user:']), (3, 2, 1, ['user:']),
+  (2, 3, 1, ['assistant:']), (0, 3, 2, ['user:', 'assistant:']), (1, 3, 2, ['user:', 'assistant:'])),
+act(e, s, t, q, price, name) AS (VALUES ('D', 0, 0, NULL, 2, NULL), ('D', 1, 1, NULL, 2, NULL), ('D', 2, 2, NULL, 2, NULL), ('D', 3, 3, NULL, 2, NULL),
+  ('K', 0, 1, 's', 0, NULL), ('K', 0, 2, 'u', 0, NULL), ('K', 1, 2, 'u', 0, NULL), ('K', 3, 2, 'u', 0, NULL), ('K', 2, 3, 'a', 0, NULL),
+  ('R', 0, 2, NULL, 1, 'user'), ('R', 1, 2, NULL, 1, 'user'), ('R', 3, 2, NULL, 1, 'user'), ('R', 2, 3, NULL, 1, 'assistant')),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+st AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': 0, 'audit': '', 'pieces': CAST([] AS VARCHAR[])}} AS best FROM ids
+  UNION ALL SELECT st.conv_id, row_.i, act.t, min({{'cost': st.best.cost + 5 * ins.n + act.price + CASE WHEN e <> 'D' AND fault = 't' THEN 5 ELSE 0 END,
+    'audit': st.best.audit || repeat('I', ins.n) || e,
+    'pieces': list_concat(list_concat(st.best.pieces, ins.pieces), CASE WHEN e = 'D' THEN [] ELSE [coalesce(name, r) || ':' || x] END)}})
+  FROM st JOIN row_ ON row_.conv_id IS NOT DISTINCT FROM st.conv_id AND row_.i = st.i + 1 JOIN ins ON ins.s = st.s JOIN act ON act.s = ins.t
+  WHERE (e = 'D' OR fault NOT IN ('b', 'd')) AND (act.q IS NULL OR act.q = row_.q) GROUP BY st.conv_id, row_.i, act.t),
+done AS (SELECT conv_id, min({{'cost': best.cost + 5 * n, 'audit': best.audit || repeat('I', n), 'pieces': list_concat(best.pieces, ins.pieces)}}) AS best
+  FROM st JOIN ins USING (s) WHERE ins.t IN (0, 3) AND i = (SELECT count(*) FROM row_ WHERE row_.conv_id IS NOT DISTINCT FROM st.conv_id) GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (q2 IS NOT NULL AND q || q2 NOT IN ('su', 'ua', 'au')) AS illegal FROM row_ GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(array_to_string(best.pieces, chr(10))) AS repaired_sha256
+FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN done ON done.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
 SQL = {
     "op2_quality_rules": _quality_sql(),
     "op4_line_templates": _lines_sql(),
     "op9_decontamination": _DECONTAMINATION,
     "op10_url_filter": _url_sql(),
+    "op12_prefix_trie": _TRIE,
+    "op13_turn_repair": _REPAIR,
 }
