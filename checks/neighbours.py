@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.base import table
 from recordloom.functions import binarize, cosine, ngram_vector
-from recordloom.operators import knn
+from recordloom.operators import knn, sparse
 from recordloom.plans.workflow import embed_distinct
 
 QUERIES, SQL = {}, {}
@@ -160,3 +160,21 @@ def knn_approx(spark: SparkSession, sf: str) -> DataFrame:
     return per_query.agg(
         F.count("*").alias("queries"), (F.min("n") == 5).alias("complete"), (F.sum("hits") >= 0.9 * 5 * F.count("*")).alias("enough")
     )
+
+
+# Character 3-grams of part names as sparse vectors; every 50th part asks for its nearest others.
+_GRAMS_SQL = (
+    "WITH t AS (SELECT p_partkey AS id, ' ' || lower(p_name) || ' ' AS x FROM part), g AS (SELECT id, substr(x, i, 3) AS feature FROM (SELECT id, x, unnest(range(1, length(x) - 1)) AS i FROM t)),"
+    " w AS (SELECT id, feature, CAST(count(*) AS DOUBLE) AS weight FROM g GROUP BY ALL), u AS (SELECT id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)) AS weight FROM w),"
+    " s AS (SELECT a.id AS query_id, b.id, round(least(sum(a.weight * b.weight), 1.0), 9) AS score FROM u a JOIN u b ON a.feature = b.feature WHERE a.id % 50 = 0 GROUP BY a.id, b.id),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, round(sum(score), 5) AS total, count(*) AS found FROM r WHERE rank <= 10 GROUP BY query_id"
+)
+
+
+@query("sparse_top_k", _GRAMS_SQL)
+def sparse_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    grams = sparse.gram_weights(table(spark, sf, "part"), "p_partkey", "p_name")
+    corpus = grams.withColumnRenamed("p_partkey", "id")
+    asked = grams.filter("p_partkey % 50 = 0").withColumnRenamed("p_partkey", "query_id")
+    found = sparse.sparse_top_k(asked, corpus, 10)
+    return found.groupBy("query_id").agg(F.round(F.sum("score"), 5).alias("total"), F.count("*").alias("found"))

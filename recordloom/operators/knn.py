@@ -13,7 +13,8 @@ is the cosine clamped to [0, 1], ties go to the smaller id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.vectors import clamp01
+from recordloom.session import stored
 
 # Largest query side that is broadcast: rows, and vector bytes in total.
 BROADCAST_QUERIES = 2048
@@ -30,6 +32,8 @@ PIVOTS = 48
 ZERO_CELL = -1
 BLOCK_ROWS = 4096
 _DECIMALS = 12
+# More than rounding can move two scores.
+_TIE = 2e-12
 _SLACK = 1e-6
 
 
@@ -41,17 +45,22 @@ def _matrix(vectors) -> np.ndarray:
 
 
 def _best(queries: np.ndarray, corpus: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, corpus row, score) of the k best per query; corpus rows come in id order."""
+    """(query row, corpus row, score) of the k best per query; corpus rows come in id order.
+
+    Only products that can be among the k best are rounded and sorted.
+    """
     rows, cols, scores = [], [], []
     step = max(1, 4_000_000 // max(1, len(corpus)))
     for start in range(0, len(queries), step):
-        table = np.round(np.clip(queries[start : start + step] @ corpus.T, 0.0, 1.0), _DECIMALS)
+        table = queries[start : start + step] @ corpus.T
         if table.shape[1] > k:
             limit = np.partition(table, table.shape[1] - k, axis=1)[:, table.shape[1] - k, None]
+            # Scores are rounded and clamped, so near limits tie, and all non-positive ones do.
+            limit = np.where(limit <= _TIE, -np.inf, np.minimum(limit, 1.0) - _TIE)
             r, c = np.nonzero(table >= limit)
         else:
             r, c = (x.ravel() for x in np.indices(table.shape))
-        s = table[r, c]
+        s = np.round(np.clip(table[r, c], 0.0, 1.0), _DECIMALS)
         order = np.lexsort((c, -s, r))
         r, c, s = r[order], c[order], s[order]
         begin = np.searchsorted(r, np.arange(len(table)))
@@ -181,20 +190,7 @@ def _by_cells(queries: DataFrame, corpus: DataFrame, groups: list[str], k: int,
 
 def _meet(placed: DataFrame, probes: DataFrame, cells: DataFrame, keys: list[str], k: int, schema: str, block_rows: int) -> DataFrame:
     """The best k of every block of a cell for the queries that visit the cell."""
-    # Blocks of bounded size on both sides; a hot cell or group becomes many tasks.
-    sizes = cells.select(*keys, F.ceil(F.col("points") / block_rows).alias("c_blocks")).join(
-        probes.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("q_blocks")), keys
-    )
-    c_side = placed.join(sizes, keys).select(
-        *keys, "c_id", "c_vec",
-        F.pmod(F.xxhash64("c_id"), "c_blocks").alias("c_block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_blocks") - 1)).alias("q_block"),
-    )
-    q_side = probes.join(sizes, keys).select(
-        *keys, "q_id", "q_vec",
-        F.pmod(F.xxhash64("q_id"), "q_blocks").alias("q_block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c_blocks") - 1)).alias("c_block"),
-    )
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame()
@@ -202,8 +198,25 @@ def _meet(placed: DataFrame, probes: DataFrame, cells: DataFrame, keys: list[str
         q, c, s = _best(_matrix(left["q_vec"]), _matrix(right["c_vec"]), k)
         return pd.DataFrame({"q_id": left["q_id"].to_numpy()[q], "c_id": right["c_id"].to_numpy()[c], "score": s})
 
+    return _blocks_of(placed, probes, cells, keys, run, schema, block_rows)
+
+
+def _blocks_of(placed: DataFrame, probes: DataFrame, cells: DataFrame, keys: list[str], run: Callable, schema: str, block_rows: int) -> DataFrame:
+    """``run(visitors, points)`` for every pair of blocks of a cell's visitors and its points.
+
+    Blocks have a bounded size on both sides; a hot cell or group becomes many tasks.
+    """
+    sizes = cells.select(*keys, F.ceil(F.col("points") / block_rows).alias("c_blocks")).join(
+        probes.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).alias("q_blocks")), keys
+    )
+    c_side = placed.join(sizes, keys).withColumn("c_block", F.pmod(F.xxhash64("c_id"), "c_blocks")).withColumn(
+        "q_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_blocks") - 1))
+    )
+    q_side = probes.join(sizes, keys).withColumn("q_block", F.pmod(F.xxhash64("q_id"), "q_blocks")).withColumn(
+        "c_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("c_blocks") - 1))
+    )
     block = [*keys, "c_block", "q_block"]
-    return q_side.groupBy(*block).cogroup(c_side.groupBy(*block)).applyInPandas(run, schema)
+    return q_side.drop("c_blocks", "q_blocks").groupBy(*block).cogroup(c_side.drop("c_blocks", "q_blocks").groupBy(*block)).applyInPandas(run, schema)
 
 
 def knn(
@@ -258,43 +271,136 @@ def knn_values(queries: DataFrame, values: DataFrame, k: int = 10) -> DataFrame:
     return knn(queries, values, k, corpus_id="value_id", groups=["key_id", "dataset"])
 
 
-def knn_approx(
-    queries: DataFrame, corpus: DataFrame, k: int, share: float = 0.6, cells: int | None = None, train: int = 20_000,
-    query_id: str = "query_id", corpus_id: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """V9: like ``knn`` (all vectors of one length), but a query visits only the cells nearest to it.
+@dataclass
+class QuantizedIndex:
+    """A corpus as codes: ``table(id, cell, codes)`` holds every row, the rest has a fixed size.
 
-    About sqrt(n) cells are learned from ``train`` corpus vectors of smallest hash. A query walks
-    them by distance until they hold ``share`` of the corpus and at least k vectors, so it gets
-    k neighbours wherever there are k; ``share`` 1 is exact. Vectors without cluster structure
-    need the default for a recall of 0.9; clustered ones reach it with far less.
+    A vector is the centre of its cell plus, for each slice of the dimensions, the code word
+    nearest to what is left.
     """
-    q, c = _usable(queries, query_id, [], vector, "q"), _usable(corpus, corpus_id, [], vector, "c")
-    schema = f"{_types(q, 'q_id')}, {_types(c, 'c_id')}, score double"
+
+    table: DataFrame
+    centres: np.ndarray
+    words: np.ndarray
+    points: dict[int, int]
+
+
+def quantize(
+    corpus: DataFrame, cells: int | None = None, train: int = 20_000, slice_size: int = 2, words: int = 256,
+    corpus_id: str = "id", vector: str = "embedding",
+) -> QuantizedIndex | None:
+    """A residual product quantisation of all vectors (of one length); None without any.
+
+    Centres (about sqrt(n)) and code words are learned from the ``train`` vectors of smallest hash.
+    """
+    c = _usable(corpus, corpus_id, [], vector, "c")
     total = c.count()
     wanted = cells or max(1, min(2048, round(total**0.5)))
     sample = c.select("c_vec").orderBy(F.xxhash64("c_id")).limit(max(wanted, train)).toPandas()
     if sample.empty:
-        return corpus.sparkSession.createDataFrame([], f"{_types(q, 'q_id')}, {_types(c, 'c_id')}, score double, rank int").toDF(query_id, corpus_id, "score", "rank")
-    pivots = _learned(_matrix(sample["c_vec"]), wanted)
-    placed = _place(c, "c", pivots)
-    counts = placed.groupBy("cell").agg(F.count("*").alias("points"))
-    points = {r["cell"]: r["points"] for r in counts.collect()}  # at most one row per pivot
+        return None
+    unit = _matrix(sample["c_vec"])
+    centres = _learned(unit, wanted)
+    rest = unit - centres[_distances(unit, centres).argmin(axis=1)]
+    size = unit.shape[1]
+    edges = list(range(0, size, slice_size)) + [size]
+    book = np.zeros((len(edges) - 1, words, slice_size))
+    for j, (low, high) in enumerate(zip(edges, edges[1:])):
+        learned = _words(rest[:, low:high], words)
+        book[j, : len(learned), : high - low] = learned
+        book[j, len(learned) :] = book[j, 0]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                unit = _matrix(batch["c_vec"])
+                zero = ~unit.any(axis=1)
+                cell = _distances(unit, centres).argmin(axis=1)
+                rest = np.where(zero[:, None], 0.0, unit - centres[cell])
+                codes = [_distances(rest[:, low:high], book[j, :, : high - low]).argmin(axis=1) for j, (low, high) in enumerate(zip(edges, edges[1:]))]
+                cell[zero] = ZERO_CELL
+                yield pd.DataFrame({"c_id": batch["c_id"], "cell": cell.astype("int32"), "codes": [x.tobytes() for x in np.stack(codes, axis=1).astype(np.uint8)]})
+
+    table = stored(c.mapInPandas(run, f"{_types(c, 'c_id')}, cell int, codes binary"))
+    points = {r["cell"]: r["points"] for r in table.groupBy("cell").agg(F.count("*").alias("points")).collect()}  # one row a centre
+    return QuantizedIndex(table, centres, book, points)
+
+
+def _words(rows: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Code words of a slice: k-means in plain distance, started from spread-out rows."""
+    distinct = np.unique(rows, axis=0)
+    words = distinct[np.linspace(0, len(distinct) - 1, min(count, len(distinct))).astype(int)]
+    for _ in range(rounds):
+        near = np.concatenate([_distances(rows[i : i + 4096], words).argmin(axis=1) for i in range(0, len(rows), 4096)])
+        sums, held = np.zeros_like(words), np.bincount(near, minlength=len(words))
+        np.add.at(sums, near, rows)
+        words = np.where(held[:, None] > 0, sums / np.maximum(held, 1)[:, None], words)
+    return words
+
+
+def knn_approx(
+    queries: DataFrame, corpus: DataFrame, k: int, share: float = 0.8, shortlist: int | None = None, index: QuantizedIndex | None = None,
+    query_id: str = "query_id", corpus_id: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """V9: like ``knn`` (all vectors of one length), from a quantised index and a short list.
+
+    A query walks the cells nearest to it until they hold ``share`` of the corpus and at least k
+    vectors, and scores their codes by tables of its products with all code words. Only the
+    ``shortlist`` best (6 k + 32 unless given) are scored anew on their vectors, exactly.
+    """
+    q, c = _usable(queries, query_id, [], vector, "q"), _usable(corpus, corpus_id, [], vector, "c")
+    index = index or quantize(corpus, corpus_id=corpus_id, vector=vector)
+    kinds = f"{_types(q, 'q_id')}, {_types(c, 'c_id')}"
+    if index is None:
+        return corpus.sparkSession.createDataFrame([], f"{kinds}, score double, rank int").toDF(query_id, corpus_id, "score", "rank")
+    short = max(k, shortlist or 6 * k + 32)
+    centres, book, points = index.centres, index.words, index.points
+    total = sum(points.values())
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell = np.array(sorted(points))
         held = np.array([points[i] for i in cell])
         for batch in batches:
             if len(batch):
                 unit = _matrix(batch["q_vec"])
-                away = _distances(unit, pivots)[:, np.maximum(cell, 0)]
+                away = _distances(unit, centres)[:, np.maximum(cell, 0)]
                 away[:, cell == ZERO_CELL] = np.sqrt(2.0)
                 order = np.argsort(away, axis=1, kind="stable")
                 last = (np.cumsum(held[order], axis=1) < max(k, share * total)).sum(axis=1)
                 yield pd.DataFrame({"q_id": batch["q_id"], "q_vec": list(unit), "cell": [cell[o[: n + 1]].tolist() for o, n in zip(order, last)]})
 
-    probes = q.mapInPandas(run, f"{_types(q, 'q_id', 'q_vec')}, cell array<int>").withColumn("cell", F.explode("cell"))
-    found = _meet(placed, probes, counts, ["cell"], k, schema, block_rows)
+    probes = q.mapInPandas(visit, f"{_types(q, 'q_id', 'q_vec')}, cell array<int>").withColumn("cell", F.explode("cell"))
+
+    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """The short list of every visitor among a block's codes."""
+        if left.empty or right.empty:
+            return pd.DataFrame()
+        right = right.sort_values("c_id", kind="stable")
+        codes = np.stack([np.frombuffer(x, dtype=np.uint8) for x in right["codes"]])
+        asked, cell, step = _matrix(left["q_vec"]), int(right["cell"].iloc[0]), book.shape[2]
+        base = asked @ centres[cell] if cell != ZERO_CELL else np.zeros(len(asked))
+        rough = np.repeat(base[:, None], len(codes), axis=1)
+        for j in range(len(book)):
+            part = asked[:, j * step : (j + 1) * step]
+            rough += (part @ book[j, :, : part.shape[1]].T)[:, codes[:, j]]
+        some = min(short, rough.shape[1])
+        best = np.argsort(-rough, axis=1, kind="stable")[:, :some]
+        rows = np.repeat(np.arange(len(asked)), some)
+        return pd.DataFrame({"q_id": left["q_id"].to_numpy()[rows], "c_id": right["c_id"].to_numpy()[best.ravel()], "rough": rough[rows, best.ravel()]})
+
+    cells = index.table.groupBy("cell").agg(F.count("*").alias("points"))
+    rough = _blocks_of(index.table, probes, cells, ["cell"], scored, f"{kinds}, rough double", block_rows)
+    first = Window.partitionBy("q_id").orderBy(F.desc("rough"), "c_id")
+    listed = rough.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= short).select("q_id", "c_id")
+    pairs = listed.join(c.select("c_id", "c_vec"), "c_id").join(q.select("q_id", "q_vec"), "q_id")
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                products = (_matrix(batch["q_vec"]) * _matrix(batch["c_vec"])).sum(axis=1)
+                yield pd.DataFrame({"q_id": batch["q_id"], "c_id": batch["c_id"], "score": np.round(np.clip(products, 0.0, 1.0), _DECIMALS)})
+
+    found = pairs.mapInPandas(exact, f"{kinds}, score double")
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

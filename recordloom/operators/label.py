@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.operators.components import connected_components
+from recordloom.operators.density import density_clusters
 from recordloom.operators.knn import radius_edges
 from recordloom.session import cut_lineage
 
@@ -126,13 +127,16 @@ def validate_labels(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     )
 
 
-def cluster_labels(labels: DataFrame, max_distance: float = 0.6) -> DataFrame:
-    """One label per group of close labels, and every label that is close to none.
+def cluster_labels(labels: DataFrame, max_distance: float | None = None) -> DataFrame:
+    """One label per group of close labels, and every label that belongs to none.
 
-    ``labels(key_name, label, embedding)``. Labels whose unit vectors lie within
-    ``max_distance`` are linked, and each component keeps its first label. A fixed distance
-    stands in for hierarchical density clustering.
+    ``labels(key_name, label, embedding)``. Groups are hierarchical density clusters of at least
+    two labels; each keeps its first label. With ``max_distance``, labels whose unit vectors lie
+    within it are linked instead, and each component keeps its first label.
     """
+    if max_distance is None:
+        found = density_clusters(labels, "key_name", "label")
+        return found.select("key_name", F.coalesce("cluster", "label").alias("label")).distinct()
     edges = radius_edges(labels, "key_name", "label", max_distance)
     parts = connected_components(edges, "key_name", "a", "b")
     members = labels.select("key_name", "label").join(
@@ -142,7 +146,7 @@ def cluster_labels(labels: DataFrame, max_distance: float = 0.6) -> DataFrame:
 
 
 def build_taxonomy(
-    labels: DataFrame, vectors: DataFrame, sample: int | None = None, most: int = 0, max_distance: float = 0.6
+    labels: DataFrame, vectors: DataFrame, sample: int | None = None, most: int = 0, max_distance: float | None = None
 ) -> DataFrame:
     """The distinct labels of each key, clustered if there are more than ``most``.
 

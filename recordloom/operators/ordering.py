@@ -10,11 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.session import cut_lineage, stored
+
+# Ranges that one level of cut points makes.
 MAX_RANGES = 1024
 ROWS_PER_RANGE = 500_000
 INDEX_ROWS_PER_RANGE = 20_000
+# Positions are numbered by sorted tasks of at most about this many rows.
+INDEX_ROWS_PER_TASK = 5_000_000
+_ROW_BITS = 33
 
-# Strides of a binary search over fewer than MAX_RANGES cut points.
+# Strides of a binary search over fewer than 1024 cut points.
 _STRIDES = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
 
 
@@ -30,21 +36,39 @@ def _range_of(value: Column, cuts: Column) -> Column:
 
 
 def with_ranges(
-    df: DataFrame, groups: list[str], number: str, rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame, groups: list[str], number: str, rows_per_range: int = ROWS_PER_RANGE, max_ranges: int = MAX_RANGES
 ) -> DataFrame:
     """Add ``_range``: equal numbers share one, and ranges of a group follow the numbers' order.
 
     Cut points are approximate quantiles per group, so skewed numbers still spread evenly.
-    Groups of at most ``rows_per_range`` rows keep a single range.
+    Groups of at most ``rows_per_range`` rows keep a single range. A group that needs more than
+    ``max_ranges`` is cut in levels: each of its ranges becomes a group of its own, so ranges
+    stay of that size however large the group.
     """
-    quantiles = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    wanted = F.least(F.lit(MAX_RANGES), F.ceil(F.col("_n") / rows_per_range)).cast("int")
+    ranged, most = _cut(df, groups, number, rows_per_range, max_ranges)
+    inner = 1
+    while most > rows_per_range:
+        # Only ranges that are still too large are cut again, and only if that moves anything.
+        ranged, left = _cut(ranged.withColumnRenamed("_range", "_outer"), [*groups, "_outer"], number, rows_per_range, max_ranges)
+        ranged = ranged.withColumn("_range", F.col("_outer") * max_ranges + F.col("_range")).drop("_outer")
+        inner += 1
+        if left >= most:
+            break
+        most = left
+    return ranged
+
+
+def _cut(df: DataFrame, groups: list[str], number: str, rows_per_range: int, max_ranges: int) -> tuple[DataFrame, int]:
+    """``df`` with ``_range``, and about how many rows the fullest range may hold."""
+    quantiles = [i / max_ranges for i in range(1, max_ranges)]
+    wanted = F.least(F.lit(max_ranges), F.ceil(F.col("_n") / rows_per_range)).cast("int")
     cuts = (
         df.groupBy(*groups)
         .agg(F.count("*").alias("_n"), F.percentile_approx(number, quantiles).alias("_q"))
-        .withColumn("_step", F.lit(MAX_RANGES) / wanted)
+        .withColumn("_step", F.lit(max_ranges) / wanted)
         .select(
             *groups,
+            "_n",
             F.when(wanted <= 1, F.array().cast("array<double>"))
             .otherwise(
                 F.array_distinct(
@@ -57,17 +81,18 @@ def with_ranges(
             .alias("_cuts"),
         )
     )
-    return (
-        df.join(cuts, groups)
-        .withColumn("_range", _range_of(F.col(number), F.col("_cuts")))
-        .drop("_cuts")
-    )
+    cuts = cut_lineage(cuts)
+    # A range of a group that was cut into all it may be holds this share; others are small enough.
+    full = F.when(F.col("_n") > max_ranges * rows_per_range, F.ceil(F.col("_n") / (F.size("_cuts") + 1))).otherwise(0)
+    most = cuts.agg(F.max(full)).first()[0] or 0
+    ranged = df.join(cuts.drop("_n"), groups).withColumn("_range", _range_of(F.col(number), F.col("_cuts")).cast("long")).drop("_cuts")
+    return ranged, most
 
 
 def range_offsets(df: DataFrame, groups: list[str], amount: Column, name: str) -> DataFrame:
     """Per (group, range), the summed ``amount`` of all earlier ranges of the group.
 
-    The windowed table has at most MAX_RANGES rows per group.
+    The windowed table has one row per range.
     """
     earlier = (
         Window.partitionBy(*groups)
@@ -81,60 +106,28 @@ def range_offsets(df: DataFrame, groups: list[str], amount: Column, name: str) -
     )
 
 
-def sorted_position(df: DataFrame, groups: list[str], number: str, name: str) -> DataFrame:
-    """0-based position of each row in its group's ascending order of distinct ``number``s."""
-    ranged = with_ranges(df, groups, number)
-    offsets = range_offsets(ranged, groups, F.count("*"), "_before")
-    inside = Window.partitionBy(*groups, "_range").orderBy(number)
-    return (
-        ranged.join(offsets, [*groups, "_range"])
-        .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop("_range", "_before")
-    )
-
-
 def global_index(
     df: DataFrame, order_by: list[str], name: str, rows_per_range: int = INDEX_ROWS_PER_RANGE
 ) -> DataFrame:
     """0-based position of every row in the order of ``order_by`` (which must be unique).
 
-    Large inputs are cut into key ranges at the keys of a bounded hash sample; the cut
-    points and the counts of the ranges become literals of the plan, so the split is the
-    same in every attempt and the index needs one shuffle.
+    Large inputs are ranged by key, sorted within the ranges and stored with their place in
+    them, so the split is the same for every reader; counts of the ranges, one row for each,
+    then shift the places.
     """
     order = [F.col(c) for c in order_by]
     total = df.count()
-    wanted = min(MAX_RANGES, -(-total // rows_per_range))
-    if wanted <= 1:
+    if total <= rows_per_range:
         only = Window.partitionBy(F.lit(0)).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(only) - 1).cast("bigint"))
-    key = F.struct(*order) if len(order) > 1 else order[0]
-    size = 20 * wanted
-    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(size).collect()
-    rows = sorted(tuple(r) for r in sample)
-    picked = [rows[len(rows) * i // wanted] for i in range(1, wanted)]
-    types = {f.name: f.dataType for f in df.schema.fields}
-    fields = [[F.lit(v).cast(types[c]) for c, v in zip(order_by, row)] for row in picked]
-    cuts = F.array(
-        *[
-            F.struct(*[v.alias(c) for c, v in zip(order_by, f)]) if len(order) > 1 else f[0]
-            for f in fields
-        ]
-    )
-    at = _range_of(key, cuts)
-    # At most MAX_RANGES counts; reads the key columns only.
-    counted = df.groupBy(at.alias("_range")).agg(F.count("*").alias("n")).collect()
-    sizes = {row["_range"]: row["n"] for row in counted}
-    before, offsets = 0, []
-    for i in range(len(picked) + 1):
-        offsets.append(before)
-        before += sizes.get(i, 0)
-    inside = Window.partitionBy("_range").orderBy(*order)
-    return (
-        df.withColumn("_range", at)
-        .withColumn(
-            name,
-            F.get(F.array(*[F.lit(n).cast("bigint") for n in offsets]), F.col("_range")) + F.row_number().over(inside) - 1,
-        )
-        .drop("_range")
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(min(parts, -(-total // rows_per_range)), -(-total // INDEX_ROWS_PER_TASK))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = stored(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", _ROW_BITS).cast("int")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))  # one row a range
+    inside = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(name, (F.col("_before") + inside).cast("bigint")).drop("_part", "_at", "_before")

@@ -32,6 +32,9 @@ AUTO_DESCRIPTION = "자동 생성된 필드 (타입: {})"
 # Stands for the fields of a record that has none.
 NO_FIELD = "\u0000"
 
+# Values of more characters are counted by digest.
+LONG_VALUE = 64
+
 
 def long_text_settings(context: str) -> LongText:
     return LONG_TEXT.get(context, LONG_TEXT["default"])
@@ -49,23 +52,14 @@ def field_union(records: DataFrame) -> DataFrame:
     return records.select("dataset", F.explode(F.map_keys("raw")).alias("field")).distinct()
 
 
-def value_counts(records: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
-    """Occurrences and first position of every distinct field value; "" counts as null.
-
-    With ``mapping(raw_field, display_name)`` fields count under their display names, those of
-    one name together.
-
-    The one wide shuffle of profiling: statistics, samples and lengths all derive from it,
-    and repeated values are combined before it. ``leading`` counts the rows that stand for
-    whole records (their first field, or NO_FIELD for a record without any), so the number of
-    records needs no second scan.
-    """
+def _field_rows(records: DataFrame, mapping: DataFrame | None) -> DataFrame:
+    """(dataset, at, field_pos, field, value) of all fields, under display names if there is a mapping; "" is null."""
     rows = records.select(
-        F.coalesce("dataset", F.lit("")).alias("dataset"), "record_index", F.posexplode_outer(F.map_entries("raw")).alias("field_pos", "_e")
+        F.coalesce("dataset", F.lit("")).alias("dataset"), F.struct("source_file", "record_index").alias("at"), F.posexplode_outer(F.map_entries("raw")).alias("field_pos", "_e")
     )
     rows = rows.select(
         "dataset",
-        "record_index",
+        "at",
         F.coalesce("field_pos", F.lit(0)).alias("field_pos"),
         F.coalesce("_e.key", F.lit(NO_FIELD)).alias("field"),
         F.nullif("_e.value", F.lit("")).alias("value"),
@@ -73,11 +67,33 @@ def value_counts(records: DataFrame, mapping: DataFrame | None = None) -> DataFr
     if mapping is not None:
         names = mapping.select(F.col("raw_field").alias("field"), "display_name")
         rows = rows.join(names, "field", "left").withColumn("field", F.coalesce("display_name", "field")).drop("display_name")
+    return rows
+
+
+def _digest(value: Column) -> Column:
+    """What a long value travels as; null for short ones."""
+    return F.when(F.length(value) > LONG_VALUE, F.sha2(value, 256))
+
+
+def value_counts(records: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """Occurrences, length and first position of every distinct field value; "" counts as null.
+
+    With ``mapping(raw_field, display_name)`` fields count under their display names, those of
+    one name together.
+
+    The one wide shuffle of profiling: statistics, samples and lengths all derive from it,
+    and repeated values are combined before it. Values of over LONG_VALUE characters travel as
+    digests (``value`` is null then, ``digest`` is not). ``leading`` counts the rows that stand
+    for whole records (their first field, or NO_FIELD for a record without any), so the number
+    of records needs no second scan.
+    """
+    rows = _field_rows(records, mapping).withColumn("digest", _digest(F.col("value")))
+    short = F.when(F.col("digest").isNull(), F.col("value"))
     return (
-        rows.groupBy("dataset", "field", "value")
+        rows.groupBy("dataset", "field", short.alias("value"), "digest", F.length("value").alias("n_chars"))
         .agg(
             F.count("*").alias("occurrences"),
-            F.min("record_index").alias("first_index"),
+            F.min("at").alias("first_at"),
             F.count_if(F.col("field_pos") == 0).alias("leading"),
         )
     )
@@ -91,34 +107,44 @@ def value_lengths(records: DataFrame, counts: DataFrame | None = None) -> DataFr
 
 
 def _lengths(counts: DataFrame) -> DataFrame:
-    size = F.length("value")
-    present = F.sum(F.when(F.col("value").isNotNull(), F.col("occurrences")).otherwise(0))
+    size = F.col("n_chars")
+    present = F.sum(F.when(size.isNotNull(), F.col("occurrences")).otherwise(0))
     return counts.groupBy("dataset", "field").agg(
         F.sum("leading").alias("leading"),
-        F.min("first_index").alias("first_index"),
+        F.min("first_at").alias("first_at"),
+        F.count(F.coalesce("value", "digest")).alias("unique_count"),
         F.bool_or(F.col("field") != NO_FIELD).alias("named"),
-        F.count("value").alias("unique_count"),
         present.alias("present"),
         F.coalesce(F.min(size), F.lit(0)).alias("min_length"),
         F.coalesce(F.max(size), F.lit(0)).alias("max_length"),
-        F.coalesce(F.expr("sum(length(value) * occurrences) div nullif(sum(if(value is null, 0, occurrences)), 0)"), F.lit(0))
+        F.coalesce(F.expr("sum(n_chars * occurrences) div nullif(sum(if(n_chars is null, 0, occurrences)), 0)"), F.lit(0))
         .cast("int")
         .alias("avg_length"),
     )
 
 
-def top_samples(records: DataFrame, k: int = 5, counts: DataFrame | None = None) -> DataFrame:
-    """The k most frequent values per field; ties go to the value seen first."""
-    counts = value_counts(records) if counts is None else counts
+def top_samples(records: DataFrame, k: int = 5, counts: DataFrame | None = None, mapping: DataFrame | None = None) -> DataFrame:
+    """The k most frequent values per field; ties go to the value seen first, by file and record.
+
+    Long values are fetched from the records where the winners were first seen.
+    """
+    counts = value_counts(records, mapping) if counts is None else counts
     # Nulls are ranked last and dropped after the window: a filter before it would be pushed into
     # the counting, and the counts could no longer be shared with the other statistics.
     order = Window.partitionBy("dataset", "field").orderBy(
-        F.col("value").isNull(), F.desc("occurrences"), "first_index", "value"
+        F.col("n_chars").isNull(), F.desc("occurrences"), "first_at", "value", "digest"
     )
     best = (
         counts.withColumn("rank", F.row_number().over(order))
-        .filter((F.col("rank") <= k) & F.col("value").isNotNull() & (F.col("leading") >= 0))
+        .filter((F.col("rank") <= k) & F.col("n_chars").isNotNull() & (F.col("leading") >= 0))
+        .select("dataset", "field", "rank", "value", "digest", "first_at")
     )
+    # At most k rows a field; they decide which records are read again.
+    long = best.filter("digest IS NOT NULL").select(F.col("first_at.source_file").alias("_file"), F.col("first_at.record_index").alias("_index")).distinct()
+    seen = records.join(long, records["source_file"].eqNullSafe(long["_file"]) & (records["record_index"] == long["_index"]), "left_semi")
+    texts = _field_rows(seen, mapping).withColumn("digest", _digest(F.col("value"))).filter("digest IS NOT NULL")
+    texts = texts.groupBy("dataset", "field", "digest").agg(F.first("value").alias("whole"))
+    best = best.join(texts, ["dataset", "field", "digest"], "left").withColumn("value", F.coalesce("value", "whole"))
     return best.groupBy("dataset", "field").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("samples")
     )
@@ -132,14 +158,14 @@ def field_statistics(records: DataFrame, k: int = 5, mapping: DataFrame | None =
     """
     counts = value_counts(records, mapping)
     # One row per field. Both uses of the counts have to read the same shuffle, so they need the
-    # same columns (the comparison of first_index always holds) and no filter on a count's key.
-    fields = _lengths(counts).filter("first_index >= 0").withColumn(
+    # same columns (the comparison of first_at always holds) and no filter on a count's key.
+    fields = _lengths(counts).filter("first_at IS NOT NULL").withColumn(
         "total_count", F.sum("leading").over(Window.partitionBy("dataset"))
     )
     nulls = F.greatest(F.col("total_count") - F.col("present"), F.lit(0))
     return (
         fields.filter("named")
-        .join(top_samples(records, k, counts), ["dataset", "field"], "left")
+        .join(top_samples(records, k, counts, mapping), ["dataset", "field"], "left")
         .select(
             "dataset",
             "field",

@@ -49,6 +49,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and of known size, unlike a checkpoint.
+
+    The folder stays until its owner clears it.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash-partition into the session's number of shuffle partitions.
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.text import file_stem
 from recordloom.operators.ordering import global_index
+from recordloom.session import stored
 
 _MAP = "map<string,string>"
+_ESCAPES = re.compile(r"\\.", re.DOTALL)
+_TOKENS = re.compile(r'\\.|["{}\[\],]', re.DOTALL)
 
 
 def _last_wins(raw: Column) -> Column:
@@ -33,27 +38,155 @@ def dataset_name(name: str | None, source_file: Column | str) -> Column:
     return F.lit(name) if name else file_stem(source_file)
 
 
+def _scan_blocks(pieces: DataFrame, schema: str, start, handle) -> DataFrame:
+    """Stream ``pieces(source_file, block, value)`` of every byte range in order.
+
+    ``start(file, block)`` gives the state of a range, ``handle(state, piece, out)`` changes it
+    and appends rows; ``handle(state, None, out)`` ends the range.
+    """
+
+    def run(batches):
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for at, value in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+                if at != current:
+                    if current is not None:
+                        handle(state, None, out)
+                    current, state = at, start(*at)
+                handle(state, value, out)
+            yield from _rows(out)
+        if current is not None:
+            out = []
+            handle(state, None, out)
+            yield from _rows(out)
+
+    def _rows(out):
+        import pyarrow as pa
+
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    return pieces.mapInArrow(run, schema)
+
+
+def _range_effects(pieces: DataFrame) -> DataFrame:
+    """(source_file, block, flips, outside, inside, first): what a byte range does to the lexer.
+
+    ``flips`` tells whether it ends in another string state than it begins in; ``outside`` and
+    ``inside`` are the changes of depth if it begins outside or inside a string; ``first`` is its
+    first character.
+    """
+
+    def start(file, block):
+        return {"at": (file, block), "inside": [False, True], "depth": [0, 0], "first": ""}
+
+    def handle(state, piece, out):
+        if piece is None:
+            out.append((*state["at"], state["inside"][0], *state["depth"], state["first"]))
+            return
+        state["first"] = state["first"] or piece.lstrip("\ufeff \t\r\n")[:1]
+        parts = (_ESCAPES.sub("", piece) if "\\" in piece else piece).split('"')
+        net = [sum(p.count("{") + p.count("[") - p.count("}") - p.count("]") for p in parts[i::2]) for i in (0, 1)]
+        for i in (0, 1):
+            inside = state["inside"][i]
+            ends = inside != (len(parts) % 2 == 0)
+            state["depth"][i] += net[1 if inside else 0] - (0 if ends else 1)
+            state["inside"][i] = ends
+
+    return _scan_blocks(pieces, "source_file string, block long, flips boolean, outside int, inside int, first string", start, handle)
+
+
+def _elements(pieces: DataFrame, starts: dict) -> DataFrame:
+    """(source_file, block, number, whole, text): elements of the arrays by their number in the range, and the pieces of those that cross its borders.
+
+    ``starts`` has (inside a string, depth, depth of the elements) at the start of every range.
+    """
+
+    def start(file, block):
+        inside, depth, base = starts[file, block]
+        # Outside the outermost brackets nothing is left, but for the start of the file.
+        return {"at": (file, block), "inside": inside, "depth": depth, "base": base, "over": block > 0 and depth < max(base, 1), "text": [], "number": 0, "whole": False}
+
+    def cut(state, out):
+        out.append((*state["at"], state["number"], state["whole"], "".join(state["text"])))
+        state["text"], state["whole"] = [], True
+
+    def handle(state, piece, out):
+        if piece is None:
+            if not state["over"]:
+                state["whole"] = False
+                cut(state, out)
+            # The last row of a range tells how many separators it has.
+            out.append((*state["at"], state["number"], None, None))
+            return
+        if state["over"]:
+            return
+        piece += "}"
+        begin, base, depth, inside = 0, state["base"], state["depth"], state["inside"]
+        for token in _TOKENS.finditer(piece):
+            c = token.group()
+            if c == '"':
+                inside = not inside
+            elif inside or c[0] == "\\":
+                continue
+            elif c in "{[":
+                depth += 1
+                if depth == 1 and base == 1 and c == "[":
+                    begin = token.end()
+            elif c in "}]":
+                depth -= 1
+                if depth < base or depth == base == 0:
+                    end = token.end() if base == 0 else token.start()
+                    state["text"].append(piece[begin:end])
+                    cut(state, out)
+                    state.update(over=True, depth=depth, inside=inside)
+                    return
+            elif depth == base == 1:
+                state["text"].append(piece[begin : token.start()])
+                cut(state, out)
+                state["number"] += 1
+                begin = token.end()
+        state["text"].append(piece[begin:])
+        state.update(depth=depth, inside=inside)
+
+    return _scan_blocks(pieces, "source_file string, block long, number long, whole boolean, text string", start, handle)
+
+
 def read_records(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
     """JSON files, each an array of objects (or one object), to records.
 
-    A JSON array has to be parsed by one task, so bulk data should come as JSON lines
-    (``read_json_lines``) or as tables (``records_from_table``).
+    Files are read by byte ranges. What a range does to a JSON lexer (in a string or not, depth)
+    is a function of its state at the start; these functions, one row a range, are composed in
+    file order, so every range then finds the borders of its elements by itself. Only elements
+    that cross a border are put together. Elements that are no objects are skipped, but count.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source_file"), "value"
+    # Files of one name in several folders are different files.
+    place = F.concat_ws("\0", "_metadata.file_path", "_metadata.file_name")
+    pieces = spark.read.text(path, lineSep="}").select(place.alias("source_file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    starts, state = {}, {}
+    for r in sorted(_range_effects(pieces).collect(), key=lambda r: (r["source_file"], r["block"])):
+        inside, depth, base = state.get(r["source_file"], (False, 0, 1 if r["first"] == "[" else 0))
+        starts[r["source_file"], r["block"]] = (inside, depth, base)
+        state[r["source_file"]] = (inside != r["flips"], depth + r["inside" if inside else "outside"], base)
+    found = stored(_elements(pieces, starts))
+    earlier = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = found.filter("text IS NULL").select("source_file", "block", F.coalesce(F.sum("number").over(earlier), F.lit(0)).alias("before"))
+    found = found.filter("text IS NOT NULL").join(F.broadcast(counts), ["source_file", "block"])  # one row a range
+    found = found.select("source_file", "block", (F.col("before") + F.col("number")).alias("record_index"), "whole", "text")
+    crossing = found.filter(~F.col("whole")).groupBy("source_file", "record_index").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda p: p["text"]), "").alias("text")
     )
-    is_array = F.col("value").rlike(r"^\s*\[")
-    many = F.from_json("value", f"array<{_MAP}>")
-    one = F.array(F.from_json("value", _MAP))
+    every = found.filter("whole").select("source_file", "record_index", "text").unionByName(crossing)
     return (
-        files.select("source_file", F.posexplode(F.when(is_array, many).otherwise(one)).alias("record_index", "raw"))
+        every.withColumn("source_file", F.split("source_file", "\0")[1])
+        .withColumn("raw", F.from_json("text", _MAP))
         .filter("raw is not null")
-        .select(
-            dataset_name(dataset, "source_file").alias("dataset"),
-            "source_file",
-            F.col("record_index").cast("bigint").alias("record_index"),
-            _last_wins(F.col("raw")).alias("raw"),
-        )
+        .select(dataset_name(dataset, "source_file").alias("dataset"), "source_file", "record_index", _last_wins(F.col("raw")).alias("raw"))
     )
 
 

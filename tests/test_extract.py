@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from recordloom.functions import file_stem, iri_encode, safe_double, strip
@@ -28,6 +30,31 @@ def test_read_json_files(spark, tmp_path):
     assert ("empty", 0) not in got
 
 
+@pytest.mark.parametrize("size", [40, 333, 1 << 20])
+def test_array_files_are_read_in_ranges(spark, tmp_path, size):
+    """Ranges of any size give the same records: borders fall into strings, escapes, nested values and between elements."""
+    texts = ["plain", 'quote " and \\', "{[brace]}", "a,b", "tail\\\\", "", "é\u2028\u0000", '"}', "]}]"]
+    rows = [{"i": i, "t": texts[i % 9] * (i % 4), "n": {"x": [1, {"y": texts[(i + 1) % 9]}], "z": []}} for i in range(60)]
+    mixed = [1, *rows[:5], None, "s,}{", [{"a": 1}, 2], *rows[5:], []]
+    write(tmp_path / "in" / "many.json", json.dumps(mixed))
+    write(tmp_path / "in" / "spread.json", json.dumps(rows, indent=3, ensure_ascii=False) + "\n\n")
+    write(tmp_path / "in" / "one.json", "  " + json.dumps(rows[8]) + "\n")
+    write(tmp_path / "in" / "deeper" / "many.json", json.dumps([{"other": "file"}]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = [
+            (r.source_file, r.record_index, {k: json.loads(v) if k == "n" else v for k, v in r.raw.items()})
+            for folder in ("in", "in/deeper")
+            for r in readers.read_records(spark, str(tmp_path / folder)).collect()
+        ]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    text = lambda row: {"i": str(row["i"]), "t": row["t"], "n": row["n"]}
+    want = [("many.json", i, text(r)) for i, r in enumerate(mixed) if isinstance(r, dict)] + [("spread.json", i, text(r)) for i, r in enumerate(rows)]
+    want += [("one.json", 0, text(rows[8])), ("many.json", 0, {"other": "file"})]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_broken_json_is_an_empty_record(spark):
     df = spark.createDataFrame([('{"a": "1", "b": "2", "a": "3"}',), ("{oops",), (None,)], "t string")
     assert [r[0] for r in df.select(readers.parse_json_object("t")).collect()] == [{"b": "2", "a": "3"}, {}, {}]

@@ -133,6 +133,19 @@ def test_ranges_keep_order(spark, rows_per_range):
         assert ranged["_range"].nunique() > 5
 
 
+def test_thousands_of_ranges_in_one_group(spark):
+    """A group that needs more ranges than one level has is cut in two levels."""
+    df = spark.range(10_000).select(F.lit("hot").alias("g"), (F.col("id") * 7 % 10_000).cast("double").alias("x"))
+    df = df.unionByName(spark.createDataFrame([("cold", 1.0)], "g string, x double"))
+    ranged = ordering.with_ranges(df, ["g"], "x", 2).toPandas()
+    hot = ranged[ranged["g"] == "hot"].sort_values("x")
+    assert len(ranged) == 10_001 and hot["_range"].is_monotonic_increasing
+    sizes = hot.groupby("_range").size()
+    assert len(sizes) > 4_000 and sizes.max() <= 12
+    offsets = ordering.range_offsets(ordering.with_ranges(df, ["g"], "x", 2), ["g"], F.count("*"), "before").toPandas()
+    assert offsets["before"].max() < 10_000 and len(offsets) == len(sizes) + 1
+
+
 @pytest.mark.parametrize("rows_per_range", [1_000_000, 10])
 @pytest.mark.parametrize("keys", [["a"], ["s"], ["s", "a"]])
 def test_global_index(spark, rows_per_range, keys):
@@ -143,6 +156,20 @@ def test_global_index(spark, rows_per_range, keys):
     assert got.sort_values(keys)["i"].tolist() == list(range(200))
 
 
+def test_quantised_index_reads_few_vectors(spark):
+    """Recall of at least 0.9 with full vectors of at most 5 % of the corpus per query."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    corpus = rows.select(F.col("vec_id").alias("id"), "embedding")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = knn.quantize(corpus)
+    assert index.table.count() == corpus.count() and index.table.filter("length(codes) <> 32").isEmpty()
+    found = {(r.query_id, r.id): r.score for r in knn.knn_approx(asked, corpus, 10, shortlist=100, index=index).collect()}
+    exact = {(r.query_id, r.id): r.score for r in knn.knn(asked, corpus, 10).collect()}
+    assert len(found) == len(exact) == 1000
+    common = found.keys() & exact.keys()
+    assert len(common) >= 900 and all(abs(found[p] - exact[p]) < 1e-9 for p in common)
+
+
 def test_sparse_cosine_of_strangers_is_zero(spark):
     a = spark.createDataFrame([("x", "f", 2.0), ("x", "g", 1.0)], "id string, feature string, weight double")
     b = spark.createDataFrame([("y", "h", 1.0), ("z", "f", 4.0)], "id string, feature string, weight double")

@@ -105,3 +105,18 @@ def test_fields_of_one_name_share_statistics(spark, records):
     stats = by_field(profile.field_statistics(records([{"a": "x", "b": "y"}, {"a": "x"}, {"c": "z"}]), mapping=mapping))
     assert set(stats) == {"n", "c"}
     assert (stats["n"].total_count, stats["n"].unique_count, stats["n"].null_count, stats["n"].samples) == (3, 2, 0, ["x", "y"])
+
+
+def test_samples_follow_files_and_long_values(spark):
+    """First seen goes by file, then record; long values are counted whole, whatever they begin with."""
+    long = ["x" * 500 + end for end in "ab"]
+    rows = [
+        ("d", "a.json", 0, {"f": "x", "t": long[0]}), ("d", "a.json", 1, {"f": "A", "t": long[1]}), ("d", "a.json", 2, {"t": long[1]}),
+        ("d", "b.json", 0, {"f": "B", "t": "short"}), ("d", "b.json", 1, {"t": None}), ("d", "b.json", 2, {"t": ""}),
+    ]
+    df = spark.createDataFrame(rows, "dataset string, source_file string, record_index bigint, raw map<string,string>")
+    got = {r.field: r for r in profile.field_statistics(df).collect()}
+    assert got["f"].samples == ["x", "A", "B"] and got["t"].samples == [long[1], long[0], "short"]
+    assert got["t"].unique_count == 3 and got["t"].null_count == 2 and got["t"].value_lengths == {"min": 5, "max": 501, "avg": 377}
+    mapping = spark.createDataFrame([("f", "both"), ("t", "both")], "raw_field string, display_name string")
+    assert {r.field: r.samples for r in profile.top_samples(df, 2, mapping=mapping).collect()} == {"both": [long[1], long[0]]}
