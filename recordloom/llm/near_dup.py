@@ -27,6 +27,7 @@ from recordloom.session import cut_lineage
 SEGMENT_BITS = 4
 # Bands of minimum hashes, by which keep_one finds candidates.
 BANDS, BAND_ROWS = 24, 5
+EXACT_SIZES = 128
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -184,20 +185,32 @@ def _signatures(docs: DataFrame, shingle: int, id_column: str, text: str) -> Dat
     return map_batches(rows, f"id {rows.schema['id'].dataType.simpleString()}, body long, node long, n int, buckets array<long>", task)
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` whose shingle sets have at least the Jaccard similarity; ``texts(node, text)`` has each node once."""
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the shingle set of each of ``texts(node, text)``, once per node."""
+
+    def task():
+        def handle(columns):
+            yield {"node": columns["node"], "shingles": [shingle_set(t.as_py(), shingle).view(np.int64) for t in columns["text"]]}
+
+        return handle
+
+    return map_batches(texts, "node long, shingles array<long>", task)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose ``sets(node, shingles)`` have at least the Jaccard similarity."""
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b"
     )
 
     def task():
         def close(one, other):
-            one, other = shingle_set(one.as_py(), shingle), shingle_set(other.as_py(), shingle)
+            one, other = one.values.to_numpy(), other.values.to_numpy()
             both = len(np.intersect1d(one, other, assume_unique=True))
             return both >= similarity * (len(one) + len(other) - both) - 1e-9
 
         def handle(columns):
-            yield {"a": columns["a"], "b": columns["b"], "close": [close(x, y) for x, y in zip(columns["text_a"], columns["text_b"])]}
+            yield {"a": columns["a"], "b": columns["b"], "close": [close(x, y) for x, y in zip(columns["set_a"], columns["set_b"])]}
 
         return handle
 
@@ -208,12 +221,70 @@ def _roots(links: DataFrame) -> DataFrame:
     return connected_components(links.withColumn("g", F.lit(0)), "g", "a", "b").select("node", F.col("component").alias("root"))
 
 
+def _size_class(n: Column) -> Column:
+    """Sizes below EXACT_SIZES are classes of their own, larger ones share a class within about one percent."""
+    return F.when(n < EXACT_SIZES, n).otherwise(F.floor(F.log2(n / EXACT_SIZES) * 64) + EXACT_SIZES).cast("int")
+
+
+def _least_size(size_class: int) -> int:
+    return size_class if size_class < EXACT_SIZES else int(EXACT_SIZES * 2 ** ((size_class - EXACT_SIZES) / 64))
+
+
+def _prefix_pairs(crowd: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``crowd(node, root, shingles)`` that may be similar, from different roots, by positional prefix filters.
+
+    Shingles are ordered from rare to common in the crowd. Two similar sets of sizes n and m share
+    at least o = s / (1 + s) * (n + m) shingles, so their first common one has at least o - 1 others
+    behind it in both. A set thus offers, for each size it may be similar to, only the shingles
+    that are so placed, and pairs meet by offered shingle and sizes. Shingles that occur under
+    one root alone come first and are never offered: copies that were edited apart, whose own
+    edits are the rare shingles, offer nothing.
+    """
+    tokens = crowd.select("node", "root", F.explode("shingles").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("seen"), F.min("root").alias("low"), F.max("root").alias("high"))
+    shared = shared.filter("low <> high").select("token", "seen")
+    listed = tokens.join(shared, "token").groupBy("node", "root").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("tokens"))
+    size_class = _size_class(F.size("shingles"))
+    sized = listed.select("node", "root", F.col("tokens.token").alias("tokens")).join(crowd.select("node", size_class.alias("own")), "node")
+    sized = stored(sized)
+    present = sorted(r[0] for r in sized.select("own").distinct().collect())  # sizes in classes, some hundreds at most
+    least = {c: _least_size(c) for c in present}
+    factor = similarity / (1 + similarity)
+
+    def task():
+        def handle(columns):
+            out = {"node": [], "root": [], "own": [], "other": [], "token": []}
+            for node, root, own, tokens in zip(columns["node"].to_pylist(), columns["root"].to_pylist(), columns["own"].to_pylist(), columns["tokens"]):
+                tokens = tokens.values.to_numpy()
+                for other in present:
+                    # One more than the class at either end, whose members are up to a percent larger.
+                    if similarity * least[other] * 0.98 <= least[own] * 1.02 and similarity * least[own] * 0.98 <= least[other] * 1.02:
+                        offered = len(tokens) - int(np.ceil(factor * (least[own] + least[other]) - 1e-9)) + 1
+                        for token in tokens[: max(0, offered)].tolist():
+                            for name, value in zip(out, (node, root, own, other, token)):
+                                out[name].append(value)
+            yield out
+
+        return handle
+
+    offers = map_batches(sized.select("node", "root", "own", "tokens"), "node long, root long, own int, other int, token long", task)
+    keys = ["token", "low", "high"]
+    offers = stored(offers.select("node", "root", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "token"))
+    met = offers.groupBy(*keys).agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one <> two").select(*keys)
+    offers = offers.join(met, keys, "left_semi")
+    left = offers.filter("own = low").select(*keys, F.col("node").alias("x"), F.col("root").alias("root_x"))
+    right = offers.filter("own = high").select(*keys, F.col("node").alias("y"), F.col("root").alias("root_y"))
+    pairs = left.join(right, keys).filter("root_x <> root_y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _similar_components(docs: DataFrame, id_column: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Signatures of all documents, and (least, root) of their different shingle sets.
 
     Candidates share a band of minimum hashes. The members of a bucket are first verified against
-    one of them, another one per band. Only members that no chain of links has joined by then are
-    verified pair by pair: those outside the largest component of their bucket against all others.
+    one of them, another one per band. Members of buckets that no chain of links has joined by
+    then meet again by prefix filters, and only their offered pairs are verified. What moves are
+    shingle hashes, made once per text, never texts in pairs.
     """
     prints = cut_lineage(_signatures(docs, shingle, id_column, text))
     nodes = cut_lineage(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "body")).alias("least")))
@@ -227,22 +298,20 @@ def _similar_components(docs: DataFrame, id_column: str, text: str, shingle: int
     tried = cut_lineage(crowds.filter("node <> other").filter(alike).select(*ordered).distinct())
     wanted = crowds.select("node").distinct().join(nodes, "node").select("node", "least.id", "least.body")
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
-    texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["body"])).select("node", "text").dropDuplicates(["node"])
-    texts = stored(texts)
-    links = cut_lineage(_similar(tried, texts, shingle, similarity))
+    texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["body"])).select("node", "text")
+    sets = stored(_shingle_sets(texts, shingle).dropDuplicates(["node"]))
+    links = cut_lineage(_similar(tried, sets, similarity))
     roots = _roots(links)
 
-    rooted = cut_lineage(crowds.select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    main = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "root"))["root"].alias("main")).filter("parts > 1")
-    mixed = rooted.join(main, "bucket")
-    left = mixed.filter("root <> main")
-    right = mixed.select("bucket", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-    apart = left.join(right, "bucket").filter("root <> other_root AND (other_root = main OR node < other)").filter(alike)
-    more = _similar(apart.select(*ordered).distinct().join(tried, ["a", "b"], "left_anti"), texts, shingle, similarity)
-    more = cut_lineage(more)
-    if not more.isEmpty():
-        roots = _roots(links.unionByName(more))
+    rooted = crowds.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one <> two").select("bucket")
+    crowd = rooted.join(mixed, "bucket", "left_semi").select("node", "root").distinct()
+    crowd = stored(crowd.join(sets, "node"))
+    if not crowd.isEmpty():
+        apart = _prefix_pairs(crowd, similarity).join(tried, ["a", "b"], "left_anti")
+        more = cut_lineage(_similar(apart, crowd.select("node", "shingles"), similarity))
+        if not more.isEmpty():
+            roots = _roots(links.unionByName(more))
     return prints, nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
 
 
