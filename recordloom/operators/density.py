@@ -291,29 +291,39 @@ def _merge(kind: str, min_size: int):
         def fall(nodes, cluster):
             out.extend((group, "point", n, cluster, 0, 0.0, 0.0, None, [], False) for n in nodes)
 
-        for w, a, b, ca, cb, edge in sorted(zip(*(edges[c] for c in ("w", "a", "b", "ca", "cb", "edge")))):
-            x, y = find(ca), find(cb)
-            density = 1.0 / max(w, _SHORTEST)
-            one, two = state[x], state.pop(y)
-            root[y] = x
-            size = one[0] + two[0]
-            if one[3] is not None and two[3] is not None:
-                below = 0.0
-                for s in (one, two):
-                    excess = s[1] - s[0] * density
-                    chosen = not s[2] > excess
-                    below += excess if chosen else s[2]
-                    out.append((group, "cluster", s[3], 2 * edge + 1, 0, 0.0, 0.0, None, [], chosen))
-                state[x] = [size, size * density, below, 2 * edge + 1, []]
-            elif one[3] is not None or two[3] is not None:
-                big, small = (one, two) if one[3] is not None else (two, one)
-                fall(small[4], big[3])
-                state[x] = [size, big[1] + small[0] * density, big[2], big[3], []]
-            elif size >= min_size:
-                fall(one[4] + two[4], 2 * edge + 1)
-                state[x] = [size, size * density, 0.0, 2 * edge + 1, []]
-            else:
-                state[x] = [size, 0.0, 0.0, None, one[4] + two[4]]
+        # What meets at one length meets at once, so that the order of equal edges has no say.
+        ordered = edges.sort_values("w", kind="stable")
+        for w, some in ordered.groupby("w", sort=False):
+            density, joined, by = 1.0 / max(w, _SHORTEST), {}, {}
+            for ca, cb, edge in zip(some["ca"], some["cb"], some["edge"]):
+                x, y = find(ca), find(cb)
+                if x != y:
+                    joined[x] = joined.get(x, [x]) + joined.pop(y, [y])
+                    by[x] = min(by.get(x, edge), by.pop(y, edge), edge)
+                    root[y] = x
+            for top, tops in sorted(joined.items()):
+                new = 2 * int(by[top]) + 1
+                old = [state.pop(t) for t in tops]
+                big, small = [s for s in old if s[3] is not None], [s for s in old if s[3] is None]
+                size, loose = sum(s[0] for s in old), [n for s in small for n in s[4]]
+                if len(big) > 1:
+                    # The clusters end here, and one begins that holds them and what is loose.
+                    below = 0.0
+                    for s in big:
+                        excess = s[1] - s[0] * density
+                        chosen = not s[2] > excess
+                        below += excess if chosen else s[2]
+                        out.append((group, "cluster", s[3], new, 0, 0.0, 0.0, None, [], chosen))
+                    fall(loose, new)
+                    state[top] = [size, size * density, below, new, []]
+                elif big:
+                    fall(loose, big[0][3])
+                    state[top] = [size, big[0][1] + (size - big[0][0]) * density, big[0][2], big[0][3], []]
+                elif size >= min_size:
+                    fall(loose, new)
+                    state[top] = [size, size * density, 0.0, new, []]
+                else:
+                    state[top] = [size, 0.0, 0.0, None, loose]
         least = {}
         for part in root:
             top = find(part)
