@@ -1,11 +1,14 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 Lines are parsed down a tree of fixed depth: by their number of tokens, then by their leading
-tokens, where a token with a digit counts as variable. The lines of a leaf are generalised:
-a token that over half of the leaf's different lines have in a position is its constant, other
-positions are variable; lines that agree with the constants in at least ``similarity`` of all
-positions share the leaf's template; any other line is a template of its own, with its digits masked. A template
-found in enough documents is recurring, and all its lines but the very first are dropped.
+tokens, where a token with a digit counts as variable. The different lines of a leaf are then
+generalised in up to ``LEVELS`` levels. A token that over half of a node's lines have in a
+position is its constant, other positions are variable; lines that agree with the constants in at
+least ``similarity`` of all positions share the node's template. The others are split by their
+token in the node's most regular position that is no constant everywhere (that of the fewest
+different tokens), and generalised among themselves. A line that joins no template is one of its
+own, with its digits masked. A template found in enough documents is recurring, and all its lines
+but the very first are dropped.
 
 Defined cases: a null text has no lines and stays null; lines without tokens are never
 dropped; rows of one id and text are one document and lose the same lines; rows of one id and
@@ -15,13 +18,15 @@ string; other columns are kept as they are, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import stored, words_of
-from recordloom.session import cut_lineage
 
 VARIABLE = "<*>"
+LEVELS = 3
 
 
 def parsed_lines(docs: DataFrame, id_column: str, text: str, depth: int) -> DataFrame:
@@ -45,26 +50,33 @@ def parsed_lines(docs: DataFrame, id_column: str, text: str, depth: int) -> Data
 
 
 def leaf_templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, form) of the lines that follow their leaf's shared template.
+    """(leaf, form, template) of the lines that share a template with others of their leaf.
 
-    Only leaves with different lines matter. Tokens are counted per position with partial sums
-    before the shuffle, so a leaf with a third of all lines is no single task's burden.
+    Only leaves with different lines matter; they are told by the extremes of their narrow keys.
+    Tokens are counted per position with partial sums before the shuffle, so a leaf with a third
+    of all lines is no single task's burden.
     """
-    forms = lines.groupBy("leaf", "form").agg(F.first("marks").alias("marks"))
-    # The leaves are told by their narrow keys; marks stay where the grouping has put them.
-    keys = lines.select("leaf", "form").distinct()
-    mixed = keys.groupBy("leaf").agg(F.count("*").alias("forms")).filter("forms > 1").select("leaf")
-    forms = cut_lineage(forms.join(keys.join(mixed, "leaf"), ["leaf", "form"]))
-    at = forms.select("leaf", "form", F.size("marks").alias("n"), F.posexplode("marks").alias("pos", "mark"))
-    counts = at.groupBy("leaf", "pos", "mark").agg(F.count("*").alias("seen"))
-    constant = counts.groupBy("leaf", "pos").agg(F.max(F.struct("seen", "mark")).alias("top"), F.sum("seen").alias("forms"))
-    template = (
-        constant.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("top.seen") * 2 > F.col("forms"), F.col("top.mark")).alias("mark")))).alias("constants"))
-    )
-    agree = F.aggregate(
-        F.zip_with("marks", "constants", lambda a, b: F.when(a == b["mark"], 1).otherwise(0)), F.lit(0), lambda s, x: s + x
-    )
-    return forms.join(template, "leaf").filter(agree >= F.lit(similarity) * F.size("marks")).select("leaf", "form")
+    mixed = lines.groupBy("leaf").agg(F.min("form").alias("low"), F.max("form").alias("high")).filter("low <> high").select("leaf")
+    marked = lines.select("leaf", "form", "marks").join(stored(mixed), "leaf", "left_semi")
+    forms = stored(marked.groupBy("leaf", "form").agg(F.first("marks").alias("marks")).withColumn("node", F.col("leaf")))
+    found = []
+    for level in range(LEVELS):
+        at = forms.select("node", F.posexplode("marks").alias("pos", "mark"))
+        counts = at.groupBy("node", "pos", "mark").agg(F.count("*").alias("seen"))
+        places = counts.groupBy("node", "pos").agg(F.max(F.struct("seen", "mark")).alias("top"), F.sum("seen").alias("forms"), F.count("*").alias("kinds"))
+        constant = F.when(F.col("top.seen") * 2 > F.col("forms"), F.col("top.mark"))
+        template = places.filter("forms > 1").groupBy("node").agg(
+            F.sort_array(F.collect_list(F.struct("pos", constant.alias("mark")))).alias("constants"),
+            F.min(F.when(F.col("kinds") > 1, F.struct("kinds", "pos")))["pos"].alias("split"),
+        )
+        agree = F.aggregate(
+            F.zip_with("marks", "constants", lambda a, b: F.when(a == b["mark"], 1).otherwise(0)), F.lit(0), lambda s, x: s + x
+        )
+        told = stored(forms.join(template, "node").select("leaf", "form", "marks", "node", "split", (agree >= F.lit(similarity) * F.size("marks")).alias("follows")))
+        found.append(told.filter("follows").select("leaf", "form", F.xxhash64("node", F.lit(level)).alias("template")))
+        rest = told.filter("NOT follows AND split IS NOT NULL")
+        forms = rest.select("leaf", "form", "marks", F.xxhash64("node", "split", F.get("marks", F.col("split"))).alias("node"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def recurring_lines(
@@ -77,10 +89,9 @@ def recurring_lines(
     other ``min_docs``. Hashes and positions are shuffled, never lines.
     """
     lines = stored(parsed_lines(docs, id_column, text, depth))
-    shared = leaf_templates(lines, similarity).withColumn("shared", F.lit(True))
+    shared = stored(leaf_templates(lines, similarity))
     keyed = lines.select("id", "body", "pos", "n", "leaf", "form").join(shared, ["leaf", "form"], "left").select(
-        "id", "body", "pos", "n", "leaf", F.when(F.col("shared"), F.lit(0).cast("long")).otherwise(F.col("form")).alias("form"),
-        F.coalesce("shared", F.lit(False)).alias("shared"),
+        "id", "body", "pos", "n", "leaf", F.coalesce("template", "form").alias("form"), F.col("template").isNotNull().alias("shared")
     )
     key = ["leaf", "shared", "form"]
     per_doc = keyed.groupBy(*key, "n", "id", "body").agg(F.min("pos").alias("pos"))
@@ -115,8 +126,3 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str =
             F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
         ]
     return joined.select(*kept)
-
-
-def any_text(column: Column) -> Column:
-    """Whether a text has a word left."""
-    return F.coalesce(column, F.lit("")).rlike(r"[^\x09-\x0D ]")

@@ -148,25 +148,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def _lines_sql(depth: int = 4, similarity: float = 0.8) -> str:
+    levels = []
+    for i in range(line_templates.LEVELS):
+        node = "n, head, node"
+        levels.append(rf"""
+tok{i} AS (SELECT {node}, w, unnest(w) AS tok, unnest(range(len(w))) AS place FROM forms{i}),
+cnt{i} AS (SELECT {node}, place, tok, count(*) AS seen, sum(count(*)) OVER (PARTITION BY {node}, place) AS total FROM tok{i} GROUP BY {node}, place, tok),
+mix{i} AS (SELECT {node} FROM forms{i} GROUP BY {node} HAVING count(*) > 1),
+fol{i} AS (SELECT n, head, node, w, hits >= {similarity} * n AS follows FROM (SELECT t.n, t.head, t.node, t.w, count(c.tok) AS hits FROM tok{i} t JOIN mix{i} USING (n, head, node)
+  LEFT JOIN cnt{i} c ON t.n = c.n AND t.head = c.head AND t.node = c.node AND t.place = c.place AND t.tok = c.tok AND 2 * c.seen > c.total GROUP BY ALL)),
+split{i} AS (SELECT {node}, (min({{'kinds': kinds, 'place': place}})).place AS place FROM (SELECT {node}, place, count(*) AS kinds FROM cnt{i} GROUP BY ALL) WHERE kinds > 1 GROUP BY {node}),
+forms{i + 1} AS (SELECT f.n, f.head, list_append(list_append(f.node, CAST(place AS VARCHAR)), f.w[place + 1]) AS node, f.w FROM fol{i} f JOIN split{i} USING (n, head, node) WHERE NOT follows)""")
+    shared = " UNION ALL ".join(f"SELECT n, head, w, node, {i} AS level FROM fol{i} WHERE follows" for i in range(line_templates.LEVELS))
     return rf"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
 t AS (SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[\x09-\x0D ]+'), lambda y: y <> ''),
   lambda y: CASE WHEN regexp_matches(y, '[0-9]') THEN '<*>' ELSE y END) AS w FROM l),
 k AS (SELECT doc_id, text, pos, w, len(w) AS n, w[1:{depth}] AS head FROM t WHERE len(w) > 0),
-forms AS (SELECT DISTINCT n, head, w FROM k),
-tok AS (SELECT n, head, w, unnest(w) AS tok, unnest(range(len(w))) AS place FROM forms),
-con_ AS (SELECT n, head, place, tok FROM (SELECT n, head, place, tok, count(*) AS seen, sum(count(*)) OVER (PARTITION BY n, head, place) AS total
-  FROM tok GROUP BY n, head, place, tok) WHERE 2 * seen > total),
-mixed AS (SELECT n, head FROM forms GROUP BY n, head HAVING count(*) > 1),
-shared AS (SELECT tok.n, tok.head, tok.w FROM tok JOIN mixed ON tok.n = mixed.n AND tok.head = mixed.head
-  LEFT JOIN con_ c ON tok.n = c.n AND tok.head = c.head AND tok.place = c.place AND tok.tok = c.tok
-  GROUP BY ALL HAVING count(c.tok) >= {similarity} * tok.n),
-key AS (SELECT k.doc_id, k.text, k.pos, k.n, k.head, CASE WHEN s.w IS NULL THEN k.w ELSE NULL END AS form
+forms0 AS (SELECT DISTINCT n, head, CAST([] AS VARCHAR[]) AS node, w FROM k),{",".join(levels)},
+shared AS ({shared}),
+key AS (SELECT k.doc_id, k.text, k.pos, k.n, k.head, CASE WHEN s.w IS NULL THEN k.w END AS form, s.node, s.level
   FROM k LEFT JOIN shared s ON k.n = s.n AND k.head = s.head AND k.w = s.w),
-seen AS (SELECT *, dense_rank() OVER (PARTITION BY n, head, form ORDER BY doc_id, text) AS doc_rank,
-  row_number() OVER (PARTITION BY n, head, form ORDER BY doc_id, text, pos) AS line_rank FROM key),
-rec AS (SELECT *, max(doc_rank) OVER (PARTITION BY n, head, form) AS docs FROM seen),
+seen AS (SELECT *, dense_rank() OVER (PARTITION BY n, head, form, node, level ORDER BY doc_id, text) AS doc_rank,
+  row_number() OVER (PARTITION BY n, head, form, node, level ORDER BY doc_id, text, pos) AS line_rank FROM key),
+rec AS (SELECT *, max(doc_rank) OVER (PARTITION BY n, head, form, node, level) AS docs FROM seen),
 drops AS (SELECT doc_id, text, pos FROM rec WHERE docs >= CASE WHEN n < 5 THEN 10 ELSE 2 END AND line_rank > 1),
 kept AS (SELECT l.doc_id, l.text, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (x.pos IS NULL), '') AS shorter,
   count(*) AS n_lines, count(x.pos) AS n_dropped FROM l LEFT JOIN drops x ON l.doc_id = x.doc_id AND l.text = x.text AND l.pos = x.pos GROUP BY l.doc_id, l.text)

@@ -365,6 +365,17 @@ def test_variable_fields_and_passages(spark):
     assert all(r["text"].startswith("yes") for r in line_templates.drop_recurring_lines(short).collect())
 
 
+def test_several_templates_share_a_leaf(spark):
+    """Two kinds of log lines of one length, whose first fields hold digits: more rows hide nothing."""
+    names = ["ann", "bob", "cat", "dan", "eve"]
+    kinds = ["2024-05-0{i} 10:1{i} 77 {i} user {x} logged in from the office today", "2024-05-0{i} 10:1{i} 77 {i} disk {x} ran out of free space here"]
+    lines = [kind.format(i=i, x=x) for kind in kinds for i, x in enumerate(names)]
+    for some, kept in ((lines[:5], 1), (lines, 2)):
+        rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(some)]
+        got = line_templates.drop_recurring_lines(table(spark, rows), detail=True).collect()
+        assert sum(r["n_dropped"] for r in got) == len(some) - kept and {r["doc_id"] for r in got if r["text"]} <= {0, 5}
+
+
 # 5 shards
 
 
