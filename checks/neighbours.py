@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from checks.base import table
 from recordloom.functions import binarize, cosine, ngram_vector
-from recordloom.operators import knn, sparse
+from recordloom.operators import knn
+from recordloom.operators import sparse as sparse_vectors
 from recordloom.plans.workflow import embed_distinct
 
 QUERIES, SQL = {}, {}
@@ -173,8 +174,8 @@ _GRAMS_SQL = (
 
 @query("sparse_top_k", _GRAMS_SQL)
 def sparse_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    grams = sparse.gram_weights(table(spark, sf, "part"), "p_partkey", "p_name")
+    grams = sparse_vectors.gram_weights(table(spark, sf, "part"), "p_partkey", "p_name")
     corpus = grams.withColumnRenamed("p_partkey", "id")
     asked = grams.filter("p_partkey % 50 = 0").withColumnRenamed("p_partkey", "query_id")
-    found = sparse.sparse_top_k(asked, corpus, 10)
+    found = sparse_vectors.sparse_top_k(asked, corpus, 10)
     return found.groupBy("query_id").agg(F.round(F.sum("score"), 5).alias("total"), F.count("*").alias("found"))
