@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ from recordloom.session import cut_lineage
 # Fixed value: the label of what fits no category.
 OTHER = "기타"
 
-# Rules up to this many per key travel as one array with the key; more are joined by substring.
+# Rules up to this many per key travel as one array with the key; more become automata.
 MAX_RULES_IN_ROW = 256
+# Sizes of the blocks in which an automaton's rules and values come.
+RULES_PER_BLOCK, VALUES_PER_BLOCK = 10_000, 50_000
 
 
 def classify_keys(keys: DataFrame, taxonomy: DataFrame | None = None, overrides: DataFrame | None = None, share: float = 0.9) -> DataFrame:
@@ -52,20 +55,68 @@ def classify_keys(keys: DataFrame, taxonomy: DataFrame | None = None, overrides:
     )
 
 
+def _automaton(rules: list[tuple]) -> tuple[list[dict], list[int], list[tuple | None]]:
+    """Aho-Corasick over (rule_pos, keyword, label): transitions, fallbacks, and per state the first rule that ends there."""
+    steps, back, first = [{}], [0], [None]
+    for pos, keyword, label in sorted(rules):
+        at = 0
+        for c in keyword:
+            if c not in steps[at]:
+                steps[at][c] = len(steps)
+                steps.append({})
+                back.append(0)
+                first.append(None)
+            at = steps[at][c]
+        first[at] = first[at] or (pos, label)
+    queue = list(steps[0].values())
+    for at in queue:
+        for c, to in steps[at].items():
+            fall = back[at]
+            while fall and c not in steps[fall]:
+                fall = back[fall]
+            back[to] = steps[fall].get(c, 0)
+            queue.append(to)
+        # Shorter keywords that end here, too.
+        first[at] = min((f for f in (first[at], first[back[at]]) if f is not None), default=None)
+    return steps, back, first
+
+
+def _scan_keywords(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The first rule of a block that each value of a block contains; one pass per value."""
+    if left.empty or right.empty:
+        return pd.DataFrame()
+    steps, back, first = _automaton(list(zip(right["rule_pos"], right["keyword"], right["label"])))
+    values, found = [], []
+    for value in left["value"]:
+        at, best = 0, first[0]
+        for c in value:
+            while at and c not in steps[at]:
+                at = back[at]
+            at = steps[at].get(c, 0)
+            if first[at] is not None and (best is None or first[at] < best):
+                best = first[at]
+        if best is not None:
+            values.append(value)
+            found.append(best)
+    return pd.DataFrame({"key_name": left["key_name"].iloc[0], "value": values, "rule_pos": [f[0] for f in found], "label": [f[1] for f in found]})
+
+
 def label_by_keyword(
-    values: DataFrame, rules: DataFrame, taxonomy: DataFrame, max_rules_in_row: int = MAX_RULES_IN_ROW
-) -> DataFrame:
+    values: DataFrame, rules: DataFrame, taxonomy: DataFrame, max_rules_in_row: int = MAX_RULES_IN_ROW,
+    rules_per_block: int = RULES_PER_BLOCK, values_per_block: int = VALUES_PER_BLOCK,
+) -> DataFrame:
     """Label of the first rule whose keyword the value contains, within the key's taxonomy.
 
     ``values(key_name, value)``, ``rules(rule_pos, keyword, label)``, ``taxonomy(key_name, label)``.
-    Keys with few rules scan them in place; keys with many join the value's substrings of
-    keyword length to the keywords. Values without a match are absent.
+    Keys with few rules scan them in place. The rules of other keys are dealt to blocks of
+    bounded size, each an automaton that passes once over every value of the key, itself in
+    blocks. Values without a match are absent.
     """
-    wanted = rules.join(taxonomy.select("key_name", "label").distinct(), "label")
+    wanted = rules.filter("keyword IS NOT NULL").join(taxonomy.select("key_name", "label").distinct(), "label")
     counted = wanted.groupBy("key_name").agg(F.count("*").alias("_n"))
     small = counted.filter(F.col("_n") <= max_rules_in_row).select("key_name")
-    large = counted.filter(F.col("_n") > max_rules_in_row).select("key_name")
-    distinct = values.select("key_name", "value").distinct()
+    large = counted.filter(F.col("_n") > max_rules_in_row).select("key_name", F.ceil(F.col("_n") / rules_per_block).cast("int").alias("_rules"))
+    distinct = values.filter("value IS NOT NULL").select("key_name", "value").distinct()
     lists = (
         wanted.join(small, "key_name", "left_semi")
         .groupBy("key_name")
@@ -76,31 +127,17 @@ def label_by_keyword(
         "value",
         F.get(F.filter("_rules", lambda r: F.col("value").contains(r["keyword"])), F.lit(0))["label"].alias("label"),
     ).filter("label is not null")
-    many = wanted.join(large, "key_name", "left_semi")
-    lengths = many.groupBy("key_name").agg(F.collect_set(F.length("keyword")).alias("_lengths"))
-    pieces = distinct.join(lengths, "key_name").select(
-        "key_name",
-        "value",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        "_lengths",
-                        lambda size: F.transform(
-                            F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("value") - size + 1)),
-                            lambda at: F.substring(F.col("value"), at, size),
-                        ),
-                    )
-                )
-            )
-        ).alias("keyword"),
-    )
-    joined = (
-        pieces.join(many, ["key_name", "keyword"])
-        .groupBy("key_name", "value")
-        .agg(F.min_by("label", "rule_pos").alias("label"))
+    sizes = distinct.groupBy("key_name").agg(F.ceil(F.count("*") / values_per_block).cast("int").alias("_values"))
+    sizes = cut_lineage(large.join(sizes, "key_name"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = distinct.join(sizes, "key_name").select("key_name", "value", own("value", "_values").alias("_i"), every("_rules").alias("_j"))
+    right = wanted.join(sizes, "key_name").select(
+        F.col("key_name").alias("_key"), "rule_pos", "keyword", "label", every("_values").alias("_i"), own("keyword", "_rules").alias("_j")
     )
-    return scanned.unionByName(joined)
+    kinds = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in ("rule_pos", "label"))
+    found = left.groupBy("key_name", "_i", "_j").cogroup(right.groupBy("_key", "_i", "_j")).applyInPandas(_scan_keywords, f"key_name string, value string, {kinds}")
+    return scanned.unionByName(found.groupBy("key_name", "value").agg(F.min_by("label", "rule_pos").alias("label")))
 
 
 def label_fallback(values: DataFrame, labels: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

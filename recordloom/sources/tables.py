@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -68,6 +68,61 @@ def write_values(df: DataFrame, path: str) -> DataFrame:
     return upsert(df, path, "value_id")
 
 
+def upsert_rows(df: DataFrame, path: str, ids: str | list[str], gone: DataFrame | None = None) -> int:
+    """S6 by rows: write the new versions of the given ids, and tombstones for those of ``gone``, as one change set.
+
+    Nothing that is there is read or rewritten but the numbers of earlier change sets, so an
+    upsert costs what it brings. ``read_rows`` merges; ``compact_rows`` folds the changes in.
+    A row wins over a tombstone of its own set. Returns the number of the set.
+    """
+    keys = [ids] if isinstance(ids, str) else ids
+    fresh = latest_by_id(df, keys, F.lit(0)).withColumn("_gone", F.lit(False)).withColumn("_whole", F.lit(False))
+    if gone is not None:
+        dead = gone.select(*keys).distinct().join(df.select(*keys), keys, "left_anti")
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in keys]
+        fresh = fresh.unionByName(dead.select(*keys, *nothing, F.lit(True).alias("_gone"), F.lit(False).alias("_whole")))
+    changes = _changes(df.sparkSession, path)
+    last = None if changes is None else changes.agg(F.max("_set")).first()[0]
+    number = 0 if last is None else last + 1
+    fresh.withColumn("_set", F.lit(number)).write.mode("append").partitionBy("_set").parquet(f"{path}/changes")
+    return number
+
+
+def _changes(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{path}/changes")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_rows(spark: SparkSession, path: str, ids: str | list[str]) -> DataFrame:
+    """The current rows of a table of change sets: the newest of each id, without those that are gone.
+
+    The last compacted set is a whole table in itself; its rows that no later set names are read
+    as they are. Only the later sets are sorted out by id.
+    """
+    keys = [ids] if isinstance(ids, str) else ids
+    changes = spark.read.parquet(f"{path}/changes")
+    whole = changes.filter("_whole").agg(F.max("_set")).first()[0]
+    plain = [c for c in changes.columns if c not in ("_set", "_gone", "_whole")]
+    later = changes if whole is None else changes.filter(F.col("_set") > whole)
+    newest = latest_by_id(later.select(*plain, "_gone", "_set"), keys, "_set")
+    current = newest.filter("NOT _gone").select(plain)
+    if whole is None:
+        return current
+    return changes.filter(F.col("_set") == whole).select(plain).join(newest.select(*keys), keys, "left_anti").unionByName(current)
+
+
+def compact_rows(spark: SparkSession, path: str, ids: str | list[str]) -> int:
+    """Write the current rows as a set that stands for the whole table. Earlier sets are no longer read."""
+    number = spark.read.parquet(f"{path}/changes").agg(F.max("_set")).first()[0] + 1
+    rows = read_rows(spark, path, ids).withColumn("_gone", F.lit(False)).withColumn("_whole", F.lit(True))
+    rows.withColumn("_set", F.lit(number)).write.mode("append").partitionBy("_set").parquet(f"{path}/changes")
+    return number
+
+
 def delete_nodes(nodes: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
     """The table without the listed ids."""
     return nodes.join(ids.select(id_column), id_column, "left_anti")

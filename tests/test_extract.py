@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -152,3 +153,25 @@ def test_key_type_rests_on_all_values(records):
     rows = [{"a": "1", "b": "x"}] + [{"a": f"word {i}", "b": str(i)} for i in range(30)]
     types = {r.key_name: r.key_type for r in label.classify_keys(graph.key_registry(extract.extract(records(rows)))).collect()}
     assert types == {"a": "semantic", "b": "numeric_date"}
+
+
+def test_many_rules_are_automata(spark):
+    """100,000 rules: the first by position whose keyword is contained, also among nested and overlapping keywords."""
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(130_000)})[:100_000]
+    rng.shuffle(words)
+    rules = [(i, w, f"l{i % 7}") for i, w in enumerate(words)]
+    values = ["".join(rng.choice("abcdeéf") for _ in range(rng.randint(0, 12))) for _ in range(150)] + ["", "zzz", "f" * 30_000 + "a"]
+    taxonomy = spark.createDataFrame([("k", f"l{i}") for i in range(5)] + [("other", "l6")], "key_name string, label string")
+    table = spark.createDataFrame(rules, "rule_pos int, keyword string, label string")
+    rows = spark.createDataFrame([(k, v) for k in ("k", "other", "none") for v in values + values[:3]] + [("k", None)], "key_name string, value string")
+    got = {(r.key_name, r.value): r.label for r in label.label_by_keyword(rows, table, taxonomy, rules_per_block=30_000, values_per_block=40).collect()}
+    at = {w: i for i, w in enumerate(words)}
+    want = {}
+    for key, allowed in (("k", {f"l{i}" for i in range(5)}), ("other", {"l6"})):
+        for v in values:
+            hits = [at[v[i:j]] for i in range(max(0, len(v) - 15), len(v)) for j in range(i + 1, min(len(v), i + 9) + 1) if v[i:j] in at]
+            hits = [i for i in hits if f"l{i % 7}" in allowed]
+            if hits:
+                want[key, v] = f"l{min(hits) % 7}"
+    assert got == want

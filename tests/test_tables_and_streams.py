@@ -129,3 +129,22 @@ def test_stream_relations(spark, tmp_path):
         run(ingest.stream_relations(stream, str(tmp_path / "out"), str(tmp_path / "c")))
     got = {r.rel_id: r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"docrelation/a--b": 0.5, "docrelation/a--c": 0.9}
+
+
+def test_rows_are_replaced_one_by_one(spark, tmp_path):
+    """An upsert of 1 % of the ids writes about 1 % of the table; tombstones, repeats and compaction keep the rows right."""
+    path = str(tmp_path / "nodes")
+    size = lambda folder: sum(f.stat().st_size for f in (tmp_path / "nodes" / "changes" / folder).rglob("*.parquet"))
+    want = {i: f"first {i * 7919}" for i in range(20_000)}
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "id bigint, v string")
+    tables.upsert_rows(frame(want), path, "id")
+    some = {i: f"second {i}" for i in range(0, 20_000, 100)} | {99_999: "new"}
+    tables.upsert_rows(frame(some), path, "id", gone=spark.createDataFrame([(1,), (100,), (77_777,)], "id bigint"))
+    want = {k: v for k, v in (want | some).items() if k != 1}
+    read = lambda: {r["id"]: r["v"] for r in tables.read_rows(spark, path, "id").collect()}
+    assert read() == want and tables.read_rows(spark, path, "id").count() == len(want)
+    assert size("_set=1") * 25 < size("_set=0")
+    assert tables.compact_rows(spark, path, "id") == 2 and read() == want
+    tables.upsert_rows(frame({5: "third", 1: "again"}), path, "id", gone=spark.createDataFrame([(7,)], "id bigint"))
+    want = {k: v for k, v in (want | {5: "third", 1: "again"}).items() if k != 7}
+    assert read() == want
