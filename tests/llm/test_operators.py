@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -414,6 +415,39 @@ def test_cotraining_tells_held_out_documents(spark):
     assert sum(a > b for a, b in pairs) >= 0.85 * len(pairs)
 
 
+def test_cotraining_equals_plain_rounds(spark, docs):
+    """The same rounds with every unlabelled document in a Python list; pseudo-labels follow the corpus."""
+    given = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = cotraining.fit_views(docs, given)
+    roles = {str(r["id"]): (r["good"], r["role"]) for r in cotraining._roles(docs, given, "doc_id", 6000, 0).collect()}
+    rows = {}
+    for r in docs.collect():
+        data = (r["text"] or "").encode()
+        words = np.array(sorted(model.content.words[w] for w in cotraining.content_words(data) if w in model.content.words), dtype=np.int64)
+        single = lambda x: np.array(x, dtype=np.float32).astype(float)
+        good, role = roles.get(str(r["doc_id"]), (None, "pool"))
+        rows[str(r["doc_id"])] = (good, role, single(cotraining.content_shares(data)), single(cotraining.metadata(data, r["source"], r["lang"])), words)
+    pool = [i for i in rows if rows[i][1] == "pool"]
+
+    def exchange(views):
+        sums = [{}, {}]
+        for i in pool:  # one document at a time
+            found = cotraining.lend(views, [i], (rows[i][2][None], rows[i][3][None], [rows[i][4]]), 0.95)
+            for (taker, kind, fold), amounts in found.items():
+                flat = np.concatenate([[amounts[0]], amounts[1], amounts[2]])
+                sums[taker][kind, fold] = sums[taker].get((kind, fold), 0) + flat
+        return tuple(cotraining.averages(t, len(v.words), len(v.mean)) for t, v in zip(sums, views))
+
+    labelled = [rows[i] for i in sorted(rows) if rows[i][1] in ("learn", "held")]
+    plain = cotraining.co_train(labelled, model.content.words, 3, 0.01, exchange)
+    assert plain.lent == model.lent and len(model.lent) == 3
+    for a, b in ((plain.content, model.content), (plain.meta, model.meta)):
+        assert np.allclose(a.weights, b.weights, atol=1e-6)
+    assert plain.cutoff == pytest.approx(model.cutoff, abs=1e-6)
+    twice = cotraining.fit_views(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**9)), given)
+    assert sum(map(sum, twice.lent[0])) > sum(map(sum, model.lent[0]))
+
+
 def test_cotraining_of_odd_rows(spark, odd, none):
     few = labels(spark, [(5, 1, 0), (None, 0, 1), (4, None, None), (5, 1, 0)])
     rows = cotraining.classify(odd, cotraining.fit_views(odd, few)).collect()
