@@ -182,7 +182,7 @@ def _roles(docs: DataFrame, labels: DataFrame, id_column: str, max_labelled: int
 
 
 def _features(rows: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """``rows(id, text, source, lang, good, role)`` as (id, good, role, shares, meta, present)."""
+    """``rows(id, text, source, lang)`` as (id, shares, meta, present); ids as text."""
     send = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def task():
@@ -191,15 +191,14 @@ def _features(rows: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
         def handle(columns):
             data = [(t or "").encode("utf-8", "replace") for t in columns["text"].to_pylist()]
             yield {
-                "id": columns["id"].cast("string"), "good": columns["good"], "role": columns["role"],
-                "shares": [content_shares(d) for d in data],
+                "id": columns["id"].cast("string"), "shares": [content_shares(d) for d in data],
                 "meta": [metadata(d, s, g) for d, s, g in zip(data, columns["source"].to_pylist(), columns["lang"].to_pylist())],
                 "present": [sorted(known[w] for w in content_words(d) if w in known) for d in data],
             }
 
         return handle
 
-    return map_batches(rows, "id string, good boolean, role string, shares array<float>, meta array<float>, present array<smallint>", task)
+    return map_batches(rows, "id string, shares array<float>, meta array<float>, present array<smallint>", task)
 
 
 def fold_of(name: str) -> int:
@@ -304,9 +303,12 @@ def fit_views(
         share = counts.agg(F.avg((F.col("q") & ~F.col("t")).cast("double"))).first()[0]
         return Model(None, None, 1.0 if share is None else share, 0.0)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"))
-    rows = rows.filter("id IS NOT NULL").join(roles, "id", "left").withColumn("role", F.coalesce("role", F.lit("pool"))).filter("role <> 'spare'")
-    vocabulary = _vocabulary(rows.filter("role = 'learn'"), {g: sizes[g, "learn"] for g in (True, False)}, min_docs, max_words)
-    table = stored(_features(rows, vocabulary))
+    rows = rows.filter("id IS NOT NULL")
+    learned = F.broadcast(roles.filter("role = 'learn'").select("id", "good"))  # at most max_labelled ids
+    vocabulary = _vocabulary(rows.select("id", "text").join(learned, "id"), {g: sizes[g, "learn"] for g in (True, False)}, min_docs, max_words)
+    # Features meet the roles, never texts.
+    marked = _features(rows, vocabulary).join(roles.withColumn("id", F.col("id").cast("string")), "id", "left").withColumn("role", F.coalesce("role", F.lit("pool")))
+    table = stored(marked.filter("role <> 'spare'"))
     # At most max_labelled ids, each with at most max_words places; rows of one id count once.
     labelled = {r["id"]: (r["good"], r["role"], r["shares"], r["meta"], r["present"]) for r in table.filter("role <> 'pool'").orderBy("id", "present").collect()}
     pool = table.filter("role = 'pool'")
