@@ -141,6 +141,8 @@ def _lists(placed: DataFrame, pivots: DataFrame, kind: str, size: int) -> DataFr
         q, c, dist = q[order], c[order], dist[order]
         best = np.arange(len(q)) - np.searchsorted(q, np.arange(len(a)))[q] < size
         q, c, dist = q[best], c[best], dist[best]
+        if not len(q):
+            return pd.DataFrame()
         return pd.DataFrame({"g": left["g"].iloc[0], "nid": names[q], "other": others[c], "dist": dist, "other_weight": right["weight"].to_numpy()[c]})
 
     found = _meet(visits, placed.select("g", "nid", "weight", "vec", "cell", "part"), run, f"g {kind}, nid long, other long, dist double, other_weight long")
@@ -215,6 +217,8 @@ def _foreign(open_points: DataFrame, placed: DataFrame, pivots: DataFrame, point
         rough[left["comp"].to_numpy()[:, None] == right["comp"].to_numpy()[None, :]] = np.inf
         least = rough.min(axis=1, keepdims=True)
         q, c = np.nonzero((rough <= least + _SLACK) & np.isfinite(rough) & (rough <= left["upto"].to_numpy()[:, None] + _SLACK))
+        if not len(q):
+            return pd.DataFrame()
         w = np.maximum(np.sqrt(((a[q] - b[c]) ** 2).sum(axis=1)), core[q, c])
         low, high = np.minimum(names[q], others[c]), np.maximum(names[q], others[c])
         found = pd.DataFrame({"g": left["g"].iloc[0], "comp": left["comp"].to_numpy()[q], "w": w, "a": low, "b": high, "to": right["comp"].to_numpy()[c]})
@@ -230,6 +234,8 @@ def _foreign(open_points: DataFrame, placed: DataFrame, pivots: DataFrame, point
         if left.empty:
             return pd.DataFrame()
         row, cell = np.nonzero(reach(left, right)[0] <= left["upto"].to_numpy()[:, None] + _SLACK)
+        if not len(row):
+            return pd.DataFrame()
         return left.iloc[row].assign(cell=right["pivot"].to_numpy()[cell])[fields]
 
     return _meet(_against(asked, cells, visit, shape), held, run, edge)

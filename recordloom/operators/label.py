@@ -98,6 +98,8 @@ def _scan_keywords(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if best is not None:
             values.append(value)
             found.append(best)
+    if not values:
+        return pd.DataFrame()
     return pd.DataFrame({"key_name": left["key_name"].iloc[0], "value": values, "rule_pos": [f[0] for f in found], "label": [f[1] for f in found]})
 
 
