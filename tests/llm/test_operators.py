@@ -542,65 +542,77 @@ def test_encoding_queries_decode_every_sample(spark, docs, odd):
 # 8 language model
 
 
-def plain_scores(rows, p_min):
-    """The suffix tree by dictionaries: {(id, text): (tokens, known, base, score)}."""
-    end, begin = b" ", b"  "
+def plain_scores(rows, min_count, depth=3):
+    """The suffix tree by dictionaries: {(id, text): (held out, tokens, known, base, score)}."""
+    end, begin, rare = b" ", b"  ", b"   "
     tokens = [(i, t, (t or "").encode().lower().split() + [end]) for i, t in rows]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    words = collections.Counter(w for i, _, own in tokens if not held(i) for w in own)
+    n, v = sum(words.values()), len(words)
+    symbol = lambda w: w if words[w] >= min_count or (w == end and words[w]) else rare
+    rare_total = sum(c + 1 for w, c in words.items() if symbol(w) == rare) + 1
+    before = {}
     counts = collections.defaultdict(collections.Counter)
-    for i, _, words in tokens:
+    for i, t, own in tokens:
+        symbols = [begin] + [symbol(w) for w in own]
+        before[i, t] = [tuple(tuple(symbols[at - size : at]) for size in range(1, min(depth, at) + 1)) for at in range(1, len(symbols))]
         if not held(i):
-            for at, w in enumerate(words):
-                before = ([begin] + words)[: at + 1]
-                for size in (0, 1, 2):
-                    if size <= len(before):
-                        counts[tuple(before[len(before) - size :])][w] += 1
-    root = counts[()]
-    n, v = sum(root.values()), len(root)
-    floor = max(1.0, p_min * n)
-    frequent = {w for w, c in root.items() if w != end and c >= floor} | ({begin} if root[end] >= floor else set())
-    candidates = [(w,) for w in frequent]
-    candidates += [(a, b) for a in frequent for b in frequent if counts[(a,)].get(b, 0) >= floor]
-
-    def p(context, w):
+            for contexts, s in zip(before[i, t], symbols[1:], strict=True):
+                for context in contexts:
+                    counts[context][s] += 1
+
+    def p(context, s):
         if not context:
-            return (root[w] + 1) / (n + v + 1)
+            return (rare_total if s == rare else words[s] + 1) / (n + v + 1)
         own = counts[context]
         size, kinds = sum(own.values()), len(own)
-        return (own[w] + kinds * p(context[1:], w)) / (size + kinds)
+        return (own[s] + kinds * p(context[1:], s)) / (size + kinds)
 
     kept = set()
-    for context in candidates:
-        own = counts[context]
+    for context, own in counts.items():
         size = sum(own.values())
-        if sum(c * math.log(c / size / p(context[1:], w)) for w, c in own.items()) > len(own) * math.log(size) / 2:
-            kept |= {context, context[1:]}
+        if rare not in context and size >= min_count:
+            if sum(c * math.log(c / size / p(context[1:], s)) for s, c in own.items()) > len(own) * math.log(size) / 2:
+                kept |= {context[at:] for at in range(len(context))}
     out = {}
-    for i, t, words in tokens:
+    for i, t, own in tokens:
         score = 0.0
-        for at, w in enumerate(words):
-            before = ([begin] + words)[: at + 1]
-            state = next((c for c in (tuple(before[-2:]), tuple(before[-1:])) if len(c) and c in kept), ())
-            score += math.log10(p(state, w))
-        base = sum(math.log10((root[w] + 1) / (n + v + 1)) for w in words)
-        out[i, t] = (held(i), len(words), sum(root[w] > 0 for w in words), base, score)
+        for contexts, w in zip(before[i, t], own, strict=True):
+            state = next((c for c in reversed(contexts) if c in kept), ())
+            score += math.log10(p(state, symbol(w)))
+            if symbol(w) == rare:
+                score += math.log10((words[w] + 1) / rare_total)
+        base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in own)
+        out[i, t] = (held(i), len(own), sum(words[w] > 0 for w in own), base, score)
     return n, kept, out
 
 
-@pytest.mark.parametrize("p_min", [1e-3, 1e-2])
-def test_scores_equal_plain_tree(docs, p_min):
-    n, kept, want = plain_scores([(r["doc_id"], r["text"]) for r in docs.collect()], p_min)
-    assert any(len(c) == 1 for c in kept)
+@pytest.mark.parametrize(("min_count", "depth", "share"), [(5, 3, 1.0), (20, 3, 1e-4), (1, 2, 1e-3), (50, 4, 4e-6)])
+def test_scores_equal_plain_tree(docs, min_count, depth, share):
+    n, kept, want = plain_scores([(r["doc_id"], r["text"]) for r in docs.collect()], min_count, depth)
+    assert any(len(c) == 1 for c in kept) and (min_count > 5 or any(len(c) == depth for c in kept))
     own = texts(docs)
-    for r in suffix_tree_lm.score_texts(docs, p_min=p_min).collect():
+    for r in suffix_tree_lm.score_texts(docs, min_count=min_count, depth=depth, share=share).collect():
         held, tokens, known, base, score = want[r["doc_id"], own[r["doc_id"]]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held, tokens, known, n)
         assert (r["base_score"], r["score"]) == (pytest.approx(base), pytest.approx(score))
 
 
+def test_floors_rise_only_where_keys_are_too_many(docs, monkeypatch):
+    train = docs.select("text")
+    free = suffix_tree_lm.SuffixTree(train, 5, 3)
+    monkeypatch.setattr(suffix_tree_lm, "MAX_PLACES", len(free.contexts.words) // 2)
+    tight = suffix_tree_lm.SuffixTree(train, 5, 3)
+    assert free.floor == 5 and tight.floor > 5
+    assert all((tight.contexts.suffixes(length) >= 0).all() for length in range(2, 1 + len(tight.levels)))
+    # More text, more contexts.
+    half = suffix_tree_lm.SuffixTree(train.limit(100), 5, 3)
+    assert sum(x.kept.sum() for x in half.levels) < sum(x.kept.sum() for x in free.levels)
+
+
 def test_scores_of_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    _, _, want = plain_scores(rows, 1e-3)
+    _, _, want = plain_scores(rows, 50)
     got = suffix_tree_lm.score_texts(odd).collect()
     assert len(got) == len(rows)
     assert sorted(round(r["score"], 6) for r in got) == sorted(round(want[row][4], 6) for row in rows)
