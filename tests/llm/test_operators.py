@@ -572,7 +572,12 @@ def plain_scores(rows, min_count, depth=3):
     for context, own in counts.items():
         size = sum(own.values())
         if rare not in context and size >= min_count:
-            if sum(c * math.log(c / size / p(context[1:], s)) for s, c in own.items()) > len(own) * math.log(size) / 2:
+            gain = 0.0
+            for s, c in own.items():
+                kinds = len(own) - (c == 1)
+                if size > 1:
+                    gain += c * math.log((c - 1 + kinds * p(context[1:], s)) / (size - 1 + kinds) / p(context[1:], s))
+            if gain > math.log(size):
                 kept |= {context[at:] for at in range(len(context))}
     out = {}
     for i, t, own in tokens:
