@@ -592,7 +592,7 @@ def plain_scores(rows, min_count, depth=3):
     return n, kept, out
 
 
-@pytest.mark.parametrize(("min_count", "depth", "share"), [(5, 3, 1.0), (20, 3, 1e-4), (1, 2, 1e-3), (50, 4, 4e-6)])
+@pytest.mark.parametrize(("min_count", "depth", "share"), [(5, 3, 1.0), (20, 3, 1e-4), (1, 2, 1e-3), (50, 4, 2.5e-7)])
 def test_scores_equal_plain_tree(docs, min_count, depth, share):
     n, kept, want = plain_scores([(r["doc_id"], r["text"]) for r in docs.collect()], min_count, depth)
     assert any(len(c) == 1 for c in kept) and (min_count > 5 or any(len(c) == depth for c in kept))
