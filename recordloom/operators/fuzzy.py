@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.similarity import lcs_length, ratio, within
 from recordloom.functions.text import token_sort
-from recordloom.session import cut_lineage, spread
+from recordloom.session import cut_lineage, merged, spread
 
 # Variants a form may have before the token filter takes over.
 VARIANT_BUDGET = 600
@@ -173,7 +173,7 @@ def _prefixes(table: DataFrame, threshold: float) -> DataFrame:
     counts = grams.groupBy("key_name", "gram").agg(F.count("*").alias("holders"))
     # As many entries per form as it has characters.
     ranked = (
-        grams.join(counts, ["key_name", "gram"])
+        merged(grams, counts, ["key_name", "gram"])
         .groupBy("key_name", "form", "space")
         .agg(F.array_sort(F.collect_list(F.struct("holders", "gram"))).alias("grams"))
     )
@@ -207,7 +207,7 @@ def _block_pairs(pieces: DataFrame, block_rows: int) -> DataFrame:
     )
     own = F.pmod(F.xxhash64("form"), F.col("_blocks")).cast("int")
     return (
-        pieces.join(counts, ["key_name", "sig"])
+        merged(pieces, counts, ["key_name", "sig"])
         .withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select(
@@ -378,7 +378,7 @@ def spanning_edges(
     distance = total - 2 * F.length("sig")
     score = (F.lit(1.0) - distance / total) * F.lit(100.0) / F.lit(100.0)
     stars = (
-        variants.join(leaders.filter("_n > 1").select("key_name", "sig", "_l.leader"), ["key_name", "sig"])
+        merged(variants, leaders.filter("_n > 1").select("key_name", "sig", "_l.leader"), ["key_name", "sig"])
         .filter((F.col("form") != F.col("leader")) & (F.lit(1.0) - score <= F.lit(1.0 - threshold)))
         .select("key_name", F.least("form", "leader").alias("a"), F.greatest("form", "leader").alias("b"))
     )

@@ -259,3 +259,12 @@ def test_components_of_chains_and_stars(spark):
     assert len({c for (g, _), c in got.items() if g == "g"}) == 6
     again = connected_components(df.repartition(3).orderBy(F.rand(1)), "g", "a", "b").collect()
     assert {(r.g, r.node): r.component for r in again} == got
+
+
+def test_signatures_are_not_broadcast(spark):
+    """Variants and grams outgrow their source, so no join may send them to every task."""
+    rows = [("k", f"Customer {i:04d}") for i in range(50)] + [("k", f"a much longer text with number {i:04d} at its end") for i in range(50)]
+    table = fuzzy.forms(spark.createDataFrame(rows, "key_name string, value string"))
+    plan = fuzzy.spanning_edges(table, 0.85)._jdf.queryExecution().toString()
+    joins = [line for line in plan.split("== Physical Plan ==")[1].splitlines() if "HashJoin" in line]
+    assert not [line for line in joins if "sig#" in line or "gram#" in line]
