@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from recordloom.functions import binarize, cosine, ngram_vector
 from recordloom.operators import knn, label, nearest, ordering
@@ -212,3 +213,20 @@ def test_approximate_search_is_exact_over_all_cells(spark):
     found = knn.knn_approx(asked, corpus, 4, share=0.05).groupBy("query_id").count().collect()
     assert len(found) == 201 and all(r["count"] == 4 for r in found)
     assert knn.knn_approx(asked, corpus.limit(0), 4).count() == 0
+
+
+def test_query_is_sent_once_a_bin(spark, monkeypatch):
+    """Without structure a query visits nearly all cells; its vector travels once for those of a block."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 8)).tolist()
+    rows = spark.createDataFrame([(f"{i:03d}", v) for i, v in enumerate(vectors)], "id string, embedding array<float>")
+    asked = rows.withColumnRenamed("id", "query_id")
+    sent, real = [], knn._blocks_of
+    monkeypatch.setattr(knn, "_blocks_of", lambda placed, probes, *rest: sent.append(probes.count()) or real(placed, probes, *rest))
+    order = ["query_id", "rank"]
+    want = knn.knn(asked, rows, 3).orderBy(*order).collect()
+    assert knn.knn(asked, rows, 3, broadcast_queries=0).orderBy(*order).collect() == want
+    assert knn.knn_approx(asked, rows, 3, share=1.0, shortlist=300).orderBy(*order).collect() == want
+    assert sent == [300, 300]
+    assert knn.knn(asked, rows, 3, broadcast_queries=0, block_rows=40).orderBy(*order).collect() == want
+    assert sent[-1] > 300
