@@ -60,3 +60,15 @@ def test_sparse_top_k_of_nothing(spark):
     q = spark.createDataFrame([("q", "f", 1.0)], SCHEMA.format("query_id"))
     c = spark.createDataFrame([("c", "g", 1.0)], SCHEMA.format("id"))
     assert sparse.sparse_top_k(q, c, 3).count() == sparse.sparse_top_k(q, c.limit(0), 3).count() == sparse.sparse_top_k(q.limit(0), c, 3).count() == 0
+
+
+def test_equal_vectors_are_searched_once(spark, monkeypatch):
+    rows = [(i, f"f{j}", float(j + 1)) for i in range(60) for j in (i % 3, 5)]
+    corpus = spark.createDataFrame(rows, "id long, feature string, weight double")
+    sizes, real = [], sparse._search
+    monkeypatch.setattr(sparse, "_search", lambda asked, postings, k: sizes.append((asked.count(), postings.count())) or real(asked, postings, k))
+    found = sparse.sparse_top_k(corpus.withColumnRenamed("id", "query_id"), corpus, 4).collect()
+    assert sizes == [(6, 6)]
+    assert len(found) == 60 * 4
+    for r in found:
+        assert r.id == r.query_id % 3 + 3 * (r["rank"] - 1) and r.score == 1.0
