@@ -230,3 +230,10 @@ def test_query_is_sent_once_a_bin(spark, monkeypatch):
     assert sent == [300, 300]
     assert knn.knn(asked, rows, 3, broadcast_queries=0, block_rows=40).orderBy(*order).collect() == want
     assert sent[-1] > 300
+
+
+def test_positions_are_stored_in_small_files(spark):
+    """A few large files would make the tasks that melt and count records as large as the table."""
+    df = ordering.global_index(spark.range(250_000).select((F.col("id") * 7 % 250_000).alias("x")), ["x"], "at")
+    assert len(df.inputFiles()) >= 5
+    assert df.filter("at <> x").count() == 0
