@@ -148,3 +148,14 @@ def test_rows_are_replaced_one_by_one(spark, tmp_path):
     tables.upsert_rows(frame({5: "third", 1: "again"}), path, "id", gone=spark.createDataFrame([(7,)], "id bigint"))
     want = {k: v for k, v in (want | {5: "third", 1: "again"}).items() if k != 7}
     assert read() == want
+
+
+def test_values_meet_the_small_key_table_by_broadcast(spark):
+    """Streams have no adaptive plans: a join by sorting would bring all values of a key to one task."""
+    from recordloom.operators.graph import value_index
+
+    kv = spark.range(9).selectExpr("'d' as doc_id", "'s' as dataset", "'k' as key_name", "cast(id as string) as value", "0 as value_pos", "false as is_repeat")
+    keys = spark.range(1).selectExpr("'k' as key_name", "'i' as key_id", "'numeric_date' as key_type")
+    rows = value_index(kv, keys)
+    assert "strategy=broadcast" in rows._jdf.queryExecution().analyzed().toString()
+    assert sorted(r.numeric_value for r in rows.collect()) == [float(i) for i in range(9)]
