@@ -6,8 +6,9 @@ distance d lie within d on the grid. Two grid points within 2 share a grid point
 away from both: each fingerprint is sent to its own cell and the cells next to it, and pairs
 that meet in a cell are verified bit by bit.
 
-``keep_one`` goes by the Jaccard similarity of five-word shingles instead. Texts of similarity 0.8
-are up to 11 bits apart, too far for the grid, so it finds candidates by bands of minimum hashes.
+``keep_one`` takes these links, and adds those of a Jaccard similarity of five-word shingles. Texts of
+similarity 0.8 are up to 11 bits apart, too far for the grid, so it finds such candidates by bands of
+minimum hashes.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other;
 documents with a null id take part and get the smallest id of their component (null if it has
@@ -40,30 +41,28 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text, as a signed long with the 64 bits."""
+    import xxhash
+
+    words = lower_words(text)
+    if not words:
+        return 0
+    if len(words) <= shingle:
+        runs = [b" ".join(words)]
+    else:
+        runs = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
+    digest = xxhash.xxh64_intdigest
+    return _signed(majority_bits(np.array([digest(r, seed) for r in runs], dtype=np.uint64)))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, body, bits): the SimHash of every document, as a signed long with the 64 bits; body is the text's hash."""
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
 
     def task():
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
-        join = b" ".join
-
-        def one(text):
-            words = lower_words(text)
-            if not words:
-                return 0
-            if len(words) <= shingle:
-                runs = [join(words)]
-            else:
-                runs = map(join, zip(*[words[i:] for i in range(shingle)]))
-            hashes = np.array([digest(r, seed) for r in runs], dtype=np.uint64)
-            value = majority_bits(hashes)
-            return value - (1 << 64) if value >> 63 else value
-
         def handle(columns):
-            yield {"id": columns["id"], "body": columns["body"], "bits": [one(t.as_py()) for t in columns["text"]]}
+            yield {"id": columns["id"], "body": columns["body"], "bits": [fingerprint(t.as_py(), shingle, seed) for t in columns["text"]]}
 
         return handle
 
@@ -169,7 +168,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle: int, id_column: str, text: str) -> DataFrame:
-    """(id, body, node, n, buckets): texts of equal shingle sets are one node; n is the size of the set."""
+    """(id, body, bits, node, n, buckets): texts of equal shingle sets are one node; n is the size of the set."""
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
 
     def task():
@@ -178,11 +177,14 @@ def _signatures(docs: DataFrame, shingle: int, id_column: str, text: str) -> Dat
         def handle(columns):
             sets = [shingle_set(t.as_py(), shingle) for t in columns["text"]]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield {"id": columns["id"], "body": columns["body"], "node": nodes, "n": [len(s) for s in sets], "buckets": [band_keys(s) for s in sets]}
+            yield {
+                "id": columns["id"], "body": columns["body"], "bits": [fingerprint(t.as_py()) for t in columns["text"]],
+                "node": nodes, "n": [len(s) for s in sets], "buckets": [band_keys(s) for s in sets],
+            }
 
         return handle
 
-    return map_batches(rows, f"id {rows.schema['id'].dataType.simpleString()}, body long, node long, n int, buckets array<long>", task)
+    return map_batches(rows, f"id {rows.schema['id'].dataType.simpleString()}, body long, bits long, node long, n int, buckets array<long>", task)
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -217,6 +219,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_batches(rows, "a long, b long, close boolean", task).filter("close").select("a", "b")
 
 
+def _close_nodes(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes of ``prints(bits, node)`` that connect those whose fingerprints are linked."""
+    held = cut_lineage(prints.groupBy("bits").agg(F.min("node").alias("first")))
+    same = prints.join(held, "bits").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    one, other = (held.select(F.col("bits").alias(x), F.col("first").alias(f"_{x}")) for x in "ab")
+    near = close_pairs(held.select("bits")).join(one, "a").join(other, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return same.unionByName(near)
+
+
 def _roots(links: DataFrame) -> DataFrame:
     return connected_components(links.withColumn("g", F.lit(0)), "g", "a", "b").select("node", F.col("component").alias("root"))
 
@@ -281,7 +292,8 @@ def _prefix_pairs(crowd: DataFrame, similarity: float) -> DataFrame:
 def _similar_components(docs: DataFrame, id_column: str, text: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Signatures of all documents, and (least, root) of their different shingle sets.
 
-    Candidates share a band of minimum hashes. The members of a bucket are first verified against
+    Linked are texts of close fingerprints, as in ``near_duplicates``, and similar shingle sets. Candidates
+    for the latter share a band of minimum hashes. The members of a bucket are first verified against
     one of them, another one per band. Members of buckets that no chain of links has joined by
     then meet again by prefix filters, and only their offered pairs are verified. What moves are
     shingle hashes, made once per text, never texts in pairs.
@@ -300,7 +312,7 @@ def _similar_components(docs: DataFrame, id_column: str, text: str, shingle: int
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     texts = rows.join(wanted, rows["doc"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["body"])).select("node", "text")
     sets = stored(_shingle_sets(texts, shingle).dropDuplicates(["node"]))
-    links = cut_lineage(_similar(tried, sets, similarity))
+    links = cut_lineage(_close_nodes(prints.select("bits", "node")).unionByName(_similar(tried, sets, similarity)))
     roots = _roots(links)
 
     rooted = crowds.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -318,9 +330,9 @@ def _similar_components(docs: DataFrame, id_column: str, text: str, shingle: int
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` (all columns) with one row of each group of similar texts: that of the smallest id (nulls last), then of the smallest text hash.
 
-    Linked are texts whose sets of ``shingle`` words have a Jaccard ``similarity`` of at least that
-    value; groups are what links connect. Two linked texts share a band with a chance of 0.9999 at 0.8
-    and more above, so bands suit a similarity of 0.8 or higher.
+    Linked are texts that ``near_duplicates`` links, and texts whose sets of ``shingle`` words have a
+    Jaccard ``similarity`` of at least that value; groups are what links connect. Two similar texts share
+    a band with a chance of 0.9999 at 0.8 and more above, so bands suit a similarity of 0.8 or higher.
     """
     prints, labels = _similar_components(docs, id_column, text, shingle, similarity)
     first = labels.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.body")

@@ -334,6 +334,16 @@ def test_keep_one_finds_edited_copies(spark):
     assert {r["doc_id"] for r in near_dup.keep_one(table(spark, rows)).collect()} == want
 
 
+def test_keep_one_links_what_op3_links(spark):
+    """Texts whose repeated words leave equal fingerprints, though few of their shingles are common."""
+    body = "same three words " * 80
+    texts = [body + "then one tail of its own", body + "but quite another end follows here", "something else altogether stands in this one"]
+    frame = table(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])
+    assert [r["component_id"] for r in near_dup.near_duplicates(frame).orderBy("doc_id").collect()] == [0, 0, 2]
+    assert len(similar_groups(texts)) == 3
+    assert {r["doc_id"] for r in near_dup.keep_one(frame).collect()} == {0, 2}
+
+
 # 4 line templates
 
 
