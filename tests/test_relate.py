@@ -122,3 +122,11 @@ def test_workflow(spark, graph):
     assert {r.doc_id for r in reached.collect()} == {"shop_0000", "shop_0001", "shop_0002", "visit_0000", "far_0000"}
     summary = {r.dataset: (r.total_records, r.total_keys, r.total_values) for r in tables.summary.collect()}
     assert summary["shop"] == (4, 12, 12)
+
+
+def test_hits_are_dealt_once(spark):
+    """Line items and the counts per order are shuffled, and nothing after them."""
+    from checks.relations import candidate_rows
+
+    plan = candidate_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan parquet") == 2
