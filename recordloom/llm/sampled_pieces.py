@@ -33,7 +33,8 @@ from recordloom.llm.common import map_batches, read_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHUNK_CHARS = 1_500_000
+# A chunk takes about 200 bytes a character; equal units are shared in it.
+CHUNK_CHARS = 250_000
 _DENSE = 256
 
 
