@@ -1,3 +1,4 @@
+import collections
 import random
 
 import numpy as np
@@ -237,3 +238,27 @@ def test_positions_are_stored_in_small_files(spark):
     df = ordering.global_index(spark.range(250_000).select((F.col("id") * 7 % 250_000).alias("x")), ["x"], "at")
     assert len(df.inputFiles()) >= 5
     assert df.filter("at <> x").count() == 0
+
+
+def test_numbers_travel_once_a_block(spark):
+    """Queries meet blocks of numbers: no row per position is joined, and none is ranked by a window."""
+    stock = spark.range(3_000).select(F.lit("g").alias("g"), (F.col("id") * 3).cast("double").alias("number"))
+    asked = spark.range(-50, 9_100).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("number"))
+    found = nearest.nearest_numbers(asked, stock, ["g"], 20, rows_per_range=700)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [row_number" not in plan and "sequence((_seen" not in plan
+    got = collections.defaultdict(set)
+    for r in found.collect():
+        got[r["number"]].add(r["near"])
+    every = [3.0 * i for i in range(3_000)]
+    for q in [-50, -1, 0, 1, 63, 95, 96, 190, 191, 192, 193, 4_444, 5_759, 5_760, 8_900, 8_996, 8_997, 9_099]:
+        assert got[q] == set(sorted(every, key=lambda x: (abs(x - q), x))[:20])
+    assert len(got) == 9_150 and all(len(x) == 20 for x in got.values())
+
+
+def test_cut_points_of_one_group_are_sent(spark):
+    """Rows of a single large group aren't shuffled by it to meet its cut points; a null group stays out."""
+    df = spark.range(5_000).select(F.when(F.col("id") > 0, "hot").alias("g"), F.col("id").cast("double").alias("x"))
+    ranged = ordering.with_ranges(df, ["g"], "x", 100)
+    assert "strategy=broadcast" in ranged._jdf.queryExecution().analyzed().toString()
+    assert ranged.count() == 4_999 and ranged.select("_range").distinct().count() >= 40
