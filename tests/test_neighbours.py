@@ -1,5 +1,7 @@
 import collections
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from recordloom.functions import binarize, cosine, ngram_vector
+from recordloom.functions.vectors import _hash_ngrams
 from recordloom.operators import knn, label, nearest, ordering
 
 
@@ -262,3 +265,21 @@ def test_cut_points_of_one_group_are_sent(spark):
     ranged = ordering.with_ranges(df, ["g"], "x", 100)
     assert "strategy=broadcast" in ranged._jdf.queryExecution().analyzed().toString()
     assert ranged.count() == 4_999 and ranged.select("_range").distinct().count() >= 40
+
+
+def test_vectors_of_long_texts_take_bounded_memory(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(2_000_000))
+    tracemalloc.start()
+    try:
+        _hash_ngrams(text, 64, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20
+    short = text[:150_000]
+    grams = collections.Counter(zlib.crc32(f" {short} "[i : i + 3].encode()) for i in range(len(short)))
+    want = np.zeros(64)
+    for h, c in grams.items():
+        want[(h >> 1) % 64] += c if h & 1 else -c
+    got = spark.createDataFrame([(short,)], "t string").select(ngram_vector("t")).first()[0]
+    assert np.allclose(got, want / np.linalg.norm(want), atol=1e-6)
