@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 
@@ -175,3 +176,15 @@ def test_many_rules_are_automata(spark):
             if hits:
                 want[key, v] = f"l{min(hits) % 7}"
     assert got == want
+
+
+def test_values_of_keys_without_rules_are_dropped_first(spark):
+    """Only the values of keys with rules are gathered, whichever way the rules are read."""
+    values = spark.createDataFrame([("k", "ab"), ("k", None), ("other", "ab"), ("bare", "ab")], "key_name string, value string")
+    rules = spark.createDataFrame([(0, "a", "x"), (1, "b", "y")], "rule_pos int, keyword string, label string")
+    taxonomy = spark.createDataFrame([("k", "y"), ("other", "none")], "key_name string, label string")
+    for most in (0, 256):
+        found = label.label_by_keyword(values, rules, taxonomy, most)
+        assert [tuple(r) for r in found.collect()] == [("k", "ab", "y")]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Join LeftSemi, .*rightHint=\(strategy=broadcast\)", plan)
