@@ -130,3 +130,12 @@ def test_hits_are_dealt_once(spark):
 
     plan = candidate_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FileScan parquet") == 2
+
+
+def test_discovery_asks_for_every_fiftieth_customer(spark):
+    from checks.relations import QUERIES
+
+    found = QUERIES["discover_relations"](spark, "/root/testdata/sf0.001").select("src_doc", "rank").collect()
+    asked = {int(r.src_doc.rsplit("_", 1)[1]) for r in found}
+    assert asked == set(range(0, 150, 50))
+    assert len(found) == 10 * len(asked)
