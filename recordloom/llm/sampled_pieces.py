@@ -35,6 +35,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # A chunk takes about 200 bytes a character; equal units are shared in it.
 CHUNK_CHARS = 250_000
+# Pieces whose bytes are gathered at once when decoding.
+DECODE_PIECES = 100_000
 _DENSE = 256
 
 
@@ -56,7 +58,11 @@ _WORD = (1 << 64) - 1
 
 def row_key(*parts: int) -> int:
     """One number from several: each is mixed in by a splitmix64 step."""
-    state = 0
+    return mixed_in(0, *parts)
+
+
+def mixed_in(state: int, *parts: int) -> int:
+    """``row_key`` of the parts that made ``state`` and these."""
     for part in parts:
         z = (state + part + _GAMMA) & _WORD
         z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & _WORD
@@ -65,16 +71,24 @@ def row_key(*parts: int) -> int:
     return state
 
 
+def stream_states(keys, places) -> np.ndarray:
+    """States at some places of the splitmix64 streams that start at the keys (unsigned 64-bit)."""
+    return keys + (places + 1).astype(np.uint64) * np.uint64(_GAMMA)
+
+
+def mixed(states: np.ndarray) -> np.ndarray:
+    """The number of each state of a stream."""
+    z = states ^ (states >> np.uint64(30))
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
+
+
 def hashed(keys, places) -> np.ndarray:
     """The numbers at some places of the splitmix64 streams that start at the keys (unsigned 64-bit)."""
-    with np.errstate(over="ignore"):
-        z = keys + (places + 1).astype(np.uint64) * np.uint64(_GAMMA)
-        z ^= z >> np.uint64(30)
-        z *= np.uint64(0xBF58476D1CE4E5B9)
-        z ^= z >> np.uint64(27)
-        z *= np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return z
+    return mixed(stream_states(keys, places))
 
 
 def uniform(bits: np.ndarray) -> np.ndarray:
@@ -133,7 +147,11 @@ class Vocabulary:
         for a, b in pairs:
             if ord(a) < _DENSE and ord(b) < _DENSE:
                 self.dense_pairs[ord(a), ord(b)] = True
-        self.spelled = {i: t.encode() for i, t in texts.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+        spelled = {i: t.encode() for i, t in texts.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+        # Bytes of all pieces in a row; ids that spell nothing, and the place behind the last id, have none.
+        self.spelled = np.frombuffer(b"".join([spelled.get(i, b"") for i in range(self.size)]), dtype=np.uint8)
+        self.spelled_size = np.array([len(spelled.get(i, b"")) for i in range(self.size)] + [0], dtype=np.int64)
+        self.spelled_at = np.cumsum(self.spelled_size) - self.spelled_size
 
     def joins(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Whether some piece has the two characters side by side."""
@@ -165,8 +183,27 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """Text of a segmentation; the blank put before every text is taken away again."""
-        text = b"".join([self.spelled.get(i, b"") for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.decode_all([np.array([i for i in ids if i is not None], dtype=np.int64)])[0]
+
+    def decode_all(self, rows: list[np.ndarray]) -> list[str]:
+        """Texts of many segmentations, DECODE_PIECES pieces (or one row) at a time."""
+        out, start, pieces = [], 0, 0
+        for at, row in enumerate(rows):
+            if at > start and pieces + len(row) > DECODE_PIECES:
+                out += self._decoded(rows[start:at])
+                start, pieces = at, 0
+            pieces += len(row)
+        return out + self._decoded(rows[start:]) if rows else out
+
+    def _decoded(self, rows: list[np.ndarray]) -> list[str]:
+        ids = np.concatenate(rows)
+        ids = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        size = self.spelled_size[ids]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        data = self.spelled[np.repeat(self.spelled_at[ids] - (end - size), size) + np.arange(total)].tobytes()
+        bounds = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum([len(r) for r in rows])])].tolist()
+        return [data[a + (data[a : a + 1] == b" " and b > a) : b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])]
 
 
 class Lattices:
@@ -178,6 +215,7 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary, units: list[str]):
         self.counted: dict[tuple[int, int], int] = {}
+        self.behind: dict[tuple[int, int], int] = {}
         lengths = np.array([len(u) for u in units], dtype=np.int64)
         self.begin = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         self.end = self.begin + lengths
@@ -244,9 +282,9 @@ class Lattices:
         steps = []
         who = np.arange(len(units))
         position, end = self.begin[units], self.end[units]
-        offset = places - position
+        state = stream_states(seeds, places)
         while len(who):
-            u = uniform(hashed(seeds, position + offset))
+            u = uniform(mixed(state))
             edge = self.reach[position]
             open_ = np.flatnonzero(u > self.upto[edge])
             while len(open_):
@@ -255,9 +293,11 @@ class Lattices:
             steps.append((who, self.piece[edge]))
             logs[who] += self.log_chance[edge]
             count[who] += 1
-            position = position + self.length[edge]
-            left = position < end
-            who, position, end, seeds, offset = who[left], position[left], end[left], seeds[left], offset[left]
+            length = self.length[edge]
+            position = position + length
+            left = np.flatnonzero(position < end)
+            who, position, end = who[left], position[left], end[left]
+            state = state[left] + length[left].astype(np.uint64) * np.uint64(_GAMMA)
         first = np.concatenate([[0], np.cumsum(count)])
         pieces = np.empty(first[-1], dtype=np.int32)
         for i, (who, taken) in enumerate(steps):
@@ -269,28 +309,29 @@ class Lattices:
         position, end, reached, path, log = int(self.begin[unit]), int(self.end[unit]), 1.0, (), 0.0
         while position < end:
             lo, hi = int(self.reach[position]), int(self.reach[position + 1])
+            pieces, logs, lengths = (x[lo:hi].tolist() for x in (self.piece, self.log_chance, self.length))
             masses = []
-            for e in range(lo, hi):
-                mass = reached * math.exp(self.log_chance[e])
-                taken = path + (int(self.piece[e]),)
+            for piece, chance, length in zip(pieces, logs, lengths):
+                mass = reached * math.exp(chance)
+                taken = path + (piece,)
                 behind = [c for x, c in zip(excluded, chances) if x[: len(taken)] == taken]
                 # A branch that holds nothing but excluded paths has no mass, whatever the rounding.
-                masses.append(0.0 if behind and self._paths_behind(position + int(self.length[e]), end, len(behind)) <= len(behind) else max(mass - sum(behind), 0.0))
+                masses.append(0.0 if behind and self._paths_behind(position + length, end, len(behind)) <= len(behind) else max(mass - sum(behind), 0.0))
             total = sum(masses)
             if total <= 0.0:  # all that is left is below rounding: take the first branch that isn't exhausted
-                masses = [1.0 if self._open(path + (int(self.piece[e]),), position + int(self.length[e]), end, excluded) else 0.0 for e in range(lo, hi)]
+                masses = [1.0 if self._open(path + (piece,), position + length, end, excluded) else 0.0 for piece, length in zip(pieces, lengths)]
                 total = sum(masses)
             goal, chosen = next(numbers) * total, None
-            for e, mass in zip(range(lo, hi), masses):
+            for i, mass in enumerate(masses):
                 if mass > 0.0:
-                    chosen = e
+                    chosen = i
                     goal -= mass
                     if goal <= 0.0:
                         break
-            path += (int(self.piece[chosen]),)
-            log += float(self.log_chance[chosen])
-            reached *= math.exp(self.log_chance[chosen])
-            position += int(self.length[chosen])
+            path += (pieces[chosen],)
+            log += logs[chosen]
+            reached *= math.exp(logs[chosen])
+            position += lengths[chosen]
         return path, log
 
     def _open(self, path: tuple, position: int, end: int, excluded: list[tuple]) -> bool:
@@ -299,10 +340,14 @@ class Lattices:
 
     def _paths_behind(self, position: int, end: int, enough: int) -> int:
         """Number of paths from a position, counted no further than just over ``enough``."""
+        known = self.behind.get((position, enough))
+        if known is not None:
+            return known
         ways = {end: 1}
         for p in range(end - 1, position - 1, -1):
             n = sum(ways.get(p + int(self.length[e]), 0) for e in range(int(self.reach[p]), int(self.reach[p + 1])))
             ways[p] = min(n, enough + 1)
+        self.behind[position, enough] = ways[position]
         return ways[position]
 
     def paths(self, unit: int, enough: int) -> int:
@@ -371,7 +416,8 @@ class Search:
                 full = left < 1e-9 and lattices.paths(int(units[start]), len(gone)) <= len(gone)
                 location[0] = -np.inf if full else prefix[start] + math.log(max(left, 1e-300))
             found = truncated_gumbel(location, bound, uniform(hashed(key, np.arange(at, to))))
-            best, peaks = np.concatenate([best, np.arange(at - start, to - start)]), np.concatenate([peaks, found])
+            places = np.arange(at - start, to - start)
+            best, peaks = (places, found) if at == start else (np.concatenate([best, places]), np.concatenate([peaks, found]))
             if len(peaks) > wanted:
                 kept = np.argpartition(-peaks, wanted)[:wanted]
                 best, peaks = best[kept], peaks[kept]
@@ -381,15 +427,18 @@ class Search:
             if peak == -math.inf:
                 continue
             at = start + i
-            out = (gone, shares) if i == 0 else ((sample["paths"](at),), (math.exp(sample["unit_logs"][at]),))
             if i and sample["unit_logs"][at] > -1e-9 and lattices.paths(int(units[at]), 1) <= 1:
                 continue
-            heapq.heappush(self.queue, (-peak, at, number, *out))
+            # What is excluded behind the start is looked up when the region is opened.
+            heapq.heappush(self.queue, (-peak, at, number, *((gone, shares) if i == 0 else ((), ()))))
 
     def advance(self) -> None:
         self.next = None
         if self.queue:
             peak, at, number, excluded, chances = heapq.heappop(self.queue)
+            if not excluded:
+                sample = self.samples[number]
+                excluded, chances = (sample["paths"](at),), (math.exp(sample["unit_logs"][at]),)
             self.next = (-peak, at, number, excluded, chances)
 
 
@@ -425,7 +474,8 @@ def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k:
             parts = (count[lo:hi], pieces[piece_at[lo] : piece_at[hi]], logs[lo:hi])
             if parent >= 0:
                 old = search.samples[parent]
-                stream = (chance_of(row_key(seeds[i], 5, number, step)) for step in range(1 << 30))
+                state = row_key(seeds[i], 5, number)
+                stream = (chance_of(mixed_in(state, step)) for step in range(1 << 30))
                 path, log = lattices.draw_other(int(rows[i][start]), list(excluded), list(chances), stream)
                 kept = int(old["first"][start])
                 parts = (
@@ -494,7 +544,7 @@ def encode_samples(
         def emit(ids, texts, keys):
             found = sample_chunk(vocabulary, texts, keys, k)
             flat = [s for samples in found for s in samples]
-            decoded = [vocabulary.decode(s["ids"].tolist()) for s in flat]
+            decoded = vocabulary.decode_all([s["ids"] for s in flat])
             given = [t for t, samples in zip(texts, found) for _ in samples]
             inner = np.concatenate([[0], np.cumsum([len(s["ids"]) for s in flat])]).astype(np.int32)
             values = np.concatenate([s["ids"] for s in flat]).astype(np.int32) if flat else np.empty(0, np.int32)

@@ -502,6 +502,18 @@ def all_segmentations(text, pieces, vocabulary):
     return {k: v - total for k, v in found.items()}
 
 
+def test_segmentations_are_decoded_together(pieces, monkeypatch):
+    vocabulary = sampled_pieces.Vocabulary(pieces, 3e-5)
+    texts = ["it the", "", " two  blanks ", "\u2460\u2581 an", "\ud55c\uae00"]
+    rows = [s["ids"] for samples in sampled_pieces.sample_chunk(vocabulary, texts, list(range(5)), 3) for s in samples]
+    want = [t for t, samples in zip(texts, sampled_pieces.sample_chunk(vocabulary, texts, list(range(5)), 3)) for _ in samples]
+    for most in (1, 7, 100_000):
+        monkeypatch.setattr(sampled_pieces, "DECODE_PIECES", most)
+        assert vocabulary.decode_all(rows) == want
+    assert vocabulary.decode_all([]) == []
+    assert vocabulary.decode([-1, vocabulary.size, None, *rows[0].tolist(), 1 << 30]) == texts[0]
+
+
 def test_samples_are_gumbel_top_k(pieces):
     vocabulary = sampled_pieces.Vocabulary(pieces, 3e-5)
     for text in ("it the", "n tin", "\u2460 an"):
