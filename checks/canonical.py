@@ -9,6 +9,7 @@ from checks.base import key_values, kv_sql, table, values_sql
 from recordloom.functions import indel_similarity, ngram_vector, safe_double, token_sort
 from recordloom.operators import fuzzy, label, normalize
 from recordloom.operators.components import connected_components
+from recordloom.session import stored
 
 QUERIES, SQL = {}, {}
 
@@ -89,7 +90,8 @@ def taxonomy_of(spark: SparkSession, sf: str) -> DataFrame:
 def _own_labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     kv = key_values(spark, sf, "part", "nation", "customer")
     rows = kv.filter(F.col("key_name").isin("p_name", "n_name", "c_mktsegment", "p_type"))
-    labels = rows.select("key_name", "value", F.col("value").alias("label")).distinct()
+    # The vectors are made of the labels, so both read them.
+    labels = stored(rows.select("key_name", "value", F.col("value").alias("label")).distinct())
     return labels, labels.select("label").distinct().withColumn("embedding", ngram_vector("label"))
 
 

@@ -150,3 +150,11 @@ def test_cluster_labels_keeps_noise_and_one_label_a_cluster(spark):
     clusters = wanted([("k", f"l{i:02}", v.tolist()) for i, v in enumerate(table)])
     want = {c or n for (_, n), c in clusters.items()}
     assert {r["label"] for r in label.cluster_labels(df).collect()} == want
+
+
+def test_labels_and_their_vectors_are_made_once(spark):
+    """The taxonomy reads its labels several times; the records they come from are read only once."""
+    from checks.canonical import _own_labels
+
+    for df in _own_labels(spark, "/root/testdata/sf0.001"):
+        assert df.inputFiles() and not any("testdata" in f for f in df.inputFiles())
