@@ -14,8 +14,9 @@ of its symbol after the longest retained suffix of what precedes it, times, for
 share (plus one) of the rare words of the corpus, of which one is unseen.
 
 Counts of (context, symbol) and of rare words stay distributed. What tasks get is the keys of
-words and contexts, eight bytes each: where over MAX_PLACES reach ``min_count``, that is doubled
-until they don't. A text is scored by joining its tokens with the tables. Where a pair may be
+words and contexts, eight bytes each. Where over MAX_PLACES reach ``min_count``, nothing is sent:
+the same model is counted and applied by joins of token rows alone (``joined_scores``).
+A text is scored by joining its tokens with the tables. Where a pair may be
 unseen (texts not trained on), the log probability is a sum over the lengths of context: root,
 then what each longer context adds if it has seen the symbol, and its back-off weight.
 
@@ -230,15 +231,21 @@ class SuffixTree:
 
     ``key`` = (``offset`` of the context's length + context) * width + symbol; ``full`` is the log10
     probability of the symbol and ``adds`` what the context adds to its suffix beyond its back-off weight.
+    ``whole`` is false if more than MAX_PLACES words or contexts of a length reach ``min_count``, so that
+    only the more frequent are held; with ``whole_only`` nothing further is counted then.
     """
 
-    def __init__(self, train: DataFrame, min_count: int, depth: int):
+    def __init__(self, train: DataFrame, min_count: int, depth: int, whole_only: bool = False):
         self.word_counts = stored(word_counts(train))
         row = self.word_counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = row["n"], row["v"]
         self.unknown = -math.log10(self.n + self.v + 1)
         end = word_number(END)
+        self.levels: list[Level] = []
         self.floor = _floor(self.word_counts.select("c"), min_count)
+        self.whole = self.floor == min_count
+        if whole_only and not self.whole:
+            return
         frequent = (F.col("c") >= self.floor) | (F.col("w") == end)
         words, counts = _column(self.word_counts.filter(frequent), "w", "c")
         order = np.argsort(words)
@@ -252,7 +259,6 @@ class SuffixTree:
         self.root = np.append(counts + 1, [self.rare_total, 1.0]) / (self.n + self.v + 1)
         ends = int(places_in(words, np.array([end]))[0])
 
-        self.levels: list[Level] = []
         floor = self.floor
         for length in range(1, depth + 1):
             size = width if length == 1 else len(self.contexts.longer[-1])
@@ -269,6 +275,9 @@ class SuffixTree:
                 again = joined.filter((symbol != rare) & (symbol != ends))
                 # Never lower than that of the shorter contexts, so that every suffix is a candidate.
                 floor = _floor(again.select("c"), floor)
+                self.whole = floor == min_count
+                if whole_only and not self.whole:
+                    return
                 self.contexts.longer.append(np.sort(_column(again.filter(F.col("c") >= floor), "key")[0]))
         # Suffixes of retained contexts are retained.
         for length in range(len(self.levels), 1, -1):
@@ -477,14 +486,17 @@ def score_texts(
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every text; scores are log10.
 
-    Trained on the texts for which ``held_out`` is false. Pairs of context and symbol with at least
+    Trained on the texts for which ``held_out`` is false, on all contexts that reach ``min_count``: by
+    ``joined_scores`` where they are too many to be sent to the tasks, else as follows. Pairs of context and symbol with at least
     ``share`` of all tokens are sent to the tasks (at most 1 / share for each length of context). One shuffle brings rare words and
     rarer pairs to the tables, one brings their sums back to the texts.
     """
     held = is_held_out(F.col(id_column)) if held_out is None else held_out
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(text)).alias("body"), held.alias("held_out"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    tree = SuffixTree(rows.filter(~F.col("held_out")), min_count, depth)
+    tree = SuffixTree(rows.filter(~F.col("held_out")), min_count, depth, whole_only=True)
+    if not tree.whole:
+        return _per_copy(joined_scores(rows, tree.word_counts, tree.n, tree.v, min_count, depth), id_column, tree)
     words = tree.word_counts.filter(F.col("c") < tree.floor)
     nothing = F.lit(None).cast("float")
     table = words.select(F.lit(0).alias("side"), F.col("w").alias("k"), "c", nothing.alias("full"), nothing.alias("adds"))
@@ -506,9 +518,104 @@ def score_texts(
         F.sum(is_text.cast("long")).alias("copies"), F.max(F.col("kind") == HELD).alias("held_out"), F.sum(F.when(is_text, F.col("n"))).alias("n"),
         F.sum(known).alias("known"), F.sum(base).alias("base"), F.sum(score).alias("score"),
     )
+    return _per_copy(sums, id_column, tree)
+
+
+def _per_copy(sums: DataFrame, id_column: str, tree: SuffixTree) -> DataFrame:
+    """A row for each copy of a text, from the sums over all copies."""
     each = lambda c: F.col(c) / F.col("copies")
     return sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
         F.col("id").alias(id_column), "held_out",
         each("n").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"),
         (each("base") + each("n") * F.lit(tree.unknown)).alias("base_score"), each("score").alias("score"),
     )
+
+
+def token_windows(docs: DataFrame, kind: str, depth: int) -> DataFrame:
+    """(id, body, held_out, w, s1, s2, ...) for every token: its hash and those of the tokens before it, nearest first.
+
+    The begin mark precedes the first token, nulls precede the mark.
+    """
+
+    def task():
+        def handle(columns):
+            held = np.array(columns["held_out"].to_pylist(), dtype=bool)
+            for lo, hi, texts in _chunks(columns):
+                chunk = Chunk(texts)
+                word, row = chunk.words[chunk.ids], _indices(chunk.row + lo)
+                place = np.arange(len(word)) - chunk.first[chunk.row]
+                out = {"id": columns["id"].take(row), "body": columns["body"].take(row), "held_out": held[lo:hi][chunk.row], "w": word}
+                for back in range(1, depth + 1):
+                    before = np.where(place >= back, np.roll(word, back), chunk.words[-1])
+                    out[f"s{back}"] = _masked(before, place < back - 1)
+                yield out
+
+        return handle
+
+    longs = "".join(f", s{back} long" for back in range(1, depth + 1))
+    return map_batches(docs.select("id", "body", "held_out", "text"), f"id {kind}, body long, held_out boolean, w long{longs}", task)
+
+
+def _masked(values: np.ndarray, mask: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(values, mask=mask)
+
+
+def joined_scores(docs: DataFrame, words: DataFrame, n: int, v: int, min_count: int, depth: int) -> DataFrame:
+    """Sums over all copies of each (id, body), by joins and groupings of token rows alone; any number of contexts.
+
+    Contexts are the hashes of their words. Those with a rare word need no test: they are seen less
+    than ``min_count`` times themselves.
+    """
+    end, rare = word_number(END), word_number(b"   ")
+    size = float(n + v + 1)
+    own = (F.col("c") >= min_count) | ((F.col("w") == end) & (F.col("c") > 0))
+    shared = words.filter(own).agg(F.coalesce(F.sum(F.col("c") + 1), F.lit(0)).alias("x")).first()["x"]
+    rare_total = size - shared
+    kind = docs.schema["id"].dataType.simpleString()
+    symbol = F.when(own, F.col("w")).otherwise(F.lit(rare))
+    # ``p`` starts as the root's probability of the symbol.
+    tokens = stored(
+        token_windows(docs, kind, depth).join(words, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        .select("*", symbol.alias("s"), F.when(own, (F.col("c") + 1) / size).otherwise(F.lit(rare_total / size)).alias("p"))
+    )
+    train = tokens.filter(~F.col("held_out"))
+    tables, stats, kept = [], [], []
+    for length in range(1, depth + 1):
+        context = _context(length)
+        seen = train.filter(F.col(context[-1]).isNotNull()).groupBy(*context, "s").agg(F.count("*").alias("c"), F.max("p").alias("suffix_p"))
+        sums = seen.groupBy(*context).agg(F.sum("c").alias("n"), F.count("*").alias("d")).filter(F.col("n") >= min_count)
+        seen = seen.join(sums, context)
+        if length > 1:
+            shorter = tables[-1].select(*_context(length - 1), "s", F.col("p").alias("suffix_p"))
+            seen = seen.drop("suffix_p").join(shorter, [*_context(length - 1), "s"])
+        table = stored(seen.withColumn("p", (F.col("c") + F.col("d") * F.col("suffix_p")) / (F.col("n") + F.col("d"))))
+        # As in ``_gains``: without its only occurrence a symbol is no kind of its own.
+        kinds = F.col("d") - F.when(F.col("c") == 1, 1).otherwise(0)
+        rest = F.col("n") - 1 + kinds
+        gain = F.when(rest > 0, F.col("c") * F.log(((F.col("c") - 1) / F.col("suffix_p") + kinds) / rest)).otherwise(0.0)
+        all_gains = table.groupBy(*context).agg(F.sum(gain).alias("gain"), F.first("n").alias("n"), F.first("d").alias("d"))
+        tables.append(table)
+        stats.append(stored(all_gains.select(*context, "n", "d", (F.col("gain") > F.log("n")).alias("diverges"))))
+    for length in range(depth, 0, -1):
+        context, own_kept = _context(length), stats[length - 1].filter("diverges").select(*_context(length))
+        if kept:
+            # Suffixes of retained contexts are retained.
+            own_kept = own_kept.unionByName(kept[0].select(*context)).distinct()
+        kept.insert(0, stored(stats[length - 1].drop("diverges").join(own_kept, context, "left_semi")))
+    for length, (table, states) in enumerate(zip(tables, kept), 1):
+        context = _context(length)
+        pairs = table.join(states, context, "left_semi").select(*context, "s", F.col("c").alias("seen"))
+        tokens = tokens.join(states, context, "left").join(pairs, [*context, "s"], "left")
+        after = (F.coalesce("seen", F.lit(0)) + F.col("d") * F.col("p")) / (F.col("n") + F.col("d"))
+        tokens = tokens.withColumn("p", F.when(F.col("n").isNotNull(), after).otherwise(F.col("p"))).drop("n", "d", "seen")
+    share = F.when(F.col("s") == rare, F.log10((F.col("c") + 1) / rare_total)).otherwise(0.0)
+    return tokens.groupBy("id", "body").agg(
+        F.count_if(F.col("w") == end).alias("copies"), F.max("held_out").alias("held_out"), F.count("*").alias("n"),
+        F.count_if(F.col("c") > 0).alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("base"), F.sum(F.log10("p") + share).alias("score"),
+    )
+
+
+def _context(length: int) -> list[str]:
+    return [f"s{back}" for back in range(1, length + 1)]

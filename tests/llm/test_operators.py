@@ -637,6 +637,22 @@ def test_floors_rise_only_where_keys_are_too_many(docs, monkeypatch):
     assert sum(x.kept.sum() for x in half.levels) < sum(x.kept.sum() for x in free.levels)
 
 
+@pytest.mark.parametrize(("places", "min_count"), [(0, 5), (100, 5), (7300, 2)])
+def test_contexts_too_many_to_send_are_joined(docs, odd, monkeypatch, places, min_count):
+    """The scores of the whole model, whether the words (0, 100) or only the contexts (7300) are too many."""
+    monkeypatch.setattr(suffix_tree_lm, "MAX_PLACES", places)
+    joined = []
+    plain = suffix_tree_lm.joined_scores
+    monkeypatch.setattr(suffix_tree_lm, "joined_scores", lambda *a: joined.append(1) or plain(*a))
+    test_scores_equal_plain_tree(docs, min_count, 3, 2.5e-7)
+    assert joined
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    _, _, want = plain_scores(rows, 1)
+    got = suffix_tree_lm.score_texts(odd, min_count=1).collect()
+    assert sorted(round(r["score"], 6) for r in got) == sorted(round(want[row][4], 6) for row in rows)
+    assert suffix_tree_lm.score_texts(odd, held_out=F.lit(True)).count() == len(rows)
+
+
 def test_scores_of_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     _, _, want = plain_scores(rows, 50)
