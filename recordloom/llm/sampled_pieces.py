@@ -8,7 +8,8 @@ yields its maximum, a path drawn from the region, and is split into the regions
 this path at each of its units. The maximum of a part is a Gumbel truncated at that of the whole.
 
 A piece holds blanks only at its front, so the lattice of a text is a chain of small lattices,
-one per unit (blanks and the characters behind them). Equal units of a chunk share one. All
+one per unit (blanks and the characters behind them). Equal units share one, which a task keeps from
+chunk to chunk. All
 randomness is a hash of row key, sample number and position: a row gives the same samples in
 any batch, partition or retry.
 
@@ -26,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # A chunk takes about 200 bytes a character; equal units are shared in it.
 CHUNK_CHARS = 250_000
+# Characters of units whose lattices are kept, at about 90 bytes each; with more, they are made anew.
+KEPT_CHARS = 600_000
+# Units of a text that a split looks at together with those of other texts.
+BLOCK = 192
 # Pieces whose bytes are gathered at once when decoding.
 DECODE_PIECES = 100_000
 _DENSE = 256
@@ -100,10 +106,27 @@ def chance_of(bits: int) -> float:
     return ((bits >> 11) + 0.5) / (1 << 53)
 
 
+def trie_of(pieces: list[tuple[str, float, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parent and code point of each node but the root, in order, and the piece that ends in each node (-1: none)."""
+    children: dict[tuple[int, str], int] = {}
+    ends = [-1]
+    for i, (piece, _, kind) in enumerate(pieces):
+        if kind != "piece":
+            continue
+        at = 0
+        for c in piece.replace(MARK, " "):
+            to = children.setdefault((at, c), len(ends))
+            if to == len(ends):
+                ends.append(-1)
+            at = to
+        ends[at] = i
+    return np.array([at for at, _ in children], np.int64), np.array([ord(c) for _, c in children], np.int64), np.array(ends, np.int32)
+
+
 class Vocabulary:
-    """A trie over code points, walked for many positions at once."""
+    """A trie over code points (``trie_of`` the pieces, if not given), walked for many positions at once."""
 
-    def __init__(self, pieces: list[tuple[str, float, str]], alpha: float):
+    def __init__(self, pieces: list[tuple[str, float, str]], alpha: float, trie: tuple | None = None):
         self.size = len(pieces)
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         texts = {i: p.replace(MARK, " ") for i, (p, _, kind) in enumerate(pieces) if kind == "piece"}
@@ -117,36 +140,22 @@ class Vocabulary:
         # What a character outside the vocabulary is called in a lattice: its byte piece if it has
         # one byte, else a number from ``size`` on.
         self.one_byte = np.array([self.byte_ids.get(b, self.size + b) for b in range(128)], dtype=np.int32)
-        nodes: list[dict[str, int]] = [{}]
-        ends = [-1]
-        for i, text in texts.items():
-            at = 0
-            for c in text:
-                if c not in nodes[at]:
-                    nodes[at][c] = len(nodes)
-                    nodes.append({})
-                    ends.append(-1)
-                at = nodes[at][c]
-            ends[at] = i
-        self.ends = np.array(ends, dtype=np.int32)
+        parents, codes, self.ends = trie or trie_of(pieces)
+        nodes = np.arange(1, len(parents) + 1, dtype=np.int32)
         # Code points below _DENSE by table, others by sorted keys (node, code point).
-        self.table = np.zeros((len(nodes), _DENSE), dtype=np.int32)
-        rare = []
-        for at, children in enumerate(nodes):
-            for c, to in children.items():
-                if ord(c) < _DENSE:
-                    self.table[at, ord(c)] = to
-                else:
-                    rare.append(((at << 21) | ord(c), to))
-        rare.sort()
-        self.rare_keys = np.array([k for k, _ in rare] or [-1], dtype=np.int64)
-        self.rare_nodes = np.array([n for _, n in rare] or [0], dtype=np.int32)
-        pairs = {(a, b) for t in texts.values() for a, b in zip(t, t[1:])}
-        self.pairs = np.array(sorted((ord(a) << 21) | ord(b) for a, b in pairs) or [-1], dtype=np.int64)
+        self.table = np.zeros((len(self.ends), _DENSE), dtype=np.int32)
+        low = codes < _DENSE
+        self.table[parents[low], codes[low]] = nodes[low]
+        keys = (parents[~low] << 21) | codes[~low]
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_nodes = (keys[order], nodes[~low][order]) if len(keys) else (np.array([-1], np.int64), np.zeros(1, np.int32))
+        # Two characters side by side are those of a node and its parent.
+        inner = parents > 0
+        first, second = codes[parents[inner] - 1], codes[inner]
+        self.pairs = np.unique((first << 21) | second) if inner.any() else np.array([-1], np.int64)
         self.dense_pairs = np.zeros((_DENSE, _DENSE), dtype=bool)
-        for a, b in pairs:
-            if ord(a) < _DENSE and ord(b) < _DENSE:
-                self.dense_pairs[ord(a), ord(b)] = True
+        low = (first < _DENSE) & (second < _DENSE)
+        self.dense_pairs[first[low], second[low]] = True
         spelled = {i: t.encode() for i, t in texts.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
         # Bytes of all pieces in a row; ids that spell nothing, and the place behind the last id, have none.
         self.spelled = np.frombuffer(b"".join([spelled.get(i, b"") for i in range(self.size)]), dtype=np.uint8)
@@ -249,6 +258,7 @@ class Lattices:
         for length, at, ids in found:
             free[at] -= 1
             self.length[free[at]], self.piece[free[at]] = length, ids
+        self.used = (len(units), n, len(self.piece))  # units, positions, edges
         weight = vocabulary.weights(self.piece)
         # Backward sums, for all units at once, from the last character to the first.
         rest = np.zeros(n)
@@ -272,15 +282,30 @@ class Lattices:
             self.log_chance[edge] = np.log(np.maximum(value, 1e-300))
             self.upto[edge[first + size - 1]] = 2.0  # rounding never leads past the last edge
 
+    def extend(self, more: Lattices) -> None:
+        """Put the units of another table behind the own ones; arrays have room to grow."""
+        units, positions, edges = self.used
+        for name, used, values in (
+            ("begin", units, more.begin + positions), ("end", units, more.end + positions), ("reach", positions + 1, more.reach[1:] + edges),
+            ("length", edges, more.length), ("piece", edges, more.piece), ("log_chance", edges, more.log_chance), ("upto", edges, more.upto),
+        ):
+            own, to = getattr(self, name), used + len(values)
+            if to > len(own):
+                own = np.empty(2 * to, own.dtype)
+                own[:used] = getattr(self, name)[:used]
+                setattr(self, name, own)
+            own[used:to] = values
+        self.used = tuple(a + b for a, b in zip(self.used, more.used))
+
     def draw(self, units: np.ndarray, seeds: np.ndarray, places: np.ndarray):
         """A path through each unit: (tokens of a unit, all pieces in order, log probabilities).
 
         The random number of a step is a hash of the row's seed and the place in its text.
         """
-        count = np.zeros(len(units), dtype=np.int64)
-        logs = np.zeros(len(units))
+        count = np.empty(len(units), dtype=np.int64)
+        logs = np.empty(len(units))
         steps = []
-        who = np.arange(len(units))
+        who, log = np.arange(len(units)), np.zeros(len(units))
         position, end = self.begin[units], self.end[units]
         state = stream_states(seeds, places)
         while len(who):
@@ -288,15 +313,18 @@ class Lattices:
             edge = self.reach[position]
             open_ = np.flatnonzero(u > self.upto[edge])
             while len(open_):
-                edge[open_] += 1
-                open_ = open_[u[open_] > self.upto[edge[open_]]]
+                on = edge[open_] + 1
+                edge[open_] = on
+                open_ = open_[u[open_] > self.upto[on]]
             steps.append((who, self.piece[edge]))
-            logs[who] += self.log_chance[edge]
-            count[who] += 1
+            log += self.log_chance[edge]
             length = self.length[edge]
-            position = position + length
-            left = np.flatnonzero(position < end)
-            who, position, end = who[left], position[left], end[left]
+            position += length
+            inside = position < end
+            done = who[~inside]
+            count[done], logs[done] = len(steps), log[~inside]
+            left = np.flatnonzero(inside)
+            who, position, end, log = who[left], position[left], end[left], log[left]
             state = state[left] + length[left].astype(np.uint64) * np.uint64(_GAMMA)
         first = np.concatenate([[0], np.cumsum(count)])
         pieces = np.empty(first[-1], dtype=np.int32)
@@ -307,16 +335,18 @@ class Lattices:
     def draw_other(self, unit: int, excluded: list[tuple], chances: list[float], numbers) -> tuple[tuple, float]:
         """A path of one unit that is none of ``excluded``: edges are weighed less what is excluded behind them."""
         position, end, reached, path, log = int(self.begin[unit]), int(self.end[unit]), 1.0, (), 0.0
+        inside = list(zip(excluded, chances))  # what begins with the path so far
         while position < end:
             lo, hi = int(self.reach[position]), int(self.reach[position + 1])
             pieces, logs, lengths = (x[lo:hi].tolist() for x in (self.piece, self.log_chance, self.length))
-            masses = []
+            masses, step = [], len(path)
             for piece, chance, length in zip(pieces, logs, lengths):
                 mass = reached * math.exp(chance)
-                taken = path + (piece,)
-                behind = [c for x, c in zip(excluded, chances) if x[: len(taken)] == taken]
+                behind = [c for x, c in inside if x[step] == piece]
                 # A branch that holds nothing but excluded paths has no mass, whatever the rounding.
-                masses.append(0.0 if behind and self._paths_behind(position + length, end, len(behind)) <= len(behind) else max(mass - sum(behind), 0.0))
+                if behind:
+                    mass = 0.0 if self._paths_behind(position + length, end, len(behind)) <= len(behind) else max(mass - sum(behind), 0.0)
+                masses.append(mass)
             total = sum(masses)
             if total <= 0.0:  # all that is left is below rounding: take the first branch that isn't exhausted
                 masses = [1.0 if self._open(path + (piece,), position + length, end, excluded) else 0.0 for piece, length in zip(pieces, lengths)]
@@ -329,6 +359,7 @@ class Lattices:
                     if goal <= 0.0:
                         break
             path += (pieces[chosen],)
+            inside = [(x, c) for x, c in inside if x[step] == pieces[chosen]]
             log += logs[chosen]
             reached *= math.exp(logs[chosen])
             position += lengths[chosen]
@@ -343,12 +374,14 @@ class Lattices:
         known = self.behind.get((position, enough))
         if known is not None:
             return known
-        ways = {end: 1}
-        for p in range(end - 1, position - 1, -1):
-            n = sum(ways.get(p + int(self.length[e]), 0) for e in range(int(self.reach[p]), int(self.reach[p + 1])))
+        reach = self.reach[position : end + 1].tolist()
+        lengths = self.length[reach[0] : reach[-1]].tolist()
+        ways = [0] * (end - position) + [1]
+        for p in range(end - position - 1, -1, -1):
+            n = sum([ways[p + length] for length in lengths[reach[p] - reach[0] : reach[p + 1] - reach[0]]])
             ways[p] = min(n, enough + 1)
-        self.behind[position, enough] = ways[position]
-        return ways[position]
+        self.behind[position, enough] = ways[0]
+        return ways[0]
 
     def paths(self, unit: int, enough: int) -> int:
         known = self.counted.get((unit, enough))
@@ -357,8 +390,46 @@ class Lattices:
         return known
 
 
-def units_of(texts: list[str], vocabulary: Vocabulary) -> tuple[list[str], np.ndarray]:
-    """Units of all texts in a row, and how many each text has (an empty text none).
+def unit_hashes(codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each unit's characters and their places in it."""
+    sizes = np.diff(cuts)
+    place = np.arange(len(codes)) - np.repeat(cuts[:-1], sizes)
+    return np.add.reduceat(hashed(codes.astype(np.uint64) << np.uint64(32), place), cuts[:-1])
+
+
+class Known:
+    """Lattices of the units met so far, up to KEPT_CHARS characters (or one chunk)."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.hashes, self.numbers = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.lattices: Lattices | None = None
+        self.chars = 0
+
+    def numbered(self, whole: str, codes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Number of each unit in the table of lattices, which gets those it lacks."""
+        different, first, place = np.unique(unit_hashes(codes, cuts), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, different)
+        lacking = np.flatnonzero(np.append(self.hashes, np.uint64(0))[at] != different) if len(self.hashes) else np.arange(len(different))
+        if len(lacking):
+            begins = np.sort(first[lacking])
+            chars = int((cuts[begins + 1] - cuts[begins]).sum())
+            if self.lattices is not None and self.chars + chars > KEPT_CHARS:
+                self.__init__(self.vocabulary)
+                return self.numbered(whole, codes, cuts)
+            more = Lattices(self.vocabulary, [whole[a:b] for a, b in zip(cuts[begins].tolist(), cuts[begins + 1].tolist())])
+            if self.lattices is None:
+                self.lattices = more
+            else:
+                self.lattices.extend(more)
+            numbers = len(self.numbers) + np.searchsorted(begins, first[lacking])
+            self.hashes, self.numbers = np.insert(self.hashes, at[lacking], different[lacking]), np.insert(self.numbers, at[lacking], numbers)
+            self.chars += chars
+        return self.numbers[np.searchsorted(self.hashes, different)][place]
+
+
+def units_of(texts: list[str], vocabulary: Vocabulary) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in a row with their code points, the cuts between units, and how many units each text has (an empty text none).
 
     A blank is put before each text; units are cut where no piece joins two characters.
     """
@@ -370,10 +441,9 @@ def units_of(texts: list[str], vocabulary: Vocabulary) -> tuple[list[str], np.nd
     if len(codes):
         cut[1:-1] = ~vocabulary.joins(codes[:-1], codes[1:])
         cut[begins[lengths > 0]] = True
-    at = np.flatnonzero(cut) if len(codes) else np.empty(0, np.int64)
+    at = np.flatnonzero(cut) if len(codes) else np.zeros(1, np.int64)
     counts = np.searchsorted(at, begins + lengths) - np.searchsorted(at, begins)
-    at = at.tolist()
-    return [whole[a:b] for a, b in zip(at, at[1:])], counts
+    return whole, codes, at, counts
 
 
 def truncated_gumbel(location, bound, u):
@@ -387,41 +457,42 @@ class Search:
     """The queue of one text: its emitted samples and the regions still to be opened."""
 
     def __init__(self, seed: int, k: int):
-        self.seed, self.k = seed, k
+        self.state, self.k = row_key(seed), k
         self.queue: list = []
         self.samples: list[dict] = []
-        self.next: tuple | None = (-math.log(-math.log(chance_of(row_key(seed, 7)))), 0, -1, (), ())
+        self.next: tuple | None = (-math.log(-math.log(chance_of(mixed_in(self.state, 7)))), 0, -1, (), ())
 
-    def split(self, region, sample, lattices, units) -> None:
-        """Queue what the region holds beside the sample just drawn from it."""
-        bound, start, _, excluded, chances = region
-        number = len(self.samples) - 1
+    def open(self, region, sample, lattices, units) -> tuple[tuple, tuple, float]:
+        """What is excluded where a region begins, with its chances, and the log probability of the rest there."""
+        _, start, _, excluded, chances = region
         gone = excluded + (sample["paths"](start),)
+        shares = chances + (math.exp(sample["unit_logs"][start]),)
+        left = max(0.0, 1.0 - sum(shares))
+        # Little mass may be none, whatever the rounding: then paths are counted.
+        full = left < 1e-9 and lattices.paths(int(units[start]), len(gone)) <= len(gone)
+        return gone, shares, -math.inf if full else sample["prefix"][start] + math.log(max(left, 1e-300))
+
+    def split(self, region, sample, lattices, units, gone, shares, peaks) -> None:
+        """Queue what the region holds beside the sample just drawn from it; ``peaks`` are those of its first units."""
+        bound, start = region[:2]
+        number = len(self.samples) - 1
         prefix = sample["prefix"]
-        key = np.uint64(row_key(self.seed, 11, number))
         wanted = self.k + 1
         # The noise of a 53-bit number is below 38: units that far behind can't be among the best.
         floor, stop = -math.inf, len(prefix) - 1
-        best, peaks = np.empty(0, np.int64), np.empty(0)
-        at = start
-        while at < stop and prefix[at] + 38.0 > floor:
-            to = min(stop, at + 192)
-            logs = sample["unit_logs"][at:to]
-            with np.errstate(divide="ignore"):
-                location = prefix[at:to] + np.log(-np.expm1(np.minimum(logs, 0.0)))
-            if at == start:  # where the region begins, earlier choices stay excluded too
-                shares = chances + (math.exp(logs[0]),)
-                left = max(0.0, 1.0 - sum(shares))
-                # Little mass may be none, whatever the rounding: then paths are counted.
-                full = left < 1e-9 and lattices.paths(int(units[start]), len(gone)) <= len(gone)
-                location[0] = -np.inf if full else prefix[start] + math.log(max(left, 1e-300))
-            found = truncated_gumbel(location, bound, uniform(hashed(key, np.arange(at, to))))
-            places = np.arange(at - start, to - start)
-            best, peaks = (places, found) if at == start else (np.concatenate([best, places]), np.concatenate([peaks, found]))
+        best, at = np.arange(len(peaks)), start + len(peaks)
+        while True:
             if len(peaks) > wanted:
                 kept = np.argpartition(-peaks, wanted)[:wanted]
                 best, peaks = best[kept], peaks[kept]
                 floor = peaks.min()
+            if at >= stop or prefix[at] + 38.0 <= floor:
+                break
+            to = min(stop, at + BLOCK)
+            key = np.uint64(mixed_in(self.state, 11, number))
+            location = beside(prefix[at:to], sample["unit_logs"][at:to])
+            found = truncated_gumbel(location, bound, uniform(hashed(key, np.arange(at, to))))
+            best, peaks = np.concatenate([best, np.arange(at - start, to - start)]), np.concatenate([peaks, found])
             at = to
         for i, peak in zip(best.tolist(), peaks.tolist()):
             if peak == -math.inf:
@@ -429,7 +500,7 @@ class Search:
             at = start + i
             if i and sample["unit_logs"][at] > -1e-9 and lattices.paths(int(units[at]), 1) <= 1:
                 continue
-            # What is excluded behind the start is looked up when the region is opened.
+            # What is excluded behind the start is looked up when the region is taken from the queue.
             heapq.heappush(self.queue, (-peak, at, number, *((gone, shares) if i == 0 else ((), ()))))
 
     def advance(self) -> None:
@@ -442,16 +513,42 @@ class Search:
             self.next = (-peak, at, number, excluded, chances)
 
 
-def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int) -> list[list[dict]]:
-    """Samples (ids, log_prob, inclusion) of every text, best first."""
-    units, counts = units_of(texts, vocabulary)
-    if not units:
+def beside(prefix: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Log probability to follow a path up to each unit and to leave it there."""
+    with np.errstate(divide="ignore"):
+        return prefix + np.log(-np.expm1(np.minimum(logs, 0.0)))
+
+
+def split_all(searches: list[Search], regions: list[tuple], lattices: Lattices, rows: list[np.ndarray]) -> None:
+    """Split the region that each search has drawn its last sample from; the first BLOCK units of all at once."""
+    samples = [s.samples[-1] for s in searches]
+    spans = [(r[1], min(len(x["prefix"]) - 1, r[1] + BLOCK)) for r, x in zip(regions, samples)]
+    sizes = np.array([b - a for a, b in spans])
+    ends = np.cumsum(sizes)
+    location = beside(
+        np.concatenate([x["prefix"][a:b] for x, (a, b) in zip(samples, spans)]), np.concatenate([x["unit_logs"][a:b] for x, (a, b) in zip(samples, spans)])
+    )
+    # Where a region begins, earlier choices stay excluded too.
+    opened = [s.open(r, x, lattices, units) for s, r, x, units in zip(searches, regions, samples, rows)]
+    location[ends - sizes] = [rest for _, _, rest in opened]
+    keys = np.array([mixed_in(s.state, 11, len(s.samples) - 1) for s in searches], dtype=np.uint64)
+    places = np.arange(len(location)) + np.repeat(np.array([a for a, _ in spans]) - (ends - sizes), sizes)
+    bounds = np.repeat(np.array([r[0] for r in regions]), sizes)
+    peaks = truncated_gumbel(location, bounds, uniform(hashed(np.repeat(keys, sizes), places)))
+    for search, region, sample, units, (gone, shares, _), end, size in zip(searches, regions, samples, rows, opened, ends.tolist(), sizes.tolist()):
+        search.split(region, sample, lattices, units, gone, shares, peaks[end - size : end])
+
+
+def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int, known: Known | None = None) -> list[list[dict]]:
+    """Samples (ids, log_prob, inclusion) of every text, best first; ``known`` keeps lattices for further chunks."""
+    whole, codes, cuts, counts = units_of(texts, vocabulary)
+    if not whole:
         return [[{"ids": np.empty(0, np.int32), "log_prob": 0.0, "inclusion": 1.0}] for _ in texts]
-    numbers = {u: i for i, u in enumerate(dict.fromkeys(units))}
-    every = np.fromiter(map(numbers.__getitem__, units), np.int64, len(units))
+    known = known or Known(vocabulary)
+    every = known.numbered(whole, codes, cuts)
     rows = np.split(every, np.cumsum(counts)[:-1])
-    lattices = Lattices(vocabulary, list(numbers))
-    sizes = lattices.end - lattices.begin
+    lattices = known.lattices
+    sizes = lattices.end[: lattices.used[0]] - lattices.begin[: lattices.used[0]]
     searches = [Search(seed, k) if len(units) else None for seed, units in zip(seeds, rows)]
     starts = [np.concatenate([[0], np.cumsum(sizes[units])[:-1]]).astype(np.int64) if len(units) else None for units in rows]
     for number in range(k):
@@ -462,11 +559,12 @@ def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k:
         froms = [searches[i].next[1] + (searches[i].next[2] >= 0) for i in active]
         units = np.concatenate([rows[i][f:] for i, f in zip(active, froms)])
         places = np.concatenate([starts[i][f:] for i, f in zip(active, froms)])
-        keys = np.array([row_key(seeds[i], 3, number) for i in active], dtype=np.uint64)
+        keys = np.array([mixed_in(searches[i].state, 3, number) for i in active], dtype=np.uint64)
         lengths = np.array([len(rows[i]) - f for i, f in zip(active, froms)])
         count, pieces, logs = lattices.draw(units, np.repeat(keys, lengths), places)
         unit_at = np.concatenate([[0], np.cumsum(lengths)])
         piece_at = np.concatenate([[0], np.cumsum(count)])
+        regions = [searches[i].next for i in active]
         for j, i in enumerate(active):
             search, (lo, hi) = searches[i], unit_at[j : j + 2]
             region = search.next
@@ -474,7 +572,7 @@ def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k:
             parts = (count[lo:hi], pieces[piece_at[lo] : piece_at[hi]], logs[lo:hi])
             if parent >= 0:
                 old = search.samples[parent]
-                state = row_key(seeds[i], 5, number)
+                state = mixed_in(search.state, 5, number)
                 stream = (chance_of(mixed_in(state, step)) for step in range(1 << 30))
                 path, log = lattices.draw_other(int(rows[i][start]), list(excluded), list(chances), stream)
                 kept = int(old["first"][start])
@@ -483,13 +581,13 @@ def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k:
                     np.concatenate([old["ids"][:kept], np.array(path, dtype=np.int32), parts[1]]),
                     np.concatenate([old["unit_logs"][:start], [log], parts[2]]),
                 )
-            first = np.concatenate([[0], np.cumsum(parts[0])])
-            prefix = np.concatenate([[0.0], np.cumsum(parts[2])])
+            first, prefix = running(parts[0]), running(parts[2])
             sample = {"count": parts[0], "ids": parts[1], "unit_logs": parts[2], "first": first, "prefix": prefix, "peak": peak, "log_prob": float(prefix[-1])}
             sample["paths"] = lambda at, s=sample: tuple(s["ids"][s["first"][at] : s["first"][at + 1]].tolist())
             search.samples.append(sample)
-            search.split(region, sample, lattices, rows[i])
-            search.advance()
+        split_all([searches[i] for i in active], regions, lattices, [rows[i] for i in active])
+        for i in active:
+            searches[i].advance()
     out = []
     for search in searches:
         if search is None:
@@ -505,6 +603,13 @@ def sample_chunk(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k:
     return out
 
 
+def running(values: np.ndarray) -> np.ndarray:
+    """Sums of all values before each place, and of all."""
+    out = np.zeros(len(values) + 1, dtype=values.dtype)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
 def spell_bytes(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Replace characters outside the vocabulary by their byte pieces."""
     if not len(ids) or ids.max() < vocabulary.size:
@@ -533,19 +638,28 @@ def encode_samples(
     input (a null text counts as empty). Narrow: no row moves;
     a task works through its rows in chunks of bounded characters (or one text).
     """
-    pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
+    loaded = load_pieces(model)
+    pieces = docs.sparkSession.sparkContext.broadcast((loaded, trie_of(loaded)))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id_column), F.lit(seed)).alias("key"))
     kind = rows.schema["id"].dataType.simpleString()
     arrow_type = _samples_type()
 
     def task():
-        vocabulary = Vocabulary(pieces.value, alpha)
+        loaded, trie = pieces.value
+        vocabulary = Vocabulary(loaded, alpha, trie)
+        known = Known(vocabulary)
 
         def emit(ids, texts, keys):
-            found = sample_chunk(vocabulary, texts, keys, k)
+            found = sample_chunk(vocabulary, texts, keys, k, known)
             flat = [s for samples in found for s in samples]
             decoded = vocabulary.decode_all([s["ids"] for s in flat])
-            given = [t for t, samples in zip(texts, found) for _ in samples]
+            equal, crcs, at = [], [], 0
+            for t, samples in zip(texts, found):
+                crc = zlib.crc32(t.encode("utf-8", "replace"))
+                for d in decoded[at : at + len(samples)]:
+                    equal.append(d == t)
+                    crcs.append(crc if d == t else zlib.crc32(d.encode("utf-8", "replace")))
+                at += len(samples)
             inner = np.concatenate([[0], np.cumsum([len(s["ids"]) for s in flat])]).astype(np.int32)
             values = np.concatenate([s["ids"] for s in flat]).astype(np.int32) if flat else np.empty(0, np.int32)
             structs = pa.StructArray.from_arrays(
@@ -553,8 +667,8 @@ def encode_samples(
                     pa.ListArray.from_arrays(pa.array(inner), pa.array(values)),
                     pa.array([s["log_prob"] for s in flat], pa.float64()),
                     pa.array([s["inclusion"] for s in flat], pa.float64()),
-                    pa.array([zlib.crc32(t.encode("utf-8", "replace")) for t in decoded], pa.int64()),
-                    pa.array([t == g for t, g in zip(decoded, given)], pa.bool_()),
+                    pa.array(crcs, pa.int64()),
+                    pa.array(equal, pa.bool_()),
                 ],
                 ["ids", "log_prob", "inclusion", "text_crc32", "round_trip"],
             )
@@ -563,7 +677,7 @@ def encode_samples(
 
         def handle(columns):
             texts = columns["text"]
-            sizes = [len(t.as_py() or "") for t in texts]
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             start, chars = 0, 0
             for at, n in enumerate(sizes):
                 if at > start and chars + n > CHUNK_CHARS:

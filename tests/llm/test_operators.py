@@ -514,6 +514,24 @@ def test_segmentations_are_decoded_together(pieces, monkeypatch):
     assert vocabulary.decode([-1, vocabulary.size, None, *rows[0].tolist(), 1 << 30]) == texts[0]
 
 
+def test_lattices_are_kept_from_chunk_to_chunk(pieces, monkeypatch):
+    vocabulary = sampled_pieces.Vocabulary(pieces, 3e-5)
+    chunks = [["it the n tin", "an odd \u2460 one", ""], ["the tin an", "it"], ["other words, the odd one"], ["it the n tin"]]
+    sample = lambda texts, *known: [
+        [(s["ids"].tolist(), s["log_prob"], s["inclusion"]) for s in samples] for samples in sampled_pieces.sample_chunk(vocabulary, texts, [1, 2, 3][: len(texts)], 3, *known)
+    ]
+    want = [sample(texts) for texts in chunks]
+    made = []
+    build = sampled_pieces.Lattices
+    monkeypatch.setattr(sampled_pieces, "Lattices", lambda v, units: made.extend(units) or build(v, units))
+    for kept, again in ((600_000, False), (25, True)):
+        made.clear()
+        monkeypatch.setattr(sampled_pieces, "KEPT_CHARS", kept)
+        known = sampled_pieces.Known(vocabulary)
+        assert [sample(texts, known) for texts in chunks] == want
+        assert (len(made) > len(set(made))) == again
+
+
 def test_samples_are_gumbel_top_k(pieces):
     vocabulary = sampled_pieces.Vocabulary(pieces, 3e-5)
     for text in ("it the", "n tin", "\u2460 an"):
