@@ -37,7 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # A chunk takes about 200 bytes a character; equal units are shared in it.
 CHUNK_CHARS = 250_000
-# Characters of units whose lattices are kept, at about 90 bytes each; with more, they are made anew.
+# Characters of units whose lattices are kept, at about 70 bytes each, up to twice that with room to grow;
+# with more, they are made anew.
 KEPT_CHARS = 600_000
 # Units of a text that a split looks at together with those of other texts.
 BLOCK = 192
