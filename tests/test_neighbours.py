@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from checks import ALL_QUERIES
 from recordloom.functions import binarize, cosine, ngram_vector
 from recordloom.functions.vectors import _hash_ngrams
 from recordloom.operators import knn, label, nearest, ordering
@@ -89,6 +90,14 @@ def test_encoder(spark):
         spark.createDataFrame([(" ",)], "t string").select(ngram_vector("t")).collect()
 
 
+def test_blank_documents_do_not_end_the_embedding(spark, tmp_path):
+    rows = [(1, "north gate"), (2, None), (3, ""), (4, " \t\n\u3000"), (5, "x"), (5, "x"), (None, "y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r["size"], r.norm) for r in ALL_QUERIES["embed"](spark, str(tmp_path)).collect()}
+    assert got == {1: (64, 1.0), 2: (0, None), 3: (0, None), 4: (0, None), 5: (128, 1.4142), None: (64, 1.0)}
+    assert ALL_QUERIES["embed_distinct"](spark, str(tmp_path)).first().texts == 3
+
+
 def test_radius_edges_in_blocks(spark):
     rng = np.random.default_rng(2)
     points = [(f"p{i:02d}", (rng.normal(size=3) + [3 * (i % 4), 0, 3 * (i % 3)]).tolist()) for i in range(60)]
