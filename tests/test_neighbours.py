@@ -245,6 +245,51 @@ def test_query_is_sent_once_a_bin(spark, monkeypatch):
     assert sent[-1] > 300
 
 
+def test_short_lists_of_a_query_meet_in_large_blocks(spark, monkeypatch):
+    """A query's codes are scored part by part in one task, which returns one short list."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(900, 8)).tolist() + [[0.0] * 8] * 3
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id long, embedding array<float>")
+    asked = rows.filter("id < 40").withColumnRenamed("id", "query_id")
+    lists, real = [], knn._blocks_of
+    monkeypatch.setattr(knn, "BLOCK_VALUES", 256 * 8)
+    monkeypatch.setattr(knn, "_blocks_of", lambda *args: lists.append(real(*args)) or lists[-1])
+    found = knn.knn_approx(asked, rows, 3, share=1.0, shortlist=60)
+    assert lists[0].count() == 40 * 60
+    exact = {(r.query_id, r.id) for r in knn.knn(asked, rows, 3).collect()}
+    assert len(exact) == 120 and len(exact & {(r.query_id, r.id) for r in found.collect()}) >= 114
+    some = {(r.query_id, r.id): r.score for r in knn.knn_approx(asked, rows, 3, share=0.3, shortlist=900).collect()}
+    unit = [np.array(v) / max(np.linalg.norm(v), 1e-12) for v in vectors]
+    assert len(some) == 120 and all(abs(max(0.0, unit[a] @ unit[b]) - s) < 1e-6 for (a, b), s in some.items())
+
+
+@pytest.mark.parametrize("kind", ["apart", "ties", "opposite", "alike", "missing"])
+def test_few_products_are_computed_twice(kind):
+    rng = np.random.default_rng(7)
+    corpus = rng.normal(size=(3_000, 16))
+    if kind == "ties":
+        corpus[100:900], corpus[1_500:1_600] = corpus[7], 0.0
+    elif kind == "opposite":
+        corpus[:] = -np.abs(corpus)
+    elif kind == "alike":
+        corpus = corpus[rng.integers(0, 30, 3_000)] + 1e-7 * corpus
+    corpus = knn._matrix(corpus)
+    queries = np.abs(corpus[:200]) if kind == "opposite" else corpus[:200].copy()
+    if kind == "missing":
+        corpus[5, 3] = np.nan
+    for k in (1, 7, 40):
+        scores = np.round(np.clip(queries @ corpus.T, 0.0, 1.0), 12)
+        want = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        r, c, s = knn._best(queries, corpus, k)
+        order = np.argsort(r, kind="stable")
+        if kind != "missing":
+            assert (c[order].reshape(200, k) == want).all() and np.allclose(s[order].reshape(200, k), np.take_along_axis(scores, want, axis=1))
+        else:  # a product that is no number is never among the best
+            assert 5 not in c[np.isin(r, np.arange(6, 200))] and not np.isnan(s).any()
+        if kind == "apart":
+            assert sum(len(x[0]) for x in knn._pairs(queries, corpus, k, True)) <= 1.5 * k * 200
+
+
 def test_positions_are_stored_in_small_files(spark):
     """A few large files would make the tasks that melt and count records as large as the table."""
     df = ordering.global_index(spark.range(250_000).select((F.col("id") * 7 % 250_000).alias("x")), ["x"], "at")
